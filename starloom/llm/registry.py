@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starloom.llm import bpe
+from starloom.llm import bpe, packing
 from starloom.llm.common import table
 
 
@@ -10,9 +10,17 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.packing_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op7_packing)}
+SQL: dict[str, str] = {}
+
+
 def llm_queries() -> dict:
-    return {"op5_bpe_round_trip": op5_bpe_round_trip}
+    return dict(QUERIES)
 
 
 def llm_sql() -> dict:
-    return {}
+    return dict(SQL)
