@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from starloom.llm import bpe, packing
-from starloom.llm.common import table
+from starloom.llm import bpe, packing, store
+from starloom.llm.common import fresh_path, table
 
 
 def op5_bpe_round_trip(spark, sf_dir):
@@ -14,7 +14,12 @@ def op7_packing(spark, sf_dir):
     return packing.packing_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op7_packing)}
+def op9_token_store(spark, sf_dir):
+    folder = store.write_store(table(spark, sf_dir, "documents"), fresh_path(spark, "op9"))
+    return store.verify_documents(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op7_packing, op9_token_store)}
 SQL: dict[str, str] = {}
 
 
