@@ -73,3 +73,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, modulus: int = 3) -> DataFrame:
+    """text (bytes) and quality of at most ``most`` labelled documents, for fitting a model.
+
+    The documents with the smallest hash of doc_id are taken, none with crc32(doc_id) mod
+    ``modulus`` = 1. Labels that are null or neither 0 nor 1 are left out, and so are doc_ids
+    labelled both ways. The sample is bounded, so it can be broadcast to the documents.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(modulus))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")
+    drawn = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")

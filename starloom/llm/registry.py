@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from starloom.llm import bpe, packing, store
+from starloom.llm import bpe, line_rules, packing, quality, secret_scan, store
 from starloom.llm.common import fresh_path, table
 
 
+def op3_quality_trees(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_line_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_rules.judge_lines(docs, line_rules.fit_lines(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -19,7 +29,12 @@ def op9_token_store(spark, sf_dir):
     return store.verify_documents(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op7_packing, op9_token_store)}
+def op10_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op7_packing, op9_token_store, op10_secret_scan)}
 SQL: dict[str, str] = {}
 
 
