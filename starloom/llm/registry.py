@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starloom.llm import bpe, line_rules, packing, quality, secret_scan, store
+from starloom.llm import bpe, lattice_lm, line_rules, packing, quality, secret_scan, simhash, store
 from starloom.llm.common import fresh_path, table
 
 
@@ -20,10 +20,19 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice_lm(spark, sf_dir):
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return packing.packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op9_token_store(spark, sf_dir):
     folder = store.write_store(table(spark, sf_dir, "documents"), fresh_path(spark, "op9"))
     return store.verify_documents(spark, folder)
@@ -34,7 +43,7 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op7_packing, op9_token_store, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan)}
 SQL: dict[str, str] = {}
 
 
