@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from starloom.llm import bpe, lattice_lm, line_rules, packing, quality, secret_scan, simhash, store
+from starloom.llm import bpe, lattice_lm, line_rules, packing, quality, secret_scan, simhash, store, suffixes
 from starloom.llm.common import fresh_path, table
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_trees(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +47,7 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan)}
 SQL: dict[str, str] = {}
 
 
