@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from starloom.llm import bpe, lattice_lm, line_rules, packing, quality, secret_scan, simhash, store, suffixes
+from pyspark.sql import functions as F
+
+from starloom.llm import bpe, lattice_lm, line_rules, packing, pivot_search, quality, secret_scan, simhash, store, suffixes
 from starloom.llm.common import fresh_path, table
 
 
+def op1_pivot_search(spark, sf_dir):
+    return pivot_search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffixes.removal_report(table(spark, sf_dir, "documents"))
 
@@ -47,8 +53,8 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pivot_search, op2_suffix_dedup, op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan)}
+SQL: dict[str, str] = {"op1_pivot_search": pivot_search.SQL}
 
 
 def llm_queries() -> dict:

@@ -209,3 +209,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, keep: tu
 def hexadecimal(fp: str = "fp"):
     """A signed long as 16 lower-case hexadecimal digits of its unsigned value."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates, all columns as they are.
+
+    The row with the smallest doc_id stays (a null one only where there is no other), at ties that
+    with the smallest hash of its text; of equal rows one stays. Only names and fingerprints are
+    grouped; the texts are shuffled once, to be kept or left.
+    """
+    name = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = stored(fingerprints(docs.withColumn("__name", name), words, ("__name",)), "simhash")
+    roots = components(linked(own.select("fp").distinct(), distance)).select(F.col("node").alias("fp"), "root")
+    rows = own.groupBy("fp", "doc_id", "__name").agg(F.count("*").alias("copies"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__name").alias("name"), "copies"))
+    of = rows.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(best.alias("b"))
+    kept = stored(of.select(F.col("b.doc_id").alias("__doc"), F.col("b.name").alias("__name"), F.col("b.copies").alias("copies")), "simhash-kept")
+    named = docs.withColumn("__name", name)
+
+    def only(part: DataFrame) -> DataFrame:
+        part = part.select("__doc", F.col("__name").alias("__of"))
+        return named.join(part, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__name") == F.col("__of")), "left_semi")
+
+    found = only(kept.where("copies = 1")).select(*docs.columns)
+    more = kept.where("copies > 1")
+    if not more.isEmpty():
+        repeated = only(more).groupBy("doc_id", "__name").agg(F.first(F.struct(*docs.columns)).alias("row"))
+        found = found.unionByName(repeated.select("row.*"))
+    return found
