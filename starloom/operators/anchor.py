@@ -105,21 +105,21 @@ def corrected(df: DataFrame, version: str = "7") -> DataFrame:
     return df.withColumn("was_translated", c("population_before") != c("population_group"))
 
 
+def _bin(mk: Column, teff: Column) -> Column:
+    """The row of SUBTYPES that holds a letter's temperature; NULL in the gaps. The inputs are named once, however many bins there are."""
+    rows = [F.struct(F.lit(name).alias("mk"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(label).alias("label")) for name, bins in SUBTYPES.items() for low, high, label in bins]
+    inside = F.transform(F.array(F.struct(mk.alias("mk"), teff.cast("double").alias("t"))), lambda s: F.get(F.filter(F.array(*rows), lambda x: (x["mk"] == s["mk"]) & (x["low"] <= s["t"]) & (s["t"] < x["high"])), F.lit(0)))
+    return F.get(inside, F.lit(0))
+
+
 def subtype(mk: Column, teff: Column) -> Column:
     """Subtype bin of a letter's temperature; NULL in the gaps."""
-    found = F.lit(None).cast("string")
-    for name, bins in SUBTYPES.items():
-        for low, high, label in bins:
-            found = F.when((mk == name) & (teff >= low) & (teff < high), label).otherwise(found)
-    return found
+    return _bin(mk, teff)["label"]
 
 
 def subtype_midpoint(mk: Column, teff: Column) -> Column:
-    found = F.lit(None).cast("double")
-    for name, bins in SUBTYPES.items():
-        for low, high, _ in bins:
-            found = F.when((mk == name) & (teff >= low) & (teff < high), (low + high) / 2).otherwise(found)
-    return found
+    found = _bin(mk, teff)
+    return (found["low"] + found["high"]) / 2
 
 
 def interpolated(mk: Column, digits: Column) -> Column:

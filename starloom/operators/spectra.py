@@ -88,6 +88,7 @@ def shifted(line: Column, velocity: Column) -> Column:
     return line * (1 + moved / LIGHT)
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def voigt(x: np.ndarray, centre: float, amplitude: float, lorentz: float, gauss: float) -> np.ndarray:
     """Voigt profile of a given height, by Humlicek's rational approximation of w(z)."""
     scale = 2 * np.sqrt(np.log(2)) / gauss
@@ -115,8 +116,8 @@ def fit_line(x: np.ndarray, norm: np.ndarray, centre: float, half: float = 1.5)
     xs, y = x[use], 1 - norm[use]
     low, high = np.array([centre - half, -0.5, 0.0, 0.075]), np.array([centre + half, 1.2, 5.0, 5.0])
     p = np.clip(np.array([centre, max(y.max(), 0.05), 0.05, 0.0751]), low, high)
-    damp, cost = 1e-2, np.inf
-    for _ in range(60):
+    damp = 1e-2
+    for _ in range(25):
         model = voigt(xs, *p)
         rest = y - model
         now = rest @ rest
@@ -130,9 +131,8 @@ def fit_line(x: np.ndarray, norm: np.ndarray, centre: float, half: float = 1.5)
                 p, damp, moved = new, damp / 3, True
                 break
             damp *= 3
-        if not moved or now - other @ other < 1e-10 * max(now, 1e-30):
+        if not moved or now - other @ other < 1e-6 * max(now, 1e-30):
             break
-        cost = now
     grid = np.linspace(p[0] - 3, p[0] + 3, 1000)
     depth = np.clip(voigt(grid, *p), 0, None)
     width = float(((depth[1:] + depth[:-1]) / 2 * np.diff(grid)).sum() * 10)

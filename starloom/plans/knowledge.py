@@ -1,0 +1,129 @@
+"""Knowledge base, retrieval, prompts and results."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from starloom.operators import anchor as A
+from starloom.operators import inference as I
+from starloom.operators import retrieval as R
+from starloom.operators import spectra as P
+from starloom.plans.registry import query
+from starloom.plans.stars import anchored, corrected, judged
+from starloom.sources.bindings import read
+
+_WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(10) || '## '), lambda x, i: CASE WHEN i = 1 THEN x ELSE '## ' || x END) AS parts, text FROM documents),
+q AS (SELECT doc_id, text, list_filter(list_transform(parts, lambda x: {_STRIP.format('x')}), lambda x: {_WORDS.format('x')} >= 40) AS kept FROM p),
+r AS (SELECT doc_id, unnest(CASE WHEN len(kept) > 0 THEN kept WHEN {_WORDS.format('text')} >= 40 THEN [{_STRIP.format('text')}] ELSE [] END) AS t FROM q)
+SELECT doc_id AS source, count(*) AS n_chunks, sum({_WORDS.format('t')}) AS n_words FROM r GROUP BY 1""")
+def n1_chunks(spark, d):
+    found = R.chunks(read(spark, d, "documents"), "doc_id")
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    return found.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(words).alias("n_words"))
+
+
+@query("""SELECT source_id, concat_ws(' ', 'spectral_type:' || mk_letter, 'population:' || replace(population_group, ' ', '_'), 'teff:' || teff_k,
+CASE WHEN logg < 2.5e0 THEN 'logg:supergiant' WHEN logg < 3.5e0 THEN 'logg:giant' WHEN logg < 4.0e0 THEN 'logg:subgiant' WHEN logg IS NOT NULL THEN 'logg:dwarf' END, printf('logg:%.2f', logg),
+CASE WHEN chemistry_value < -1.0e0 THEN 'metallicity:halo_metalpoor' WHEN chemistry_value < -0.2e0 THEN 'metallicity:thick_disk_subsolar' ELSE 'metallicity:thin_disk_solar' END, 'fe_h:' || replace(printf('%.2f', chemistry_value), '-0.00', '-0.00'),
+CASE WHEN alpha_fe >= 0.2e0 THEN 'alpha_enhanced' END, printf('alpha_fe:%.2f', alpha_fe), CASE WHEN v_tan > 200 THEN 'high_velocity_star' END, CASE WHEN v_tan > 200 THEN 'v_tan:' || CAST(round(v_tan) AS BIGINT) END,
+CASE WHEN is_binary_candidate THEN 'is_binary_candidate' END, CASE WHEN is_giant THEN 'is_giant' END, CASE WHEN is_high_velocity THEN 'is_high_velocity' END, CASE WHEN has_emission THEN 'has_emission' END,
+CASE WHEN bprp_status <> 'success' THEN 'fit_diverged continuum_quality_flag' END, CASE WHEN NOT rvs_stable THEN 'continuum_unstable' END, CASE WHEN NOT is_reliable_parallax THEN 'parallax_unreliable' END,
+CASE WHEN teff_k BETWEEN 9700 AND 10100 AND logg IS NOT NULL THEN 'AB_boundary logg_correction' END, CASE WHEN mk_letter = 'F' THEN 'F_subtype_calibration subtype_collapse' END) AS query FROM co""")
+def n2_query_text(spark, d):
+    return R.query_text(corrected(spark, d)).select("source_id", "query")
+
+
+@query("SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id DESC) AS rank FROM embeddings q, embeddings b, LATERAL (SELECT list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s) WHERE b.label = 3) WHERE rank <= 3")
+def n4_g3_cosine_top(spark, d):
+    vectors = read(spark, d, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    base = vectors.where("label = 3").select("vec_id", F.col("embedding").alias("vector"))
+    return R.cosine_top(queries, base, 3, "query_id", "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _base(spark):
+    """A small knowledge base of its own."""
+    rows = [(k, f"{name} — {title}", f"{title} {name} spectral_type {name[-1]} teff logg population {word}") for k, (name, title, word) in enumerate([("Class B", "subtype_calibration", "hot"), ("Class A", "A/B boundary", "logg_correction"), ("Class F", "F_subtype", "subtype_collapse"), ("Class G", "solar", "thin_disk"), ("Class K", "giant", "thick_disk"), ("Class M", "dwarf", "emission"), ("quality_flags", "binary velocity", "is_binary_candidate")])]
+    return spark.createDataFrame(rows, "chunk_id int, label string, text string")
+
+
+def _hits(spark, d):
+    stars = R.embedded(R.query_text(corrected(spark, d)), "query").select("source_id", "mk_letter", "is_binary_candidate", "vector")
+    base = R.embedded(_base(spark), "text").select("chunk_id", "label", "text", "vector")
+    return stars, base, R.cosine_top(stars, base, 3, "source_id", "chunk_id")
+
+
+@query()
+def n3_n5_context(spark, d):
+    _, base, hits = _hits(spark, d)
+    return R.context_block(hits, base, "source_id", "chunk_id")
+
+
+@query()
+def n6_vector_cache(spark, d):
+    texts = R.query_text(corrected(spark, d)).select("source_id", "query")
+    cache = texts.where("source_id % 3 > 0").select("source_id", R.text_digest(F.when(F.col("source_id") % 3 == 1, F.col("query")).otherwise(F.lit("old"))).alias("digest"), F.array(F.lit(0.5)).cast("array<float>").alias("vector"))
+    return R.cached(texts, cache, "source_id", "query").groupBy("from_cache").agg(F.count("*").alias("n"))
+
+
+@query()
+def o8_retrieval_impact(spark, d):
+    stars, base, hits = _hits(spark, d)
+    top = hits.where("rank = 1").join(F.broadcast(base.select("chunk_id", "label")), "chunk_id").join(stars.select("source_id", "mk_letter", "is_binary_candidate"), "source_id")
+    hit = R.relevance(F.col("mk_letter"), F.col("label"))
+    return top.groupBy("mk_letter").agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("hit_rate"))
+
+
+def _prompted(spark, d):
+    stars = A.features(A.confidence(corrected(spark, d))).withColumn("sub_type_range", A.subtype(F.col("mk_letter"), F.col("teff_k"))).withColumn("context", F.lit(""))
+    return I.reduced_prompt(I.full_prompt(stars))
+
+
+@query("SELECT source_id, CAST(length(mk_letter) AS INTEGER) AS letters, population_group FROM co")
+def n7_n8_prompts(spark, d):
+    rows = _prompted(spark, d)
+    return rows.select("source_id", F.length(F.regexp_extract("prompt", "Letter: ([A-Z])", 1)).alias("letters"), F.regexp_extract("prompt", "Population: ([A-Za-z ]+)", 1).alias("population_group"))
+
+
+def _results(spark, d):
+    rows = _prompted(spark, d).fillna({"luminosity_class": "V", "sub_type_range": "unknown"})
+    keep = ["source_id", "mk_letter", "sub_type_range", "luminosity_class", "population_group", "spectral_confidence", "luminosity_confidence", "confidence", "teff_k", "notable_features", "decision_rule"]
+    return I.validated(I.parsed(I.generated(rows.select(*keep))))
+
+
+@query("SELECT source_id, mk_letter AS spectral_type, population_group, true AS is_valid FROM co")
+def n9_n12_results(spark, d):
+    return _results(spark, d).select("source_id", F.col("result.classification.spectral_type").alias("spectral_type"), F.col("result.classification.population_group").alias("population_group"), "is_valid")
+
+
+@query("SELECT source_id FROM hc WHERE source_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
+def n13_resume(spark, d):
+    done = read(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"))
+    return I.resumed(judged(spark, d).select("source_id"), done)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS found FROM documents")
+def n10_output_parsing(spark, d):
+    k = F.col("doc_id")
+    raw = F.when(k % 3 == 0, "no answer").when(k % 3 == 1, F.format_string('```json\n{"source_id": "%d"}\n```', k)).otherwise(F.format_string('text {"source_id": "%d", "classification": {}} more', k))
+    rows = I.parsed(read(spark, d, "documents").select("doc_id", raw.alias("raw")))
+    return rows.select("doc_id", F.col("result.source_id").cast("long").alias("found"))
+
+
+@query("SELECT source_id, 656.281e0 * (1 + CASE WHEN source_id % 4 = 0 THEN 0e0 ELSE (source_id % 600 - 300) * 1e0 END / 299792.458e0) AS centre FROM cat")
+def l6_doppler(spark, d):
+    k = F.col("source_id")
+    velocity = F.when(k % 4 != 0, (k % 600 - 300).cast("double"))
+    return judged(spark, d).select("source_id", P.shifted(F.lit(P.HALPHA), velocity).alias("centre"))
+
+
+@query()
+def l4_l7_spectra(spark, d):
+    grid = F.array(*[F.lit(float(x)) for x in np.linspace(650.0, 662.6, 64)])
+    flux = F.transform("embedding", lambda x: 1 + x.cast("double") * 0.1)
+    rows = read(spark, d, "embeddings").select("vec_id", grid.alias("x"), flux.alias("y")).withColumn("c", P.continuum_column(F.col("x"), F.col("y")))
+    rows = rows.withColumn("lines", P.lines_column(F.col("x"), F.col("c.normalized"), F.array(F.lit(P.HALPHA))))
+    return rows.select("vec_id", "c.status", "c.snr", "c.stable", F.col("lines")[0]["status"].alias("line_status"), F.col("lines")[0]["ew_aa"].alias("ew_aa"))
