@@ -45,17 +45,28 @@ def rolling_cuts(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero((total >> np.uint64(64 - MEAN.bit_length() + 1)) == 0) + 1
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of one stream end; the last is the length of the stream."""
-    ends, last, n = [], 0, len(ids)
-    for cut in [*rolling_cuts(ids).tolist(), n]:
-        while cut - last > LONGEST:
-            last += LONGEST
-            ends.append(last)
-        if cut - last >= SHORTEST or cut == n > last:
-            ends.append(cut)
-            last = cut
-    return ends
+def chunk_ends(*streams: np.ndarray) -> list[list[int]]:
+    """Where the chunks of each stream end; the last is the length of the stream.
+
+    The streams are hashed in one go. A window that reaches back into the stream before ends
+    earlier than the shortest chunk, so what it says is never used.
+    """
+    sizes = np.array([len(s) for s in streams])
+    first = np.cumsum(sizes) - sizes
+    cuts = rolling_cuts(np.concatenate(streams)) if len(streams) else np.zeros(0, dtype=np.int64)
+    low, high = np.searchsorted(cuts, first, side="right"), np.searchsorted(cuts, first + sizes)
+    out = []
+    for start, n, a, b in zip(first.tolist(), sizes.tolist(), low.tolist(), high.tolist()):
+        ends, last = [], 0
+        for cut in [*(cuts[a:b] - start).tolist(), n]:
+            while cut - last > LONGEST:
+                last += LONGEST
+                ends.append(last)
+            if cut - last >= SHORTEST or cut == n > last:
+                ends.append(cut)
+                last = cut
+        out.append(ends)
+    return out
 
 
 def merkle_root(hashes: list[bytes]) -> bytes:
@@ -126,9 +137,8 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         seen: set[bytes] = set()
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text), np.uint32(end_id))
-                ends = chunk_ends(ids)
+            streams = [np.append(encode(t), np.uint32(end_id)) for t in batch.column(1).to_pylist()]
+            for doc_id, ids, ends in zip(batch.column(0).to_pylist(), streams, chunk_ends(*streams)):
                 data, digests, last = ids.astype(kind), [], 0
                 for end in ends:
                     raw = data[last:end].tobytes()
