@@ -33,8 +33,8 @@ LENGTH = 200
 GRAM = 32
 #: Starts of windows in one segment at most, and in one piece of a long text.
 LONGEST, PIECE = 4096, 1 << 18
-#: Bytes of segments that share one suffix array, and segments of a bucket that goes to one task.
-ARRAY_BYTES, HOT_BUCKET = 1 << 19, 20_000
+#: Bytes of segments that share one suffix array, and of a bucket that gets one; sorting takes some hundred bytes for each.
+ARRAY_BYTES, HOT_BYTES = 1 << 19, 1 << 20
 #: Names of texts and segments that a task remembers; bounds on memory only.
 REMEMBERED, HELD = 100_000, 10_000
 BASE = 0x9E3779B97F4A7C15
@@ -293,7 +293,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     segs = both.where("kind = 'seg'").select("h", "digest", "n", "seg")
     occurrences = both.where("kind = 'occ'").select("digest", "key", "mark", "start")
 
-    hot = stored(segs.groupBy("h").count().where(F.col("count") > HOT_BUCKET).select("h"), "suffix-hot")
+    hot = stored(segs.groupBy("h").agg(F.sum(F.length("seg")).alias("size")).where(F.col("size") > HOT_BYTES).select("h"), "suffix-hot")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -324,13 +324,23 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield out()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], []]
+
+        def whole() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.binary(), pa.binary(), pa.int32(), pa.int64()])], ["w", "digest", "k", "n"])
+            for column in out:
+                column.clear()
+            return found
+
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for _, digest, n, seg in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(len(seg) - LENGTH + 1):
-                    for column, value in zip(out, (xxhash.xxh3_128_digest(seg[k : k + LENGTH]), digest, k, n)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.binary(), pa.binary(), pa.int32(), pa.int64()])], ["w", "digest", "k", "n"])
+                m = len(seg) - LENGTH + 1
+                for column, values in zip(out, ([xxhash.xxh3_128_digest(seg[k : k + LENGTH]) for k in range(m)], [digest] * m, range(m), [n] * m)):
+                    column.extend(values)
+                if len(out[0]) >= 100_000:
+                    yield whole()
+            if out[0]:
+                yield whole()
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,9 +53,9 @@ def odd_texts():
     return texts + [copy, copy, copy[:350] + noise(90), "Nd, " * 90, "short", noise(250)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
+@pytest.mark.parametrize("hot", [1 << 20, 0])
 def test_removal_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT_BUCKET", hot)
+    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
     texts = odd_texts()
     docs = spark.createDataFrame([(None if i == 3 else i // 2, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     got = sorted(((r.doc_id is not None, r.doc_id or 0), *tuple(r)[1:]) for r in suffixes.removal_report(docs).collect())
