@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from starloom.llm.common import small_batches, stored, text_bytes
 
 BLOCKS = 6
+#: More than the number of any mask.
+SERIES = 1000
 #: A group of more fingerprints is split again by the bits its members don't share, before one task gets it.
 HOT_GROUP = 200_000
 #: Within a task a larger group is split by further blocks before its members are compared.
@@ -100,19 +102,21 @@ def links(fps: np.ndarray, free: int, distance: int) -> list[tuple[int, int]]:
     return found
 
 
-def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a, b), a < b, that join every two of the distinct fingerprints ``fp`` within ``distance``, directly or through others."""
+def linked(fps: DataFrame, distance: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """Links (s, a, b), a < b, that join every two of the distinct fingerprints ``fp`` of one ``s`` within ``distance``, directly or through others."""
     spark = fps.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    masks = block_masks(ALL, BLOCKS, BLOCKS - distance)
+    if "s" not in fps.columns:
+        fps = fps.withColumn("s", F.lit(0))
+    masks = block_masks(ALL, blocks, blocks - distance)
     seconds = [block_masks(ALL & ~m, distance + 1, 1) for m in masks]
 
     def keyed(rows: DataFrame, own: list[tuple[int, int]]) -> DataFrame:
-        """One row for each mask; ``free``: number of the first choice, ``k``: of the mask."""
+        """One row for each mask; ``k``: number of the mask, and SERIES times that of the fingerprint's series."""
         choices = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in own])
-        return rows.select("fp", F.explode(choices).alias("c")).select("c.k", "c.key", "fp")
+        return rows.select("s", "fp", F.explode(choices).alias("c")).select((F.col("s") * SERIES + F.col("c.k")).alias("k"), "c.key", "fp")
 
-    first = keyed(fps.select("fp"), list(enumerate(masks)))
+    first = keyed(fps.select("s", "fp"), list(enumerate(masks)))
     hot = first.groupBy("k", "key").count().where(F.col("count") > HOT_GROUP).select("k", "key")
     hot = stored(hot, "simhash-hot")
     if hot.isEmpty():
@@ -120,7 +124,7 @@ def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
     else:
         cold = first.join(hot, ["k", "key"], "left_anti")
         again = first.join(hot, ["k", "key"], "left_semi")
-        parts = [keyed(again.where(F.col("k") == k).select("fp"), [(100 + 10 * k + j, m | masks[k]) for j, m in enumerate(seconds[k])]) for k in range(len(masks))]
+        parts = [keyed(again.where(F.col("k") % SERIES == k).select((F.col("k") / SERIES).cast("int").alias("s"), "fp"), [(100 + 10 * k + j, m | masks[k]) for j, m in enumerate(seconds[k])]) for k in range(len(masks))]
         dealt = cold
         for part in parts:
             dealt = dealt.unionByName(part)
@@ -138,11 +142,14 @@ def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
             x, y = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
             near = np.bitwise_count(x ^ y) <= distance
             found = list(zip(x[near].tolist(), y[near].tolist()))
+            series = (k[two][near] // SERIES).tolist()
             for g in np.flatnonzero(size > 2):
                 own = np.unique(fp[begin[g] : end[g]]).view(np.uint64)
-                found += links(own, free_of[int(k[begin[g]])], distance)
+                more = links(own, free_of[int(k[begin[g]]) % SERIES], distance)
+                found += more
+                series += [int(k[begin[g]]) // SERIES] * len(more)
             pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(series, pa.int32()), pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["s", "a", "b"])
 
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns)]
@@ -157,7 +164,7 @@ def linked(fps: DataFrame, distance: int = 3) -> DataFrame:
         if len(held[0]) > 1:
             yield out(*held)
 
-    return dealt.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(compared, "a long, b long").distinct()
+    return dealt.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(compared, "s int, a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,31 +216,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, keep: tu
 def hexadecimal(fp: str = "fp"):
     """A signed long as 16 lower-case hexadecimal digits of its unsigned value."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component of near duplicates, all columns as they are.
-
-    The row with the smallest doc_id stays (a null one only where there is no other), at ties that
-    with the smallest hash of its text; of equal rows one stays. Only names and fingerprints are
-    grouped; the texts are shuffled once, to be kept or left.
-    """
-    name = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = stored(fingerprints(docs.withColumn("__name", name), words, ("__name",)), "simhash")
-    roots = components(linked(own.select("fp").distinct(), distance)).select(F.col("node").alias("fp"), "root")
-    rows = own.groupBy("fp", "doc_id", "__name").agg(F.count("*").alias("copies"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__name").alias("name"), "copies"))
-    of = rows.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(best.alias("b"))
-    kept = stored(of.select(F.col("b.doc_id").alias("__doc"), F.col("b.name").alias("__name"), F.col("b.copies").alias("copies")), "simhash-kept")
-    named = docs.withColumn("__name", name)
-
-    def only(part: DataFrame) -> DataFrame:
-        part = part.select("__doc", F.col("__name").alias("__of"))
-        return named.join(part, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__name") == F.col("__of")), "left_semi")
-
-    found = only(kept.where("copies = 1")).select(*docs.columns)
-    more = kept.where("copies > 1")
-    if not more.isEmpty():
-        repeated = only(more).groupBy("doc_id", "__name").agg(F.first(F.struct(*docs.columns)).alias("row"))
-        found = found.unionByName(repeated.select("row.*"))
-    return found
