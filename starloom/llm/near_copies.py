@@ -1,10 +1,14 @@
-"""Near copies by five-word shingles: SimHash candidates from several fingerprints, then exact similarity.
+"""Near copies by five-word shingles: an exact join of shingle sets over their prefixes.
 
-One fingerprint of 64 bits and three differing bits find few pairs at a Jaccard similarity of 0.8.
-So a text has SKETCHES fingerprints, each over its distinct words with hashes of its own, and two
-texts are candidates if any of these lie within three bits: pigeonhole blocks, a join on blocks,
-Hamming distance. Candidates form components; within each one the sets of five-word shingles are
-compared exactly, so fingerprints decide what is compared and never what is a copy.
+Every two sets with a Jaccard similarity of ``similarity`` or more share one of the first hashes
+of both (about a fifth of each), whatever order all hashes are put in. So a text has one row for
+each hash of its prefix, and what shares a hash and can still reach the similarity from there on
+is compared exactly. Common hashes, estimated from a sample, come last in the order, so that few
+texts have them in their prefixes; the order decides what is compared and never what is a copy.
+
+A common hash is no square of its texts: first every text is compared with a few neighbours under
+each hash, and once these links have made clusters, only pairs of different clusters are left. All
+of these are compared, a hash of many texts block against block.
 
 Texts are compared with A-Z in lower case and white space as single blanks; texts equal in that
 are one node from the start, whatever the number of their copies.
@@ -18,37 +22,20 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import small_batches, stored, text_bytes
-from starloom.llm.simhash import components, linked
+from starloom.llm.simhash import components
 
-SKETCHES, SKETCH_BLOCKS = 8, 5
-#: Distinct texts of one component that a task compares; a larger component is dealt to several tasks first.
+#: Texts under one hash that a task compares; more are split into blocks.
 HOT_COMPONENT = 20_000
-
-
-def mixed(x: np.ndarray, turn: int) -> np.ndarray:
-    """Another 64-bit hash of every hash, for each ``turn``."""
-    x = x + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sketch(text: bytes, count: int = SKETCHES) -> np.ndarray:
-    """``count`` fingerprints of the distinct words of a text; zeros where it has none."""
-    digest = xxhash.xxh64_intdigest
-    words = np.array([digest(w, 42) for w in set(text.lower().split())], dtype=np.uint64)
-    found = np.zeros(count, dtype=np.uint64)
-    for turn in range(count if len(words) else 0):
-        total = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(words), 1 << 15):
-            part = mixed(words[k : k + (1 << 15)], turn)
-            total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        found[turn] = np.packbits(2 * total > len(words), bitorder="little").view("<u8")[0]
-    return found
+#: Turns over neighbours before all pairs that are left, and the neighbours of each turn.
+TURNS, NEIGHBOURS = 1, 8
+#: Texts from which the common hashes are estimated, how many of them share a common hash, and the most that are kept.
+SAMPLE, COMMON, MOST_COMMON = 5_000, 5, 100_000
+#: So many texts' names are broadcast where their texts are looked up; more are shuffled.
+BROADCAST = 1_000_000
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -60,58 +47,15 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(w, 7) for w in windows], dtype=np.uint64))
 
 
-class Component:
-    """Clusters of the texts of one component, joined over links of ``similarity`` or more.
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set, ``common`` ones last; of sets of ``similarity`` or more one is shared."""
+    late = np.isin(own, common, assume_unique=True)
+    return np.concatenate([own[~late], own[late]])[: len(own) - ceil(similarity * len(own) - 1e-9) + 1] if len(own) else own
 
-    Sets that similar share one of their smallest hashes, so a text is compared only with those
-    under its own smallest hashes, and with a cluster that it has joined no further.
-    """
 
-    def __init__(self, similarity: float):
-        self.similarity = similarity
-        self.ids: list[int] = []
-        self.sets: list[np.ndarray] = []
-        self.up: list[int] = []
-        self.under: dict[int, dict[int, list[int]]] = {}
-
-    def top(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def alike(self, x: np.ndarray, y: np.ndarray) -> bool:
-        if min(len(x), len(y)) < self.similarity * max(len(x), len(y)) - 1e-9:
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both >= self.similarity * (len(x) + len(y) - both) - 1e-9
-
-    def add(self, name: int, own: np.ndarray) -> None:
-        me = len(self.ids)
-        self.ids.append(name)
-        self.sets.append(own)
-        self.up.append(me)
-        first = own[: len(own) - ceil(self.similarity * len(own) - 1e-9) + 1].tolist() if len(own) else []
-        tried: set[int] = set()
-        for h in first:
-            for cluster, members in self.under.get(h, {}).items():
-                for other in members:
-                    if self.top(cluster) == self.top(me):
-                        break
-                    if other not in tried:
-                        tried.add(other)
-                        if self.alike(self.sets[other], own):
-                            self.up[self.top(me)] = self.top(other)
-        for h in first:
-            self.under.setdefault(h, {}).setdefault(self.top(me), []).append(me)
-
-    def links(self) -> list[tuple[int, int]]:
-        """(name, smallest name of its cluster) of all that aren't the smallest."""
-        least: dict[int, int] = {}
-        for k, name in enumerate(self.ids):
-            t = self.top(k)
-            least[t] = min(least.get(t, name), name)
-        return [(name, least[self.top(k)]) for k, name in enumerate(self.ids) if least[self.top(k)] != name]
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
 def normalised_name(column: str = "text") -> Column:
@@ -120,32 +64,159 @@ def normalised_name(column: str = "text") -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")))
 
 
-def exact_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b), a node and the smallest of its cluster, among rows (root, salt, node, text) of one root and salt."""
-    small_batches(members.sparkSession)
+def reachable(n, pos, m, at, similarity: float, least=np.minimum):
+    """Whether sets of ``n`` and ``m`` hashes whose first common one is at ``pos`` and ``at`` can be similar."""
+    return least(n - pos, m - at) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, last = None, Component(similarity), None
 
-        def out() -> pa.RecordBatch:
-            found = group.links()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+def neighbours(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different clusters among neighbours under one hash, in an order of this turn."""
+    hot = rows.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > HOT_COMPONENT)
+    salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.ceil(F.col("size") / (HOT_COMPONENT // 2))), F.lit(0))
+    window = Window.partitionBy("h", "salt").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    row = F.struct("node", "cluster", "n", "pos")
+    lags = F.array(*(F.lag(row, k).over(window) for k in range(1, NEIGHBOURS + 1)))
+    found = rows.join(stored(hot, "copies-hot"), "h", "left").withColumn("salt", salt).withColumn("o", lags)
+    found = found.select("node", "cluster", "n", "pos", F.explode("o").alias("o")).where("cluster <> o.cluster")
+    found = found.where(reachable(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), similarity, F.least))
+    return found.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+
+
+def remaining(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different clusters that share a hash and can be similar.
+
+    Texts of the largest cluster under a hash are compared with the others only, and these with
+    each other, block against block: a block has at most about half of HOT_COMPONENT texts.
+    """
+    sizes = rows.groupBy("h", "cluster").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("h").agg(F.max(F.struct("size", "cluster")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("clusters")).where("clusters > 1")
+    half = max(1, HOT_COMPONENT // 2)
+    sizes = sizes.select("h", F.col("main.cluster").alias("main"), F.ceil(F.col("main.size") / half).alias("first"), F.ceil((F.col("size") - F.col("main.size")) / half).alias("second"))
+    last = F.col("first") + F.col("second") - 1
+    block = F.when(F.col("cluster") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("second")))
+    others = F.when(F.col("block") < F.col("first"), F.sequence("first", last)).otherwise(F.sequence(F.lit(0).cast("long"), last))
+    dealt = rows.join(stored(sizes, "copies-sizes"), "h").withColumn("block", block).withColumn("other", F.explode(others))
+    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster", F.col("n").cast("long"), F.col("pos").cast("long"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.concatenate([*found, np.zeros((0, 2), dtype=np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Pairs within whole groups; rows are sorted by (h, i, j)."""
+            h, i, j, block, node, cluster, n, pos = columns
+            cut = np.flatnonzero((np.diff(h) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            found, count = [], 0
+            for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(h)]):
+                own = np.arange(begin, end)
+                x, y = own[block[begin:end] == i[begin]], own[block[begin:end] == j[begin]]
+                one = i[begin] == j[begin]
+                x, y = (x, y) if one or len(x) < len(y) else (y, x)
+                for k, at in enumerate(x):
+                    to = y[k + 1 :] if one else y
+                    to = to[(cluster[to] != cluster[at]) & reachable(n[at], pos[at], n[to], pos[to], similarity)]
+                    if len(to):
+                        found.append(np.stack([np.full(len(to), node[at]), node[to]], axis=1))
+                        count += len(to)
+                    if count > 1 << 16:
+                        yield batch_of(found)
+                        found, count = [], 0
+            yield batch_of(found)
 
         for batch in batches:
-            for root, salt, node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, salt) != at:
-                    yield out()
-                    at, group, last = (root, salt), Component(similarity), None
-                if node != last:
-                    group.add(node, shingle_set(text, words))
-                    last = node
-        yield out()
+            columns = [c.to_numpy() for c in batch.columns]
+            ends = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1])) if len(columns[0]) else []
+            before = held[-1] if held else None
+            if before is not None and len(columns[0]) and any(before[c][-1] != columns[c][0] for c in range(3)):
+                yield from out([np.concatenate(parts) for parts in zip(*held)])
+                held = []
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+            if whole:
+                held.append([c[:whole] for c in columns])
+                yield from out([np.concatenate(parts) for parts in zip(*held)])
+                held = []
+            if whole < len(columns[0]):
+                held.append([c[whole:] for c in columns])
+        if held:
+            yield from out([np.concatenate(parts) for parts in zip(*held)])
+
+    return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(compared, "a long, b long").distinct()
+
+
+def shingle_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join every two nodes of ``similarity`` or more, directly or through others.
+
+    ``rows`` have (doc_id, name, node, text), ``nodes`` (node, best) with the place of one row of each.
+    """
+    spark = rows.sparkSession
 
-    rows = members.select("root", "salt", "node", "text").repartition("root", "salt").sortWithinPartitions("root", "salt", "node")
-    return rows.mapInArrow(run, "a long, b long")
+    def texts(of: DataFrame) -> DataFrame:
+        """node and text of some nodes; of equal rows all."""
+        of = of.join(nodes, "node").select(F.col("node").alias("of"), F.col("best.doc_id").alias("doc"), F.col("best.name").alias("called"))
+        of = stored(of, "copies-wanted")
+        of = F.broadcast(of) if of.count() <= BROADCAST else of
+        texts = rows.select("doc_id", "name", "text")
+        return texts.join(of, texts.doc_id.eqNullSafe(F.col("doc")) & (texts.name == F.col("called"))).select(F.col("of").alias("node"), "text")
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["h"])
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, sketches: int = SKETCHES) -> DataFrame:
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, nodes.count() // SAMPLE))) == 0).select("node")
+    common = texts(some).mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    common = np.array([r.h for r in common.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(np.uint64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            first = [prefix(x, common, similarity) for x in sets]
+            sizes = np.array([len(f) for f in first], dtype=np.int64)
+            h = np.concatenate([*first, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            node = np.repeat(batch.column(0).to_numpy(), sizes)
+            n = np.repeat(np.array([len(x) for x in sets], dtype=np.int32), sizes)
+            pos = np.concatenate([*(np.arange(k, dtype=np.int32) for k in sizes), np.zeros(0, dtype=np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(n), pa.array(pos)], ["h", "node", "n", "pos"])
+
+    # Exact copies have equal rows here, and a hash that only they have is not shared.
+    own = stored(rows.select("node", "text").mapInArrow(prefixes, "h long, node long, n int, pos int"), "copies-prefixes")
+    shared = own.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
+    shared = stored(own.join(shared, "h").distinct(), "copies-shared")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(c)] for c in (2, 3))
+            good = pa.array([alike(p, q, similarity) for p, q in zip(x, y)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "copies-pairs")
+        of = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = stored(texts(of).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, hashes binary"), "copies-sets")
+        both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        return stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "copies-links")
+
+    def clustered(edges: DataFrame | None) -> DataFrame:
+        if edges is None:
+            return shared.withColumn("cluster", F.col("node"))
+        return stored(shared.join(components(edges), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("cluster")), "copies-clusters")
+
+    edges = None
+    for turn in range(TURNS):
+        links = checked(neighbours(clustered(edges), turn, similarity))
+        edges = links if edges is None else edges.union(links)
+    return edges.union(checked(remaining(clustered(edges), similarity)))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns as they are.
 
     Texts are near copies if their sets of ``words``-word shingles have a Jaccard similarity of
@@ -159,46 +230,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, distan
     name = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("name"), normalised_name().alias("node"), text_bytes().alias("text"))
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([sketch(t, sketches) for t in batch.column(3).to_pylist()], dtype=np.uint64).reshape(-1, sketches).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * sketches), pa.array(found.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["doc_id", "name", "node", "fps"])
-
-    own = stored(rows.mapInArrow(sketched, "doc_id long, name long, node long, fps array<long>"), "copies")
-    counted = own.groupBy("node", "doc_id", "name").agg(F.count("*").alias("copies"), F.first("fps").alias("fps"))
+    counted = stored(rows.select("doc_id", "name", "node").groupBy("node", "doc_id", "name").agg(F.count("*").alias("copies")), "copies")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("name").alias("name"), "copies")
-    nodes = stored(counted.groupBy("node").agg(F.min(place).alias("best"), F.first("fps").alias("fps")), "copies-nodes")
-
-    fps = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
-    heads = stored(fps.groupBy("s", "fp").agg(F.min("node").alias("head")), "copies-heads")
-    same = fps.join(heads, ["s", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = linked(heads.select("s", "fp"), distance, SKETCH_BLOCKS)
-    left, right = heads.select("s", F.col("fp").alias("a"), F.col("head").alias("x")), heads.select("s", F.col("fp").alias("b"), F.col("head").alias("y"))
-    near = near.join(left, ["s", "a"]).join(right, ["s", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(same.union(near))
-    members = stored(found.union(found.select(F.col("root").alias("node"), "root").distinct()), "copies-members")
-
-    # The text of one row of each member; the others' texts are not shuffled again.
-    texts = rows.select("doc_id", "name", "text")
-    of = members.join(nodes, "node").select("node", "root", F.col("best.doc_id").alias("doc"), F.col("best.name").alias("of"))
-    texts = texts.join(of, texts.doc_id.eqNullSafe(F.col("doc")) & (texts.name == F.col("of"))).select("root", "node", "text")
-    texts = stored(texts, "copies-texts")
-    edges, turn, before = None, 0, None
-    while True:
-        sizes = texts.groupBy("root").agg(F.count("*").alias("n"))
-        hot = stored(sizes.where(F.col("n") > HOT_COMPONENT), "copies-hot")
-        n = hot.agg(F.sum("n")).first()[0] or 0
-        salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (HOT_COMPONENT // 2))).cast("int"), F.lit(0))
-        salted = texts.join(hot, "root", "left").select("root", salt.alias("salt"), "node", "text") if n else texts.withColumn("salt", F.lit(0))
-        links = stored(exact_links(salted, words, similarity), "copies-links")
-        edges = links if edges is None else edges.union(links)
-        if not n or (before is not None and n > 0.9 * before):
-            break
-        # What is left of hot components, one text of each cluster, goes on to the next turn.
-        texts = stored(texts.join(hot.select("root"), "root", "left_semi").join(links.select(F.col("a").alias("node")), "node", "left_anti"), "copies-texts")
-        turn, before = turn + 1, n
-    roots = components(edges)
+    nodes = stored(counted.groupBy("node").agg(F.min(place).alias("best")), "copies-nodes")
+    roots = components(shingle_links(rows, nodes, words, similarity))
     of = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("b"))
     kept = stored(of.select(F.col("b.doc_id").alias("doc"), F.col("b.name").alias("name"), F.col("b.copies").alias("copies")), "copies-kept")
 

@@ -81,3 +81,15 @@ def test_odd_rows(spark):
     # null, empty and blank texts are one group; equal rows leave one
     assert sorted((r.doc_id or 0, r.node) for r in found.collect()) == [(0, 1), (4, 2), (5, 1), (7, 0)]
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_links_across_blocks(spark, monkeypatch):
+    # Chains: every text is similar to the next one only, so no link may be lost to a split.
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(800)]
+    rows = [(d, " ".join(words[20 * d : 20 * d + 300])) for d in range(24)]
+    common = " ".join(f"c{k}" for k in range(300))
+    rows += [(100 + d, common + " " + " ".join(f"x{rng.random()}" for _ in range(30 + d))) for d in range(30)]
+    monkeypatch.setattr(near_copies, "HOT_COMPONENT", 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == brute_kept(rows)
