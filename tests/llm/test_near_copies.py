@@ -83,6 +83,20 @@ def test_odd_rows(spark):
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_passages_added_cut_and_replaced(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(400)]
+        texts += [base, base + [word() for _ in range(80)], base[:335], base[:100] + [word() for _ in range(32)] + base[132:]]
+        texts += [base[:200] + [word() for _ in range(90)] + base[290:]]  # below 0.8 to all others
+    rows = list(enumerate(" ".join(t) for t in texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in near_copies.one_of_each(docs).collect())
+    assert kept == brute_kept(rows) == sorted([*range(0, 60, 5), *range(4, 60, 5)])
+
+
 def test_links_across_blocks(spark, monkeypatch):
     # Chains: every text is similar to the next one only, so no link may be lost to a split.
     rng = random.Random(13)
