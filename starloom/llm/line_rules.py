@@ -6,8 +6,7 @@ labels them, and a text is kept where content lines hold at least half of its ch
 The CRF learns from document labels: lines of documents labelled good are content, lines of
 documents labelled bad start as boilerplate; after a first fit, lines of bad documents that the
 model takes for content become content, and it is fitted once more. It learns from the
-SAMPLE labelled documents with the smallest hash and the first FIT_LINES lines of each; decoding
-always covers whole texts.
+SAMPLE labelled documents with the smallest hash; fitting and decoding cover all lines of a text.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from starloom.llm import crf
 from starloom.llm.common import labelled_sample, small_batches, text_bytes
 from starloom.llm.docstats import BANG, CONTINUED, DIGIT, END, LOWER, NEWLINE, OTHER, PUNCT, SPACE, SYMBOL, UPPER, Lines
 
-SAMPLE, FIT_LINES = 4000, 64
+SAMPLE = 4000
 CONTENT, BOILERPLATE = 0, 1
 SHARE = 0.5
 #: Bin edges of each slot.
@@ -82,8 +81,8 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> crf.C
             lines = Lines(texts)
             slots = line_slots(lines).astype(np.int16)
             ends = np.cumsum(lines.lines)
-            first = [slots[e - n : e - n + min(n, FIT_LINES)] for e, n in zip(ends, lines.lines)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in first], pa.binary())], ["quality", "slots"])
+            whole = [slots[e - n : e] for e, n in zip(ends, lines.lines)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in whole], pa.binary())], ["quality", "slots"])
 
     rows = labelled_sample(docs, labels, sample).select("text", "quality").mapInArrow(described, "quality int, slots binary").collect()
     rows = sorted((r.quality, bytes(r.slots)) for r in rows)

@@ -86,6 +86,19 @@ def test_line_rules(spark, docs, labels, odd):
     assert all(r.kept != r.base_failed for r in line_rules.judge_lines(odd, none).collect())
 
 
+def test_line_rules_learn_from_late_lines(spark):
+    prose = [f"The observer wrote down what stood in plate number {k} of that evening, and went on." for k in range(94)]
+    junk = [f"$$$ {k} ### !!!" for k in range(30)]
+    rows = [(d, "\n".join(prose[:64] + (prose[64:] if d % 2 else junk)), d % 2) for d in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    chain = line_rules.fit_lines(docs, labels)
+    # the two kinds differ after line 64 only
+    found = spark.createDataFrame([(1, "\n".join(prose)), (2, "\n".join(prose[:64] + junk))], "doc_id long, text string")
+    share = {r.doc_id: r.content_share for r in line_rules.judge_lines(found, chain).collect()}
+    assert share[1] == 1 and 0.5 < share[2] < 1
+
+
 def test_quality(spark, docs, labels, odd):
     forest = quality.fit_quality(docs, labels)
     got = quality.score_quality(docs, forest).join(labels.select("doc_id", "quality"), "doc_id").where("held_out").collect()
