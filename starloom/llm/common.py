@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch; a batch holds a few MB even where texts are long.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+#: A join key with more rows than both HOT_ROWS and one in MOST_HOT is dealt to several tasks.
+HOT_ROWS, MOST_HOT = 4096, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +26,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; one of our own only where it is unset and all run on one machine."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="starloom-shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
@@ -56,6 +60,48 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+class Scratch:
+    """Intermediate tables of one run in the shared folder; ``drop`` deletes them together."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.taken = spark, fresh_path(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.taken += 1
+        path = f"{self.path}/{name}-{self.taken}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        forget(self.spark, self.path)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", by: str | None = None, total: int | None = None) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, hot keys of ``big`` dealt to several tasks.
+
+    A key is hot with more than max(HOT_ROWS, rows / MOST_HOT) rows, so there are fewer than
+    MOST_HOT of them whatever the size, and only these reach the driver; rows of ``small`` with such a key are
+    repeated for each of its salts. ``big`` has to be a stored table, whose row numbers are the
+    salts, unless ``by`` names a column that tells the rows of a key apart. ``total``: rows of
+    ``big``, where known.
+    """
+    total = big.count() if total is None else total
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    if total <= limit:
+        return big.join(small, key, how)
+    hot = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    hot = hot.select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
+    found = hot.collect()
+    if not found:
+        return big.join(small, key, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema))
+    salts = F.coalesce("__salts", F.lit(1))
+    row = F.xxhash64(by) if by else F.monotonically_increasing_id()
+    dealt = big.withColumn("__row", row).join(hot, key, "left").withColumn("__salt", F.pmod("__row", salts).cast("int")).drop("__salts", "__row")
+    copied = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
+
+
 def text_bytes(column: str = "text") -> Column:
     """A whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
@@ -73,18 +119,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, modulus: int = 3) -> DataFrame:
-    """text (bytes) and quality of at most ``most`` labelled documents, for fitting a model.
+    """text (bytes) and quality of at most ``most`` labelled rows, for fitting a model.
 
     The documents with the smallest hash of doc_id are taken, none with crc32(doc_id) mod
     ``modulus`` = 1. Labels that are null or neither 0 nor 1 are left out, and so are doc_ids
-    labelled both ways. The sample is bounded, so it can be broadcast to the documents.
+    labelled both ways. A text that stands several times under one doc_id is one row; of several
+    texts under one doc_id that with the smallest hash is taken, so ``most`` bounds the rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(modulus))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")
     drawn = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(drawn), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "quality")).alias("one")
+    return texts.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.quality")

@@ -1,56 +1,111 @@
-"""Near copies by five-word shingles: an exact join of shingle sets over their prefixes.
-
-Every two sets with a Jaccard similarity of ``similarity`` or more share one of the first hashes
-of both (about a fifth of each), whatever order all hashes are put in. So a text has one row for
-each hash of its prefix, and what shares a hash and can still reach the similarity from there on
-is compared exactly. Common hashes, estimated from a sample, come last in the order, so that few
-texts have them in their prefixes; the order decides what is compared and never what is a copy.
+"""SimHash near copies, made complete: no two texts of ``similarity`` or more are missed.
+
+1. SimHash: the fingerprint of a text's five-word shingles is split into pigeonhole blocks, joined on
+   them, and links within three bits are verified (``simhash.linked``), here also by the exact
+   similarity of the shingle sets.
+2. Near copies further apart than three bits: every two sets with a Jaccard similarity of ``similarity``
+   or more share one of the first hashes of both (about a fifth of each), whatever order all hashes
+   are put in. So a text has one row for each hash of its prefix, and what shares a hash and can
+   still reach the similarity from there on is compared exactly. Common hashes, estimated from a
+   sample, come last in the order, so that few texts have them in their prefixes; the order
+   decides what is compared and never what is a copy.
 
 A common hash is no square of its texts: first every text is compared with a few neighbours under
-each hash, and once these links have made clusters, only pairs of different clusters are left. All
-of these are compared, a hash of many texts block against block.
+each hash, and once these links and those of SimHash have made clusters, only pairs of different
+clusters are left. All of these are compared, a hash of many texts block against block.
 
 Texts are compared with A-Z in lower case and white space as single blanks; texts equal in that
-are one node from the start, whatever the number of their copies.
+(by 128 bits of their SHA-256) are one node from the start, whatever the number of their copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import small_batches, stored, text_bytes
-from starloom.llm.simhash import components
+from starloom.llm.common import Scratch, small_batches, spread_join, stored, text_bytes
+from starloom.llm.docstats import BLANK
+from starloom.llm.simhash import components, linked, majority
 
 #: Texts under one hash that a task compares; more are split into blocks.
 HOT_COMPONENT = 20_000
-#: Turns over neighbours before all pairs that are left, and the neighbours of each turn.
-TURNS, NEIGHBOURS = 1, 8
+#: Neighbours that a text is compared with under each hash, before all pairs that are left.
+NEIGHBOURS = 8
 #: Texts from which the common hashes are estimated, how many of them share a common hash, and the most that are kept.
 SAMPLE, COMMON, MOST_COMMON = 5_000, 5, 100_000
 #: So many texts' names are broadcast where their texts are looked up; more are shuffled.
-BROADCAST = 1_000_000
-
-
-def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
-    """Distinct hashes of all shingles in ascending order; a shorter text is one shingle, none where it has no word."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    windows = {b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))}
-    return np.unique(np.array([xxhash.xxh64_intdigest(w, 7) for w in windows], dtype=np.uint64))
+BROADCAST = 200_000
+#: Bytes of texts that are hashed in one go, and names of texts that a task remembers; bounds on memory only.
+GROUP, REMEMBERED = 1 << 20, 100_000
+MIX = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """A hash of every word (A-Z in lower case) of each text, for about GROUP bytes of texts at once."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < GROUP):
+            size += len(texts[end]) + 1
+            end += 1
+        data = np.frombuffer(b"\n".join(texts[at:end]).lower(), dtype=np.uint8)
+        shown = ~BLANK[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], shown, [False]])))
+        starts, sizes = edge[::2], edge[1::2] - edge[::2]
+        if len(starts):
+            begin = np.cumsum(sizes) - sizes
+            offset = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+            powers = np.full(int(sizes.max()), np.uint64(MIX))
+            powers[0] = 1
+            powers = np.multiply.accumulate(powers)
+            h = _mixed(np.add.reduceat((data[shown].astype(np.uint64) + np.uint64(1)) * powers[offset], begin))
+        else:
+            h = np.zeros(0, dtype=np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts[at:end]])
+        cut = np.searchsorted(starts, ends)
+        for low, high in zip([0, *cut[:-1].tolist()], cut.tolist()):
+            yield h[low:high]
+        at = end
+
+
+def shingle_hashes(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
+    """For each text hashes of all shingles in their order; a shorter text is one shingle, none where it has no word."""
+    for own in word_hashes(texts):
+        width = min(words, len(own))
+        n = len(own) - width + 1 if width else 0
+        h = np.full(n, np.uint64(width))
+        for k in range(width):
+            h = h * np.uint64(MIX) + own[k : k + n]
+        yield _mixed(h)
+
+
+def shingle_sets(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
+    """For each text the distinct hashes of all shingles in ascending order."""
+    for own in shingle_hashes(texts, words):
+        yield np.unique(own)
 
 
 def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first hashes of a set, ``common`` ones last; of sets of ``similarity`` or more one is shared."""
-    late = np.isin(own, common, assume_unique=True)
-    return np.concatenate([own[~late], own[late]])[: len(own) - ceil(similarity * len(own) - 1e-9) + 1] if len(own) else own
+    """The first hashes of a set, ``common`` ones (in ascending order) last; of sets of ``similarity`` or more one is shared."""
+    if not len(own):
+        return own
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]
 
 
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -58,10 +113,17 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def normalised_name(column: str = "text") -> Column:
-    """A hash of the text with A-Z in lower case and single blanks; of null and of blanks that of the empty text."""
-    low = F.translate(F.coalesce(F.col(column).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.xxhash64(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")))
+def text_name(column: str = "text") -> Column:
+    """128 bits of the SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(text_bytes(column), 256), 1, 32))
+
+
+def name_of(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
+
+
+def normalised(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
 
 
 def reachable(n, pos, m, at, similarity: float, least=np.minimum):
@@ -69,20 +131,20 @@ def reachable(n, pos, m, at, similarity: float, least=np.minimum):
     return least(n - pos, m - at) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
 
 
-def neighbours(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different clusters among neighbours under one hash, in an order of this turn."""
+def neighbours(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) among neighbours under one hash, in an order by chance."""
     hot = rows.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > HOT_COMPONENT)
-    salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.ceil(F.col("size") / (HOT_COMPONENT // 2))), F.lit(0))
-    window = Window.partitionBy("h", "salt").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    row = F.struct("node", "cluster", "n", "pos")
+    salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("size") / (HOT_COMPONENT // 2))), F.lit(0))
+    window = Window.partitionBy("h", "salt").orderBy(F.xxhash64("node", F.lit(0)), "node")
+    row = F.struct("node", "n", "pos")
     lags = F.array(*(F.lag(row, k).over(window) for k in range(1, NEIGHBOURS + 1)))
-    found = rows.join(stored(hot, "copies-hot"), "h", "left").withColumn("salt", salt).withColumn("o", lags)
-    found = found.select("node", "cluster", "n", "pos", F.explode("o").alias("o")).where("cluster <> o.cluster")
+    found = rows.join(work.stored(hot, "hot"), "h", "left").withColumn("salt", salt).withColumn("o", lags)
+    found = found.select("node", "n", "pos", F.explode("o").alias("o")).where("o IS NOT NULL")
     found = found.where(reachable(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), similarity, F.least))
     return found.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
-def remaining(rows: DataFrame, similarity: float) -> DataFrame:
+def remaining(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of different clusters that share a hash and can be similar.
 
     Texts of the largest cluster under a hash are compared with the others only, and these with
@@ -95,7 +157,7 @@ def remaining(rows: DataFrame, similarity: float) -> DataFrame:
     last = F.col("first") + F.col("second") - 1
     block = F.when(F.col("cluster") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("second")))
     others = F.when(F.col("block") < F.col("first"), F.sequence("first", last)).otherwise(F.sequence(F.lit(0).cast("long"), last))
-    dealt = rows.join(stored(sizes, "copies-sizes"), "h").withColumn("block", block).withColumn("other", F.explode(others))
+    dealt = spread_join(rows, work.stored(sizes, "sizes"), "h").withColumn("block", block).withColumn("other", F.explode(others))
     dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster", F.col("n").cast("long"), F.col("pos").cast("long"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,49 +208,62 @@ def remaining(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(compared, "a long, b long").distinct()
 
 
-def shingle_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that join every two nodes of ``similarity`` or more, directly or through others.
 
-    ``rows`` have (doc_id, name, node, text), ``nodes`` (node, best) with the place of one row of each.
+    ``texts`` have (doc, name, text); ``nodes`` (node, called, fp, best): its number, its name, its
+    fingerprint, and the place of one row of it.
     """
-    spark = rows.sparkSession
 
-    def texts(of: DataFrame) -> DataFrame:
-        """node and text of some nodes; of equal rows all."""
-        of = of.join(nodes, "node").select(F.col("node").alias("of"), F.col("best.doc_id").alias("doc"), F.col("best.name").alias("called"))
-        of = stored(of, "copies-wanted")
+    def texts_of(of: DataFrame) -> DataFrame:
+        """node and text of some nodes, once for each of equal rows."""
+        of = work.stored(of.join(nodes, "node").select("node", F.col("best.doc_id").alias("d"), F.col("best.name").alias("n")), "wanted")
         of = F.broadcast(of) if of.count() <= BROADCAST else of
-        texts = rows.select("doc_id", "name", "text")
-        return texts.join(of, texts.doc_id.eqNullSafe(F.col("doc")) & (texts.name == F.col("called"))).select(F.col("of").alias("node"), "text")
+        return texts.join(of, texts.doc.eqNullSafe(F.col("d")) & (texts.name == F.col("n"))).select("node", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["h"])
+            for own in shingle_sets(batch.column(0).to_pylist(), words):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
 
-    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, nodes.count() // SAMPLE))) == 0).select("node")
-    common = texts(some).mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    common = np.array([r.h for r in common.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(np.uint64)
+    step = max(1, nodes.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("name", F.lit(7)), F.lit(step)) == 0).select("text").distinct()
+    common = some.mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    common = np.sort(np.array([r.h for r in common.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(np.uint64))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            first = [prefix(x, common, similarity) for x in sets]
+            fresh, names, sets, first = {}, [], [], []
+            for text in batch.column(0).to_pylist():
+                name = name_of(normalised(text))
+                if name not in seen:  # an exact copy has the same rows
+                    fresh.setdefault(name, text)
+            if len(seen) + len(fresh) > REMEMBERED:
+                seen.clear()
+            seen.update(fresh)
+            for name, own in zip(fresh, shingle_sets(list(fresh.values()), words)):
+                if len(own):
+                    names.append(name)
+                    sets.append(len(own))
+                    first.append(prefix(own, common, similarity))
             sizes = np.array([len(f) for f in first], dtype=np.int64)
             h = np.concatenate([*first, np.zeros(0, dtype=np.uint64)]).view(np.int64)
-            node = np.repeat(batch.column(0).to_numpy(), sizes)
-            n = np.repeat(np.array([len(x) for x in sets], dtype=np.int32), sizes)
+            called = np.repeat(np.frombuffer(b"".join(names), dtype=">i8").reshape(-1, 2).astype(np.int64), sizes, axis=0)
+            n = np.repeat(np.array(sets, dtype=np.int32), sizes)
             pos = np.concatenate([*(np.arange(k, dtype=np.int32) for k in sizes), np.zeros(0, dtype=np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(n), pa.array(pos)], ["h", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, called[:, 0].copy(), called[:, 1].copy(), n, pos)], ["h", "c0", "c1", "n", "pos"])
 
-    # Exact copies have equal rows here, and a hash that only they have is not shared.
-    own = stored(rows.select("node", "text").mapInArrow(prefixes, "h long, node long, n int, pos int"), "copies-prefixes")
-    shared = own.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
-    shared = stored(own.join(shared, "h").distinct(), "copies-shared")
+    # A hash that only exact copies of one text have is not shared.
+    own = work.stored(texts.select("text").mapInArrow(prefixes, "h long, c0 long, c1 long, n int, pos int"), "prefixes")
+    several = own.groupBy("h").agg(F.min("c0").alias("x"), F.max("c0").alias("y"), F.min("c1").alias("u"), F.max("c1").alias("v")).where("x <> y OR u <> v").select("h")
+    half = lambda k: F.conv(F.hex(F.substring("called", k, 8)), 16, -10).cast("long")
+    shared = own.join(several, "h").distinct().join(nodes.select(half(1).alias("c0"), half(9).alias("c1"), "node"), ["c0", "c1"]).select("h", "node", "n", "pos")
+    shared = work.stored(shared, "shared")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            found = [own.tobytes() for own in shingle_sets(batch.column(1).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,22 +273,22 @@ def shingle_links(rows: DataFrame, nodes: DataFrame, words: int, similarity: flo
             yield batch.select(["a", "b"]).filter(good)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "copies-pairs")
+        pairs = work.stored(pairs, "pairs")
         of = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = stored(texts(of).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, hashes binary"), "copies-sets")
-        both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "copies-links")
-
-    def clustered(edges: DataFrame | None) -> DataFrame:
-        if edges is None:
-            return shared.withColumn("cluster", F.col("node"))
-        return stored(shared.join(components(edges), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("cluster")), "copies-clusters")
-
-    edges = None
-    for turn in range(TURNS):
-        links = checked(neighbours(clustered(edges), turn, similarity))
-        edges = links if edges is None else edges.union(links)
-    return edges.union(checked(remaining(clustered(edges), similarity)))
+        held = work.stored(texts_of(of).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, hashes binary"), "sets")
+        both = spread_join(pairs, held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+        both = both.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        return work.stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "links")
+
+    # SimHash: nodes of one fingerprint, and the first nodes of fingerprints within three bits
+    some = nodes.where("fp IS NOT NULL")
+    first = work.stored(some.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "fingerprints")
+    equal = some.join(first.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = work.stored(linked(first.select("fp")), "near").join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = checked(equal.union(near).union(neighbours(work, shared, similarity)).distinct())
+    clusters = shared.join(components(links), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("cluster"))
+    return links.union(checked(remaining(work, work.stored(clusters, "clusters"), similarity)))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -227,18 +302,32 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     spark = docs.sparkSession
     small_batches(spark)
-    name = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("name"), normalised_name().alias("node"), text_bytes().alias("text"))
+    work = Scratch(spark, "near-copies")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_bytes().alias("text"))
 
-    counted = stored(rows.select("doc_id", "name", "node").groupBy("node", "doc_id", "name").agg(F.count("*").alias("copies")), "copies")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("name").alias("name"), "copies")
-    nodes = stored(counted.groupBy("node").agg(F.min(place).alias("best")), "copies-nodes")
-    roots = components(shingle_links(rows, nodes, words, similarity))
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Names of the text as it is and normalised, and the fingerprint of its shingles."""
+        for batch in batches:
+            names, called, fps = [], [], []
+            whole = batch.column(1).to_pylist()
+            for text, hashes in zip(whole, shingle_hashes(whole, words)):
+                names.append(name_of(text))
+                called.append(name_of(normalised(text)))
+                fps.append(int(np.uint64(majority(hashes)).view(np.int64)) if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(called, pa.binary()), pa.array(fps, pa.int64())], ["doc_id", "name", "called", "fp"])
+
+    marks = texts.mapInArrow(described, "doc_id long, name binary, called binary, fp long")
+    counted = marks.groupBy("called", "doc_id", "name").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name", "copies")
+    nodes = counted.groupBy("called").agg(F.min(place).alias("best"), F.first("fp").alias("fp"))
+    nodes = work.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "called", "fp", "best"), "nodes")
+    roots = components(shingle_links(work, texts.select("doc", text_name().alias("name"), "text"), nodes, words, similarity))
     of = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("b"))
-    kept = stored(of.select(F.col("b.doc_id").alias("doc"), F.col("b.name").alias("name"), F.col("b.copies").alias("copies")), "copies-kept")
+    kept = stored(of.select(F.col("b.doc_id").alias("doc"), F.col("b.name").alias("name"), F.col("b.copies").alias("copies")), "near-copies-kept")
+    work.drop()
 
     # Columns of docs go through in a struct, so that no name can clash.
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), name.alias("name"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), text_name().alias("name"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     def only(part: DataFrame) -> DataFrame:
         part = part.select(F.col("doc").alias("d"), F.col("name").alias("of"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import small_batches, stored, text_bytes
+from starloom.llm.common import Scratch, small_batches, spread_join, stored, text_bytes
 
 BLOCKS = 6
 #: More than the number of any mask.
@@ -43,6 +43,11 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         starts = np.concatenate([[0], ends[:-words]])
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(whole[a:b], seed) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     total = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 15):
         part = hashes[k : k + (1 << 15)]
@@ -51,19 +56,17 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and the columns ``keep``, one row for each of ``docs``."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), one row for each of ``docs``."""
     small_batches(docs.sparkSession)
-    kept = [F.col(c) for c in keep]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("__text"), *kept)
-    schema = ", ".join(["doc_id long", "fp long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(bits: int, blocks: int, agree: int) -> list[int]:
@@ -171,23 +174,31 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of ``edges`` (a, b) that isn't a root itself.
 
     Alternating large and small stars; every round is written to the shared folder, so a lost
-    executor costs one round, and nothing but two sums per round reaches the driver.
+    executor costs one round, and nothing but two sums per round reaches the driver. Nodes with
+    many edges are dealt to several tasks.
     """
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "components")
+    spark = edges.sparkSession
 
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         return r.n, r.x
 
+    last = Scratch(spark, "components")
+    edges = last.stored(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "edges")
     before = mark(edges)
     while before[0]:
+        work = Scratch(spark, "components")
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "components")
+        large = spread_join(both, least, "a", by="b", total=2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = work.stored(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "components")
+        small = spread_join(large, least, "a", by="b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        following = Scratch(spark, "components")
+        edges = following.stored(small, "edges")
+        work.drop()
+        last.drop()
+        last = following
         now = mark(edges)
         if now == before:
             break
@@ -195,22 +206,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component_id and the columns ``keep`` of every row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, fp and component_id of every row of ``docs``.
 
     component_id is the smallest doc_id among all rows reachable over links, the row itself
     included; a null doc_id never is the smallest, and a component of nulls only has none. Null
     and empty texts, and those of blanks, have fingerprint zero and are linked like any other.
-    Repeated rows have equal fingerprints. An empty table gives no rows; columns besides doc_id,
-    text and ``keep`` are not read.
+    Repeated rows have equal fingerprints. An empty table gives no rows; columns besides doc_id
+    and text are not read. A fingerprint of many rows is dealt to several tasks.
     """
-    own = stored(fingerprints(docs, words, keep), "simhash")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(linked(nodes, distance)).select(F.col("node").alias("fp"), "root")
-    of = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    spark = docs.sparkSession
+    own = stored(fingerprints(docs, words), "simhash")
+    work = Scratch(spark, "simhash")
+    nodes = work.stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(work.stored(linked(nodes, distance), "links"))
+    roots = found.select(F.col("node").alias("fp"), "root")
+    of = work.stored(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
+    named = stored(spread_join(of, smallest, "root").select("fp", "component_id"), "simhash-names")
+    work.drop()
+    return spread_join(own, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
