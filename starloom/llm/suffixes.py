@@ -7,9 +7,13 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
    gram occurs at two places or more are looked at any further (a filter on hashes; it decides nothing).
 2. Each bucket's distinct segments get a suffix array by two-stage sorting: suffixes smaller than
    their successors are sorted directly, all others are induced by scanning the buckets of first
-   bytes, and neighbours with a common prefix of LENGTH bytes are repeats. A segment that occurs
-   twice as a whole counts twice. Buckets too large for one array are decided window by window.
-3. The covered ranges go back to their texts.
+   bytes; then the common prefixes of neighbours are computed (up to LENGTH bytes), and those of
+   LENGTH are repeats. A segment that occurs twice as a whole counts twice.
+3. A bucket of more than HOT_BYTES of distinct segments is split into blocks, each with a suffix array of
+   its own. What repeats within a block is decided by it; the others compare what the arrays of different blocks
+   hold, one entry for each distinct window of a block, by 128-bit hashes. So a passage that is
+   in every document has one entry a block there, not one a document.
+4. The covered ranges go back to their texts.
 
 Texts are named by the first bits of their SHA-256, never by their row, so that a lost executor or another
 split of the input changes nothing. Text is shuffled compressed, by that name.
@@ -26,17 +30,20 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from starloom.llm.common import forget, fresh_path, small_batches, stored, text_bytes
+from starloom.llm.common import Scratch, small_batches, spread_join, stored
 
 LENGTH = 200
 GRAM = 32
 #: Starts of windows in one segment at most, and in one piece of a long text.
 LONGEST, PIECE = 4096, 1 << 18
-#: Bytes of segments that share one suffix array, and of a bucket that gets one; sorting takes some hundred bytes for each.
+#: Bytes of segments that share one suffix array, and of a bucket that isn't split; sorting takes some hundred bytes for each.
 ARRAY_BYTES, HOT_BYTES = 1 << 19, 1 << 20
 #: Names of texts and segments that a task remembers; bounds on memory only.
 REMEMBERED, HELD = 100_000, 10_000
+#: So many names of large buckets are broadcast; more are shuffled.
+BROADCAST = 200_000
 BASE = 0x9E3779B97F4A7C15
 
 _POWERS: list[np.ndarray] = []
@@ -141,8 +148,21 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated_starts(parts: list[bytes], depth: int = LENGTH) -> list[np.ndarray]:
-    """For each part, which of its starts begin ``depth`` bytes that another start of any part begins too."""
+def common_prefixes(data: bytes, order: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes that each of these suffixes (of ``depth`` bytes at least) shares with the one before it, ``depth`` at most; 0 for the first."""
+    out = np.zeros(len(order), dtype=np.int64)
+    if len(order) < 2:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), depth)
+    for k in range(1, len(order), 1 << 14):
+        differ = windows[order[k - 1 : k - 1 + (1 << 14)][: len(order) - k]] != windows[order[k : k + (1 << 14)]]
+        first = differ.argmax(axis=1)
+        out[k : k + len(first)] = np.where(differ[np.arange(len(first)), first], first, depth)
+    return out
+
+
+def repeated_starts(parts: list[bytes], depth: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each part, which of its starts begin ``depth`` bytes that another start of any part begins too, and which are the first of their kind in the array."""
     data = b"".join(parts)
     sizes = np.array([len(p) for p in parts])
     begin = np.cumsum(sizes) - sizes
@@ -151,16 +171,11 @@ def repeated_starts(parts: list[bytes], depth: int = LENGTH) -> list[np.ndarray]
     for b, n in zip(begin, sizes):
         usable[b : b + n - depth + 1] = True
     order = order[usable[order]]
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), depth)
-    found = np.zeros(len(data), dtype=bool)
-    for k in range(0, len(order) - 1, 1 << 14):
-        a, b = order[k : k + (1 << 14)], order[k + 1 : k + (1 << 14) + 1]
-        a = a[: len(b)]
-        near = windows[a, :8].copy().view(np.uint64) == windows[b, :8].copy().view(np.uint64) if depth >= 8 else np.ones((len(a), 1), dtype=bool)
-        a, b = a[near[:, 0]], b[near[:, 0]]
-        same = (windows[a] == windows[b]).all(axis=1)
-        found[a[same]] = found[b[same]] = True
-    return [found[b : b + n - depth + 1] for b, n in zip(begin, sizes)]
+    same = common_prefixes(data, order, depth) == depth
+    found, first = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    found[order[same]] = found[order[:-1][same[1:]]] = True
+    first[order[~same]] = True
+    return tuple([x[b : b + n - depth + 1] for b, n in zip(begin, sizes)] for x in (found, first))
 
 
 def covered(starts: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -189,40 +204,37 @@ def name_of(text: bytes) -> tuple[int, int]:
 PARTS = "kind string, h long, digest binary, key long, mark long, start int, n long, seg binary"
 
 
-def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(work: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, found) for the texts of ``docs``.
 
-    texts: key, mark (name of the text), packed (compressed text) and all columns of ``docs`` but
-    text. found, by key: rows (mark, whole, start, ranges) collected in ``marks``.
+    texts: key, mark (name of the text), packed (compressed text, null for null) and row (a struct of all
+    columns of ``docs`` but text). found, by key: rows (mark, whole, start, ranges) collected in ``marks``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    others = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    plain = docs.select(text_bytes().alias("__text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            names = [name_of(t) for t in texts]
-            columns = [pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["__key", "__mark", "__packed", *others])
+            names = [name_of(t or b"") for t in texts]
+            columns = [pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([None if t is None else squeeze.compress(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["key", "mark", "size", "packed", "row"])
 
-    texts = docs.select(text_bytes().alias("__text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(packed, "__key long, __mark long, __packed binary" + (", " + kinds if kinds else ""))
-
-    sha = F.sha2("__text", 256)
-    part = lambda k: F.conv(F.substring("sha", k, 16), 16, -10).cast("long")
-    copies = plain.where(F.length("__text") >= LENGTH).select(sha.alias("sha")).groupBy("sha").count().where("count > 1")
-    copies = stored(copies.select(part(1).alias("key"), part(17).alias("mark")), "suffix-copies")
+    texts = work.stored(rows.mapInArrow(packed, StructType.fromDDL("key long, mark long, size long, packed binary").add("row", rows.schema["row"].dataType)), "texts")
+    plain = texts.where(F.col("size") >= LENGTH).select("packed")
+    copies = texts.where(F.col("size") >= LENGTH).groupBy("key", "mark").count().where("count > 1")
+    copies = work.stored(copies.select("key", "mark"), "copies")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
-            for text in batch.column(0).to_pylist():
-                if len(text) < LENGTH:
-                    continue
+            for data in batch.column(0).to_pylist():
+                text = unpack.decompress(data)
                 name = name_of(text)
                 if name in seen:
                     continue
@@ -237,7 +249,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h", "key", "many"])
 
-    pairs = stored(plain.mapInArrow(grams, "h long, key long, many boolean"), "suffix-grams")
+    pairs = work.stored(plain.mapInArrow(grams, "h long, key long, many boolean"), "grams")
     shared = pairs.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("many").alias("many")).where("a < b or many").select("h")
     wanted = pairs.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
 
@@ -283,102 +295,117 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         yield from out()
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text that stands more than once comes once from each task."""
+        seen: set = set()
+        for batch in batches:
+            keep = []
+            for name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keep.append(name not in seen)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(name)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
     # a text that stands more than once goes as a whole; it still shows its passages to the others
-    marked = texts.select(F.col("__key").alias("key"), F.col("__mark").alias("mark"), "__packed").join(wanted, "key")
+    marked = texts.where(F.col("size") >= LENGTH).select("key", "mark", "packed").mapInArrow(once, "key long, mark long, packed binary").join(wanted, "key")
     doubled = copies.select("key", F.lit(True).alias("whole"), F.col("mark").alias("m")).groupBy("key").agg(F.collect_set("m").alias("ms"))
-    wide = marked.join(doubled, "key", "left").select("key", "mark", F.col("__packed").alias("packed"), F.coalesce(F.array_contains("ms", F.col("mark")), F.lit(False)).alias("whole"), "hs")
-    folder = fresh_path(spark, "suffix-parts")
+    wide = marked.join(doubled, "key", "left").select("key", "mark", "packed", F.coalesce(F.array_contains("ms", F.col("mark")), F.lit(False)).alias("whole"), "hs")
+    folder = f"{work.path}/parts"
     wide.mapInArrow(cut, PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
     both = spark.read.schema(PARTS).parquet(folder)
     segs = both.where("kind = 'seg'").select("h", "digest", "n", "seg")
     occurrences = both.where("kind = 'occ'").select("digest", "key", "mark", "start")
 
-    hot = stored(segs.groupBy("h").agg(F.sum(F.length("seg")).alias("size")).where(F.col("size") > HOT_BYTES).select("h"), "suffix-hot")
+    # how many blocks a bucket takes, measured over its distinct segments
+    large = work.stored(segs.groupBy("h").agg(F.sum(F.length("seg")).alias("size")).where(F.col("size") > HOT_BYTES).select("h"), "large")
+    few = large.count() <= BROADCAST
+    hot = segs.join(F.broadcast(large) if few else large, "h", "left_semi").groupBy("h", "digest").agg(F.max(F.length("seg")).alias("size"))
+    hot = hot.groupBy("h").agg(F.sum("size").alias("size")).where(F.col("size") > HOT_BYTES).select("h", F.ceil(F.col("size") / ARRAY_BYTES).cast("int").alias("blocks"))
+    hot = work.stored(hot, "hot")
+    split = not hot.isEmpty()
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         size, bucket = 0, None
 
-        def out() -> pa.RecordBatch:
-            digests, ranges = [], []
-            for (digest, (seg, n)), found in zip(held.items(), repeated_starts([s for s, _ in held.values()])):
+        def out() -> Iterator[pa.RecordBatch]:
+            digests, ranges, ws, ks = [], [], [], []
+            for (digest, (seg, n, shared)), found, first in zip(held.items(), *repeated_starts([seg for seg, _, _ in held.values()])):
                 starts = np.arange(len(found)) if n > 1 else np.flatnonzero(found)
                 if len(starts):
                     digests.append(digest)
                     ranges.append(covered(starts).tobytes())
+                    ws.append(None)
+                    ks.append(None)
+                if shared:  # other blocks of the bucket have to know the windows of this one, and it theirs
+                    for k in np.flatnonzero(first).tolist():
+                        still = n == 1 and not found[k]
+                        digests.append(digest if still else None)
+                        ranges.append(None)
+                        ws.append(xxhash.xxh3_128_digest(seg[k : k + LENGTH]))
+                        ks.append(k if still else None)
+                if len(ws) >= 50_000:
+                    yield batch_of(digests, ranges, ws, ks)
+                    digests, ranges, ws, ks = [], [], [], []
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ranges, pa.binary())], ["digest", "ranges"])
+            yield batch_of(digests, ranges, ws, ks)
+
+        def batch_of(*columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.int32()))], ["digest", "ranges", "w", "k"])
 
         for batch in batches:
-            for h, digest, n, seg in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != bucket and size >= ARRAY_BYTES:
-                    yield out()
+            for h, block, digest, n, seg in zip(*(c.to_pylist() for c in batch.columns)):
+                if (h, block) != bucket and size >= ARRAY_BYTES:
+                    yield from out()
                     size = 0
-                bucket = h
+                bucket = (h, block)
                 if digest in held:
                     held[digest][1] += n
                 else:
-                    held[digest] = [seg, n]
+                    held[digest] = [seg, n, block >= 0]
                     size += len(seg)
         if held:
-            yield out()
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
-
-        def whole() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.binary(), pa.binary(), pa.int32(), pa.int64()])], ["w", "digest", "k", "n"])
-            for column in out:
-                column.clear()
-            return found
-
-        for batch in batches:
-            for _, digest, n, seg in zip(*(c.to_pylist() for c in batch.columns)):
-                m = len(seg) - LENGTH + 1
-                for column, values in zip(out, ([xxhash.xxh3_128_digest(seg[k : k + LENGTH]) for k in range(m)], [digest] * m, range(m), [n] * m)):
-                    column.extend(values)
-                if len(out[0]) >= 100_000:
-                    yield whole()
-            if out[0]:
-                yield whole()
+            yield from out()
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranges = [covered(np.sort(np.array(k))).tobytes() for k in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranges, pa.binary())], ["digest", "ranges"])
 
-    if hot.isEmpty():
-        cold, found = segs, None
+    if split:
+        segs = segs.join(F.broadcast(hot) if few else hot, "h", "left")
+        block = F.coalesce(F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"), F.lit(-1))
+    else:
+        block = F.lit(-1)
+    dealt = segs.select("h", block.alias("block"), "digest", "n", "seg").repartition("h", "block").sortWithinPartitions("h", "block", "digest")
+    ranges = work.stored(dealt.mapInArrow(arrays, "digest binary, ranges binary, w binary, k int"), "ranges")
+    if split:
+        entries = ranges.where("w IS NOT NULL").select("w", "digest", "k")
+        several = work.stored(entries.groupBy("w").count().where("count > 1").select("w"), "several")
+        again = spread_join(work.stored(entries.where("k IS NOT NULL"), "open"), several, "w").groupBy("digest").agg(F.collect_set("k").alias("ks"))
+        ranges = ranges.where("w IS NULL").select("digest", "ranges").unionByName(again.mapInArrow(to_ranges, "digest binary, ranges binary"))
     else:
-        cold = segs.join(hot, "h", "left_anti").select("h", "digest", "n", "seg")
-        each = segs.join(hot, "h", "left_semi").select("h", "digest", "n", "seg").mapInArrow(windows, "w binary, digest binary, k int, n long")
-        twice = each.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-        found = each.join(twice, "w").groupBy("digest").agg(F.collect_set("k").alias("ks")).mapInArrow(to_ranges, "digest binary, ranges binary")
-    ranges = cold.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(arrays, "digest binary, ranges binary")
-    if found is not None:
-        ranges = ranges.unionByName(found)
+        ranges = ranges.select("digest", "ranges")
     hits = occurrences.join(ranges, "digest").select("key", F.struct("mark", F.lit(False).alias("whole"), "start", "ranges").alias("m"))
     wholes = copies.select("key", F.struct("mark", F.lit(True).alias("whole"), F.lit(0).alias("start"), F.lit(b"").cast("binary").alias("ranges")).alias("m"))
-    marks = stored(hits.unionByName(wholes).groupBy("key").agg(F.collect_list("m").alias("marks")), "suffix-marks")
-    forget(spark, folder)
-    return texts, marks
+    return texts, work.stored(hits.unionByName(wholes).groupBy("key").agg(F.collect_list("m").alias("marks")), "marks")
 
 
 def _kept(docs: DataFrame, schema: str, row) -> DataFrame:
-    """``row`` maps (text bytes, ranges to remove) to column values placed after the other columns of ``docs``."""
-    texts, marks = repeated_ranges(docs)
-    others = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    names = [f.split()[0] for f in schema.split(", ")]
+    """A struct ``row`` of the columns of ``docs`` but text, and what ``row`` makes of (text bytes or None, ranges to remove)."""
+    work = Scratch(docs.sparkSession, "suffixes")
+    texts, marks = repeated_ranges(work, docs)
+    made = StructType.fromDDL(schema)
     # the compressed text stays with its row; only the ranges of a text come to it
-    joined = texts.join(marks.withColumnsRenamed({"key": "__key", "marks": "__marks"}), "__key", "left").select("__mark", "__packed", "__marks", *[F.col(f"`{c}`") for c in others])
+    joined = spread_join(texts, marks, "key", "left").select("mark", "packed", "marks", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in made.names]
             for mark, data, marks in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = unpack.decompress(data)
+                text = None if data is None else unpack.decompress(data)
                 own = [m for m in marks or [] if m["mark"] == mark]
                 if any(m["whole"] for m in own):
                     ranges = np.array([[0, len(text)]])
@@ -387,10 +414,13 @@ def _kept(docs: DataFrame, schema: str, row) -> DataFrame:
                     ranges = join_ranges(np.concatenate(parts)) if parts else np.zeros((0, 2), dtype=np.int64)
                 for column, value in zip(out, row(text, ranges)):
                     column.append(value)
-            columns = [pa.array(c, {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for c, f in zip(out, schema.split(", "))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *columns], [*others, *names])
+            kinds = {"bigint": pa.int64(), "string": pa.string()}
+            columns = [pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(out, made)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), *columns], ["row", *made.names])
 
-    return joined.mapInArrow(run, (kinds + ", " if kinds else "") + schema)
+    found = stored(joined.mapInArrow(run, StructType([texts.schema["row"], *made])), "suffixes-kept")
+    work.drop()
+    return found
 
 
 def _without(text: bytes, ranges: np.ndarray) -> bytes:
@@ -410,16 +440,26 @@ def removal_report(docs: DataFrame) -> DataFrame:
     not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _kept(rows, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda text, ranges: (len(text), int((ranges[:, 1] - ranges[:, 0]).sum()), len(ranges), hashlib.sha256(_without(text, ranges)).hexdigest()))
+
+    def counts(text: bytes | None, ranges: np.ndarray) -> tuple:
+        text = text or b""
+        return len(text), int((ranges[:, 1] - ranges[:, 0]).sum()), len(ranges), hashlib.sha256(_without(text, ranges)).hexdigest()
+
+    return _kept(rows, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", counts).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut out of text; n_chars, where there is one, follows it.
+    """``docs`` with repeated passages cut out of text; n_chars, where there is one, follows a text that was cut.
 
-    A character of which a byte is removed goes as a whole. A null text comes back as an empty one.
+    A character of which a byte is removed goes as a whole. A null text stays null. All other
+    columns, whatever their names, come back as they are.
     """
-    columns = docs.columns
-    found = _kept(docs, "text string", lambda text, ranges: (_without(text, ranges).decode("utf-8", "ignore"),))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*[F.col(f"`{c}`") for c in columns])
+
+    def cut(text: bytes | None, ranges: np.ndarray) -> tuple:
+        return None if text is None else _without(text, ranges).decode("utf-8", "ignore"), len(ranges)
+
+    found = _kept(docs, "kept string, n_spans long", cut)
+    whole = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept").cast(docs.schema["text"].dataType)}
+    if "n_chars" in whole:
+        whole["n_chars"] = F.when(F.col("n_spans") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(whole["n_chars"])
+    return found.select(*[whole[c].alias(c) for c in docs.columns])

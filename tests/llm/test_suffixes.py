@@ -25,7 +25,9 @@ def test_repeated_starts():
     for _ in range(100):
         parts = [bytes(draw.choices(b"ab", k=draw.randint(9, 40))) for _ in range(draw.randint(1, 6))]
         windows = Counter(p[i : i + 9] for p in parts for i in range(len(p) - 8))
-        found = suffixes.repeated_starts(parts, 9)
+        found, first = suffixes.repeated_starts(parts, 9)
+        kinds = [p[i : i + 9] for p, f in zip(parts, first) for i in np.flatnonzero(f)]
+        assert len(kinds) == len(set(kinds)) == len(windows)
         assert [f.tolist() for f in found] == [[windows[p[i : i + 9]] > 1 for i in range(len(p) - 8)] for p in parts]
 
 
@@ -53,29 +55,47 @@ def odd_texts():
     return texts + [copy, copy, copy[:350] + noise(90), "Nd, " * 90, "short", noise(250)]
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 0])
-def test_removal_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
-    texts = odd_texts()
+def check_removal(spark, texts):
     docs = spark.createDataFrame([(None if i == 3 else i // 2, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     got = sorted(((r.doc_id is not None, r.doc_id or 0), *tuple(r)[1:]) for r in suffixes.removal_report(docs).collect())
     found = brute([(t or "").encode() for t in texts])
     assert got == sorted(((i != 3, 0 if i == 3 else i // 2), *f) for i, f in enumerate(found))
 
 
-def test_small_pieces_change_nothing(spark, monkeypatch):
+def test_removal_equals_brute_force(spark):
+    check_removal(spark, odd_texts())
+
+
+def test_small_limits_change_nothing(spark, monkeypatch):
+    # buckets of every size are split into blocks of a few segments
+    for name, value in (("HOT_BYTES", 0), ("ARRAY_BYTES", 900), ("REMEMBERED", 2), ("HELD", 3), ("BROADCAST", 2)):
+        monkeypatch.setattr(suffixes, name, value)
+    draw = random.Random(12)
+    noise = lambda n: "".join(draw.choices("abcdefgh é\n", k=n))
+    license_line = noise(260)
+    check_removal(spark, odd_texts() + [noise(draw.randint(0, 90)) + license_line + noise(draw.randint(0, 90)) for _ in range(40)])
+
+
+def test_small_pieces_hold_every_window(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 300)
     monkeypatch.setattr(suffixes, "LONGEST", 20)
-    monkeypatch.setattr(suffixes, "ARRAY_BYTES", 2000)
-    monkeypatch.setattr(suffixes, "REMEMBERED", 2)
-    monkeypatch.setattr(suffixes, "HELD", 3)
-    texts = odd_texts()
-    for text in texts:
+    for text in odd_texts():
         own = (text or "").encode()
         first, n, _, _ = suffixes.segments(own)
         assert sorted(k for a, m in zip(first, n) for k in range(a, a + m)) == list(range(max(0, len(own) - 199)))
 
 
+def test_any_column_names(spark):
+    names = ["key", "mark", "packed", "marks", "__key", "__marks", "row", "a.b", "size", "kept", "n_spans", "digest"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate([None, "", "z" * 500, "q w" * 200, "plain"])], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = suffixes.remove_repeats(docs)
+    assert got.dtypes == docs.dtypes
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [rows[i].text for i in range(5)] == [None, "", "", "", "plain"]
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in rows.values())
+    assert suffixes.remove_repeats(docs.select("text")).columns == ["text"]
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.collect()
