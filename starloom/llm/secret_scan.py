@@ -1,8 +1,11 @@
 """Secret scan: three patterns, and a linear-chain CRF that tags words as begin, inside or outside a secret.
 
-A word (a run without ASCII white space) is described by its length, its mix of characters, the
-kinds of the words beside it, a nearby key word, and how its file looks. The CRF learns from what
-the patterns find, on a bounded sample of documents, and adds the spans it tags elsewhere.
+A word (a run without ASCII white space) is described by its length, its mix of characters and how often that
+changes, the kinds of the words beside it, a nearby key word, and how its file looks. The CRF
+learns from the stretches around what the patterns find in all documents, and from copies of them in
+which what the patterns ask for is withheld: another alphabet and length of the secret, another key word,
+no sign, no key word. So it tags secrets of forms that the patterns miss. Stretches of documents
+without a hit, and copies in which a plain word stands for the secret, show what is none.
 
 Viterbi covers every word of every text. Most words prefer "outside" by more than any moves
 could win back, so they are outside on the best path whatever stands beside them; the chain is
@@ -12,6 +15,7 @@ solved exactly between them.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -32,16 +36,20 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that announce a secret, in lower case.
 KEYS = (*NAMES, b"passphrase", b"pwd", b"bearer", b"credential", b"private_key", b"access_key", b"auth")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-#: Documents of the fitting sample in expectation, words around a hit, words from a document without one.
-SAMPLE, AROUND, PLAIN = 20_000, 24, 48
+#: Stretches that the fit takes at most, of either kind; words on either side of a hit, words from a document without one; bytes of a stretch.
+SAMPLE, AROUND, PLAIN, LONGEST = 3000, 12, 48, 4096
+#: Copies of a stretch with a hit in which the secret or what announces it is changed, and copies of all together at least.
+COPIES, VARIED = 4, 1500
 #: What a span sheds at its ends.
 EDGE = b"\"'`([{<>}]),;:.!?|*#%&$"
 
 LENGTHS = np.array([1, 2, 3, 5, 8, 12, 16, 20, 24, 32, 40, 64, 128])
 SHAPES = 16
-N_LENGTH, N_KIND, N_DIGITS, N_FILE = len(LENGTHS) + 1, SHAPES, 5, 4
-SLOTS = ("length", "kind", "digits", "kind_before", "kind_after", "key_before", "assigned", "file", "length_kind")
-SIZES = (N_LENGTH, N_KIND, N_DIGITS, N_KIND + 1, N_KIND + 1, 4, 4, N_FILE, N_LENGTH * N_KIND)
+TURNS = np.array([1, 2, 4, 6, 9, 14])
+N_LENGTH, N_KIND, N_DIGITS, N_FILE, N_TURNS = len(LENGTHS) + 1, SHAPES, 5, 4, len(TURNS) + 1
+SLOTS = ("length", "kind", "digits", "kind_before", "kind_after", "key_before", "assigned", "file", "length_kind", "turns", "turns_kind")
+SIZES = (N_LENGTH, N_KIND, N_DIGITS, N_KIND + 1, N_KIND + 1, 4, 4, N_FILE, N_LENGTH * N_KIND, N_TURNS, N_TURNS * N_KIND)
+FILE = SLOTS.index("file")
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)])
 ROWS = int(OFFSETS[-1])
 
@@ -100,6 +108,9 @@ class Words:
             np.cumsum(kinds == kind, out=pick[1:])
             counts.append(pick[self.ends] - pick[self.starts])
         lower, upper, digit, sign, other = counts
+        pick[0] = pick[1] = 0
+        np.cumsum(kinds[1:] != kinds[:-1], out=pick[2:])
+        turns = np.digitize(pick[self.ends] - pick[self.starts + 1], TURNS)
         size = self.ends - self.starts
         has = (lower > 0).astype(np.int64) + 2 * (upper > 1) + 4 * (digit > 0) + 8 * (sign > 0)
         share = np.digitize(digit / size, [0.001, 0.2, 0.4, 0.7])
@@ -111,7 +122,7 @@ class Words:
         mixed = np.bincount(text_of, weights=(size >= 12) & (digit > 2), minlength=len(texts)) / np.maximum(self.lengths, 1)
         place = np.digitize(mixed, [1e-9, 0.01, 0.1])[text_of]
         length = np.digitize(size, LENGTHS)
-        columns = (length, has, share, before, after, key, assigned, place, length * N_KIND + has)
+        columns = (length, has, share, before, after, key, assigned, place, length * N_KIND + has, turns, turns * N_KIND + has)
         self.slots = np.stack([c + o for c, o in zip(columns, OFFSETS)], axis=1)
 
     def marks(self, whole: bytes, data: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,96 +150,146 @@ class Words:
         return key, assigned
 
 
+def label_spans(words: Words, k: int, spans: list[tuple[int, int]], labels: np.ndarray) -> None:
+    """Mark the words of text ``k`` that these byte ranges touch."""
+    for start, end in spans:
+        a = np.searchsorted(words.ends, words.at[k] + start, side="right")
+        b = np.searchsorted(words.starts, words.at[k] + end)
+        if a < b and labels[a] == OUTSIDE:
+            labels[a] = BEGIN
+        labels[a + 1 : b] = INSIDE
+
+
 def gold_labels(words: Words, texts: list[bytes]) -> np.ndarray:
     """Labels of words by the patterns."""
     labels = np.zeros(len(words.starts), dtype=np.int64)
     for k, text in enumerate(texts):
-        for start, end in secret_parts(text, base_spans(text)):
-            a = np.searchsorted(words.ends, words.at[k] + start, side="right")
-            b = np.searchsorted(words.starts, words.at[k] + end)
-            if labels[a] == OUTSIDE:
-                labels[a] = BEGIN
-            labels[a + 1 : b] = INSIDE
+        label_spans(words, k, secret_parts(text, base_spans(text)), labels)
     return labels
 
 
 def fit_secrets(docs: DataFrame, sample: int = SAMPLE) -> crf.Chain:
-    """Fit the CRF on stretches of about ``sample`` documents, drawn by a hash of doc_id.
+    """Fit the CRF on at most ``sample`` stretches around hits of the patterns and as many without any.
 
-    Of a document with secrets the AROUND words on either side of each are taken, of one in
-    eight others PLAIN words. Without any secret all weights are 0 and nothing is tagged.
+    The patterns run over all documents; of the stretches those with the smallest hash are
+    taken, equal ones once, so that rows that repeat weigh no more than others. Without any hit all weights are
+    0 and nothing is tagged.
     """
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.count()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    part = min(1.0, sample / max(total, 1))
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))).where(F.col("draw") < int(part * 1_000_000))
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if not texts:
-                continue
-            words = Words(texts)
-            gold = gold_labels(words, texts)
-            slots, out = words.slots.astype(np.int16), ([], [])
-            for k, draw in enumerate(batch.column(2).to_pylist()):
-                a, n = words.first[k], words.lengths[k]
-                hits = np.flatnonzero(gold[a : a + n])
-                if len(hits):
-                    spans, until = [], 0
-                    for h in hits[:64]:
-                        low, high = max(until, h - AROUND), min(n, h + AROUND)
-                        until = high
-                        spans.append((low, high))
-                elif draw % 8 == 0 and n:
-                    at = int(draw) % max(1, n - PLAIN + 1)
-                    spans = [(at, min(n, at + PLAIN))]
-                else:
+    rows = docs.select(text_bytes().alias("text"), F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)).alias("draw"))
+    # the tables' engine leaves out the rows that no pattern can match
+    may_hit = F.col("text").cast("string").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}")
+
+    def stretches(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                if not texts:
                     continue
-                for low, high in spans:
-                    if high > low:
-                        out[0].append(slots[a + low : a + high].tobytes())
-                        out[1].append(gold[a + low : a + high].astype(np.int8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["slots", "gold"])
-
-    found = sorted((bytes(r.slots), bytes(r.gold)) for r in drawn.mapInArrow(described, "slots binary, gold binary").collect())
-    gold = np.frombuffer(b"".join(g for _, g in found), dtype=np.int8).astype(np.int64)
-    if not gold.any():
+                words = Words(texts)
+                gold = gold_labels(words, texts)
+                out: list[list] = [[], []]
+                for k, draw in enumerate(batch.column(1).to_pylist()):
+                    a, n = words.first[k], words.lengths[k]
+                    hits = np.flatnonzero(gold[a : a + n])
+                    spans, until = [], 0
+                    if hit:
+                        for h in hits:
+                            low, high = max(until, h - AROUND), min(n, h + AROUND + 1)
+                            if high > until:
+                                spans.append((low, high))
+                            until = high
+                    elif not len(hits) and n:
+                        at = int(draw) % max(1, n - PLAIN + 1)
+                        spans = [(at, min(n, at + PLAIN))]
+                    for low, high in spans:
+                        begin, end = words.starts[a + low] - words.at[k], words.ends[a + high - 1] - words.at[k]
+                        if low < high and end - begin <= LONGEST:
+                            out[0].append(texts[k][begin:end])
+                            out[1].append(int(words.slots[a, FILE] - OFFSETS[FILE]))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())], ["stretch", "file"])
+
+        return run
+
+    def drawn(found: DataFrame) -> list[tuple[bytes, int]]:
+        found = found.groupBy("stretch").agg(F.min("file").alias("file")).orderBy(F.xxhash64("stretch"), "stretch").limit(sample)
+        return [(bytes(r.stretch), r.file) for r in found.collect()]
+
+    hits = drawn(rows.where(may_hit).mapInArrow(stretches(True), "stretch binary, file int"))
+    if not hits:
         return crf.Chain(np.zeros((ROWS, 3)), np.zeros((3, 3)))
-    slots = np.frombuffer(b"".join(s for s, _ in found), dtype=np.int16).reshape(-1, len(SLOTS)).astype(np.int64)
-    lengths = np.array([len(g) for _, g in found])
-    slots, gold, lengths = varied(slots, gold, lengths)
-    return crf.fit(slots, gold, lengths, ROWS, 3, epochs=10, decay=1e-3)
+    part = min(1_000_000, int(2_000_000 * sample / max(total, 1)) + 1)
+    plain = drawn(rows.where(F.col("draw") < part).mapInArrow(stretches(False), "stretch binary, file int"))
+    texts, spans, files = varied(hits, plain)
+    words = Words(texts)
+    gold = np.zeros(len(words.starts), dtype=np.int64)
+    for k, own in enumerate(spans):
+        label_spans(words, k, own, gold)
+    slots = words.slots.copy()
+    slots[:, FILE] = OFFSETS[FILE] + np.repeat(np.array(files), words.lengths)
+    return crf.fit(slots, gold, words.lengths, ROWS, 3, epochs=10, batch=256, decay=2e-3)
 
 
-def varied(slots: np.ndarray, gold: np.ndarray, lengths: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches, and of each with a secret a second copy in which the secret looks different.
+LOWER_HEX, UPPER_HEX = "0123456789abcdef", "0123456789ABCDEF"
+MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+ALPHABETS = (LOWER_HEX, UPPER_HEX, MIXED, MIXED, MIXED + "-_", MIXED + "+/")
 
-    In the copy a secret has letters of both cases, or lacks the sign or the key word before it,
-    never both, so that the model doesn't lean on what the patterns ask for.
+
+def varied(hits: list[tuple[bytes, int]], plain: list[tuple[bytes, int]], seed: int = 5) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
+    """Texts, the byte ranges of their secrets, and their file bins: the stretches, and some copies of each with a secret.
+
+    In a copy all secrets are drawn anew from another alphabet and length; then the key word is
+    another one, or the sign is missing, or both are (only for long secrets), or a plain word stands in the
+    place of the secret and nothing is tagged.
     """
-    draw, starts, more = np.random.default_rng(seed), np.cumsum(lengths) - lengths, []
-    mixed = 1 + 2 + 4
-    for start, n in zip(starts, lengths):
-        hits = np.flatnonzero(gold[start : start + n])
-        if not len(hits):
-            continue
-        copy = slots[start : start + n].copy()
-        how = draw.integers(0, 4)
-        if how != 0:
-            copy[hits, 1] = OFFSETS[1] + mixed
-            copy[hits, 8] = OFFSETS[8] + (copy[hits, 0] - OFFSETS[0]) * N_KIND + mixed
-            copy[np.minimum(hits + 1, n - 1), 3] = OFFSETS[3] + mixed
-            copy[np.maximum(hits - 1, 0), 4] = OFFSETS[4] + mixed
-        if how == 2:
-            copy[hits, 6] = OFFSETS[6]
-            copy[hits, 3] = OFFSETS[3] + 1
-        if how == 3:
-            copy[hits, 5] = OFFSETS[5]
-        more.append((copy, gold[start : start + n]))
-    return np.concatenate([slots, *(c for c, _ in more)]), np.concatenate([gold, *(g for _, g in more)]), np.concatenate([lengths, [len(g) for _, g in more]]).astype(np.int64)
+    draw = random.Random(seed)
+    texts, spans, files = [], [], []
+    common = sorted({w for t, _ in plain for w in t.split() if w.isalpha() and len(w) < 16}) or [b"word"]
+
+    def add(parts: list[bytes], secret: list[bool], file: int) -> None:
+        own, at = [], 0
+        for part, is_secret in zip(parts, secret):
+            if is_secret:
+                own.append((at, at + len(part)))
+            at += len(part)
+        texts.append(b"".join(parts))
+        spans.append(own)
+        files.append(file)
+
+    for text, file in hits:
+        found = base_spans(text)
+        texts.append(text)
+        spans.append(secret_parts(text, found))
+        files.append(file)
+        for _ in range(max(COPIES, -(-VARIED // len(hits)))):
+            how = draw.choice(("alphabet", "key", "sign", "alone", "none"))
+            parts, secret, last = [], [], 0
+            for start, end, kind in found:
+                if start < last:
+                    continue
+                a, b = secret_parts(text, [(start, end, kind)])[0]
+                long = how == "alone" or kind != 0
+                value = "".join(draw.choices(draw.choice(ALPHABETS), k=draw.randint(24 if long else 12, 64))).encode()
+                value = (b"x" if value.isalpha() or value.isdigit() else b"") + value
+                key = draw.choice(KEYS)
+                before = text[start:a]
+                if how == "key":
+                    before = key + draw.choice((b"=", b": ", b" = ", b'="', b": '"))
+                elif how == "sign":
+                    before = key + draw.choice((b" ", b" is ", b' "'))
+                elif how == "alone":
+                    before = b""
+                elif how == "none":
+                    value, before = draw.choice(common), draw.choice((before, key + b" ", key + b": ", key + b" = "))
+                parts += [text[last:start], before, value]
+                secret += [False, False, how != "none"]
+                last = b
+            add([*parts, text[last:]], [*secret, False], file)
+    for text, file in plain:
+        add([text], [False], file)
+    return texts, spans, files
 
 
 def tag(words: Words, chain: crf.Chain) -> np.ndarray:

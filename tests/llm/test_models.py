@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -156,7 +157,8 @@ def test_secrets(spark, docs):
         base = brute_base(text or "")
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(got[i].spans.split(","))
-    assert sum(r.n_crf for r in got.values()) < 20
+    # of the documents here no pattern misses a secret
+    assert sum(got[r.doc_id + 1000].n_crf for r in docs.collect()) <= 2
     masked = secret_scan.mask_secrets(frame, chain).collect()
     assert not any(brute_base(r.text or "") for r in masked) and masked[6].text is None
     assert secret_scan.scan_secrets(frame.limit(0), chain).count() == 0
@@ -164,6 +166,36 @@ def test_secrets(spark, docs):
     assert sum(r.n_crf for r in secret_scan.scan_secrets(frame, none).collect()) == 0
 
 
+def test_tagger_finds_what_patterns_miss(spark, docs):
+    """Planted secrets of forms that no pattern has and that the fit never saw in any document."""
+    draw = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda n, of=letters: "".join(draw.choices(of, k=n))
+    forms = [("Authorization: Bearer ", lambda: value(36)), ("", lambda: "eyJ" + value(30) + "." + value(40)), ("digest ", lambda: value(40, "0123456789ABCDEF")), ("credential ", lambda: value(28)), ("access_key ", lambda: value(40, letters + "+/"))]
+    clean = [r.text.split(" ") for r in docs.orderBy("doc_id").collect() if not brute_base(r.text)][:200]
+    rows = []
+    for d, words in enumerate(clean):
+        before, make = forms[d % len(forms)]
+        at, secret = draw.randrange(len(words) + 1), make()
+        rows.append((d, " ".join([*words[:at], before + secret, *words[at:]]), secret))
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(frame, secret_scan.fit_secrets(docs)).collect()}
+    found = extra = 0
+    for d, text, secret in rows:
+        start = text.index(secret)
+        spans = [tuple(map(int, x.split(":")[1:])) for x in filter(None, got[d].split(","))]
+        found += any(a <= start and start + len(secret) <= b for a, b in spans)
+        extra += sum(b <= start or start + len(secret) <= a for a, b in spans)
+    assert found >= 0.8 * len(rows) and extra <= 0.02 * len(rows), (found, extra)
+
+
+def test_secret_fit_is_bounded(spark):
+    text = "then token = " + "0123456789abcdef" * 2 + " came"
+    docs = spark.createDataFrame([(1, text)] * 400 + [(2, None), (None, "plain words only")], "doc_id long, text string")
+    chain = secret_scan.fit_secrets(docs, sample=2)
+    assert chain.weights.any()
+
+
 def test_tags_equal_whole_viterbi(spark, docs):
     chain = secret_scan.fit_secrets(docs)
     texts = [r.text.encode() for r in docs.collect()] + [b"", b"token = abc secret", b"password"]
