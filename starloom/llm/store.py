@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.byte_ids import byte_ids
-from starloom.llm.common import small_batches, tokenizer_path
+from starloom.llm.common import small_batches, spread_join, stored, tokenizer_path
 
 #: The rolling hash spans so many ids; a cut falls where its upper bits are zero.
 WINDOW = 8
@@ -192,11 +192,11 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 
 
 def _write_manifest(spark: SparkSession, folder: str) -> None:
-    """One row for each part; there are as many as shuffle partitions, so they fit the driver."""
+    """One row for each part: the roots of its runs combine in an executor, so the driver gets a row a part."""
     recipes = spark.read.parquet(f"{folder}/recipes")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each run of rows of one part in this task: CHUNKS of a thousand roots go up as one."""
+        """The root of each run of rows of one part in a batch."""
         for batch in batches:
             parts, pos = batch.column("part").to_pylist(), batch.column("pos").to_pylist()
             own, root = batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist()
@@ -205,16 +205,34 @@ def _write_manifest(spark: SparkSession, folder: str) -> None:
                 end = at + 1
                 while end < len(parts) and parts[end] == parts[at]:
                     end += 1
-                yield pa.RecordBatch.from_pydict({"part": [parts[at]], "pos": [pos[at]], "docs": [end - at], "tokens": [sum(own[at:end])], "root": [merkle_root(root[at:end])]})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([parts[at]], pa.int32()), "pos": [pos[at]], "docs": [end - at], "tokens": [sum(own[at:end])], "root": [merkle_root(root[at:end])]})
                 at = end
 
-    runs = recipes.select("part", "pos", "n_tokens", "root").mapInArrow(roots, "part long, pos long, docs long, tokens long, root binary")
-    found = runs.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("pos", "root"))).alias("roots")).orderBy("part").collect()
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part from its runs, which are sorted by (part, pos)."""
+        part, docs, tokens, held = None, 0, 0, []
+        names = ["part", "docs", "tokens", "root"]
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, docs, tokens, merkle_root(held)), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+
+        for batch in batches:
+            for at, _, n, own, root in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and at != part:
+                    yield whole()
+                    docs, tokens, held = 0, 0, []
+                part, docs, tokens = at, docs + n, tokens + own
+                held.append(root)
+        if held:
+            yield whole()
+
+    runs = recipes.select("part", "pos", "n_tokens", "root").mapInArrow(roots, "part int, pos long, docs long, tokens long, root binary")
+    found = runs.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(combined, "part int, docs long, tokens long, root binary").orderBy("part").collect()
     before, rows = 0, []
     for r in found:
-        rows.append((r.part, r.docs, r.tokens, before, merkle_root([bytes(x.root) for x in r.roots])))
+        rows.append((r.part, r.docs, r.tokens, before, bytes(r.root)))
         before += r.tokens
-    spark.createDataFrame(rows, "part long, docs long, tokens long, tokens_before long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+    spark.createDataFrame(rows, "part int, docs long, tokens long, tokens_before long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,7 +274,7 @@ def read_documents(spark: SparkSession, folder: str, width: int = 2) -> DataFram
     """
     ref = _references(read_recipes(spark, folder))
     data = _chunks(spark, folder).withColumn("data", F.when(F.sha2("data", 256) == F.lower(F.hex("digest")), F.col("data")).otherwise(F.raise_error(F.lit("damaged chunk")).cast("binary")))
-    whole = ref.join(data, "digest", "left").groupBy("doc_id", "start", "n_tokens", "part", "pos").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("chunks"))
+    whole = spread_join(stored(ref, "references"), data, "digest", "left").groupBy("doc_id", "start", "n_tokens", "part", "pos").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("chunks"))
     ids = F.concat(F.array_join(F.transform("chunks", lambda c: F.hex(c["data"])), ""))
     return whole.select("doc_id", "start", "n_tokens", F.unhex(ids).alias("ids"))
 
@@ -291,7 +309,8 @@ def verify_documents(spark: SparkSession, folder: str, width: int = 2) -> DataFr
             yield batch.set_column(batch.schema.get_field_index("crc"), "crc", pa.array(out.astype(np.int64)))
 
     chunks = _chunks(spark, folder).mapInArrow(reduced, "digest binary, crc long, size long")
-    found = _references(read_recipes(spark, folder)).join(chunks, "digest", "left")
+    # a passage that a third of all documents share is one digest, dealt to several tasks
+    found = spread_join(stored(_references(read_recipes(spark, folder)), "references"), chunks, "digest", "left")
     found = found.select("doc_id", "start", "n_tokens", "part", "pos", "after", "crc", "size").mapInArrow(moved, "doc_id long, start long, n_tokens long, part int, pos long, after long, crc long, size long")
     whole = found.groupBy("part", "pos", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("size"))
     checked = F.when(F.col("size") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's chunks don't make its length")).cast("long"))
