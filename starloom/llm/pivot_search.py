@@ -2,19 +2,21 @@
 
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, queries a zero; the
 largest inner product is then the smallest distance. Every vector is keyed by its nearest pivot and its
-distance from it, and lies in an annulus (pivot, ring). A block of queries first visits the
-annuli nearest to it, which gives each query a score that its k best reach; by the triangle
-inequality |d(q, p) - d(x, p)| <= d(q, x) all annuli that cannot reach that score are then left out,
-and the rest are visited.
-
-Equal vectors are one entry, which holds the k + 1 smallest ids: no answer needs more. Pivots and rings come from a
-bounded sample; every vector is indexed, and the result is exact whatever the sample.
+distance from it, and lies in an annulus (pivot, ring). By the triangle inequality
+|d(q, p) - d(x, p)| <= d(q, x) an annulus has a largest inner product that any of its vectors can reach with a query. Each
+query expands over the annuli sorted by that bound, in turns that hold GROWTH times the vectors of
+the turn before, and stops for itself where the bound falls below the score that its k best reach.
+
+Equal vectors are one entry, which holds the k + 1 smallest ids: no answer needs more. Pivots grow with the
+square root of the vectors; they and the rings come from a bounded sample. Every vector is
+indexed, and the result is exact whatever the sample.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import stored
+from starloom.llm.common import spread_join, stored
 
-SAMPLE, PIVOTS, RINGS = 4096, 32, 64
-#: Vectors of an index block and queries of a query block at most; vectors that the first visit sees at least.
-BLOCK, QUERIES, FIRST = 1024, 256, 4096
+#: Vectors of the sample for each pivot; the fewest and most pivots (one for every ROOT of the square root of the vectors); rings of a pivot.
+SAMPLE, PIVOTS, MOST_PIVOTS, ROOT, RINGS = 128, 32, 512, 8, 64
+#: Vectors of an index block and queries of a query block at most; blocks of an annulus that share a join key.
+BLOCK, QUERIES, PART = 1024, 128, 8
+#: Vectors that a query sees in its first turn at least, and by how much a turn grows.
+FIRST, GROWTH = 4096, 8
 #: Query blocks whose best scores a task remembers; only how many rows it sends on depends on it.
 REMEMBERED = 64
 SLACK = 1e-6
@@ -51,11 +56,11 @@ def integer_vectors(vectors: DataFrame, scale: int, id_column: str, vector_colum
 class Space:
     """Pivots and rings over vectors of ``size`` components (shorter ones end in zeros)."""
 
-    def __init__(self, sample: list[bytes], size: int, largest: float):
+    def __init__(self, sample: list[bytes], size: int, largest: float, pivots: int = PIVOTS):
         self.size, self.largest = size, largest
         x = self.lifted(self.matrix(sample), True)
         draw = np.random.default_rng(17)
-        pivots = x[draw.permutation(len(x))[:PIVOTS]]
+        pivots = x[draw.permutation(len(x))[:pivots]]
         for _ in range(5):
             near = self.distances(x, pivots).argmin(axis=1)
             pivots = np.stack([x[near == k].mean(axis=0) if (near == k).any() else p for k, p in enumerate(pivots)])
@@ -115,10 +120,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
 
     ``is_query`` is a condition on vec_id. Ties go to the smaller vec_id; a query with fewer
     candidates has as many rows. Rows whose id is null, and vectors that are null or hold null or non-finite
-    components, take no part. Rows with equal vec_id and equal vectors are one; those with equal vec_id and
-    different vectors are each a candidate, of one another too. Shorter vectors count as ending in zeros, the
-    empty one as zeros. Scores are exact; one beyond 64 bits is an error. Without queries or
-    candidates there are no rows.
+    components, take no part. The candidates of a query are all rows but its own: rows that repeat are a candidate
+    each, of one another too, and a query row that repeats is answered each time. Shorter vectors
+    count as ending in zeros, the empty one as zeros. Scores are exact; one beyond 64 bits is an
+    error. Without queries or candidates there are no rows.
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
@@ -126,9 +131,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
     shape = "query_id long, rank int, vec_id long, score long"
     rows = integer_vectors(vectors, scale, id_column, vector_column)
     first = Window.partitionBy("vec").orderBy("vec_id")
-    ids = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    ids = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     entries = stored(ids.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "pivot-entries")
-    asked = stored(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").distinct(), "pivot-queries")
+    asked = stored(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec"), "pivot-queries")
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +144,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
     most = entries.select("vec").mapInArrow(norms, "size int, norm double").agg(F.max("size").alias("size"), F.max("norm").alias("norm")).first()
     if most.size is None or asked.isEmpty():
         return spark.createDataFrame([], shape)
-    sample = [bytes(r.vec) for r in entries.orderBy(F.xxhash64("vec"), "vec").select("vec").limit(SAMPLE).collect()]
-    space = Space(sample, max(most.size, 1), most.norm)
+    pivots = min(MOST_PIVOTS, max(PIVOTS, isqrt(entries.count()) // ROOT))
+    sample = [bytes(r.vec) for r in entries.orderBy(F.xxhash64("vec"), "vec").select("vec").limit(SAMPLE * pivots).collect()]
+    space = Space(sample, max(most.size, 1), most.norm, pivots)
     exact = most.norm**2 < 2**52
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +178,13 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
 
     index = entries.mapInArrow(placed, "pivot int, ring int, d double, vec binary, ids array<bigint>").repartitionByRange("pivot", "d").sortWithinPartitions("pivot", "ring", "d")
     index = stored(index.mapInArrow(blocks, "pivot int, ring int, low double, high double, n long, data binary, ids array<array<bigint>>"), "pivot-index")
-    # at most PIVOTS * RINGS rows, whatever the number of vectors
+    # at most MOST_PIVOTS * RINGS rows, whatever the number of vectors
     rings = sorted((r.pivot, r.ring, r.low, r.high, r.n) for r in index.groupBy("pivot", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect())
     pivot, ring = (np.array([r[i] for r in rings], dtype=np.int64) for i in (0, 1))
     low, high, count = (np.array([r[i] for r in rings], dtype=np.float64) for i in (2, 3, 4))
+    parts = np.ceil(count / (BLOCK * PART)).astype(np.int64)
+    several = spark.createDataFrame([(int(p), int(r), int(n)) for p, r, n in zip(pivot, ring, parts)], "pivot int, ring int, parts int")
+    keyed = index.join(F.broadcast(several), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("low", "high", "n"), F.col("parts")).cast("int")).drop("parts")
 
     def query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries near one another share a block: (qb, vecs)."""
@@ -196,44 +205,48 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
     near = asked.select("vec").distinct().mapInArrow(placed, "pivot int, ring int, d double, vec binary").repartitionByRange("pivot", "d").sortWithinPartitions("pivot", "d")
     qblocks = stored(near.mapInArrow(query_blocks, "qb long, vecs array<binary>"), "pivot-query-blocks")
 
-    visit_type = "pivot int, ring int, qb long, queries binary, least array<double>"
+    visit_type = "pivot int, ring int, part int, qb long, qi array<int>, queries binary, least array<double>"
+
+    def visits(turn: int):
+        """The annuli that each query of a block sees in this turn; those of one annulus travel together."""
+        seen_low, seen_high = (FIRST * GROWTH ** (turn - 1) if turn else 0), FIRST * GROWTH**turn
 
-    def visits(later: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns]
-                for k in range(batch.num_rows):
-                    qb, vecs = columns[0][k], columns[1][k]
+                for qb, vecs, own, scores, enough in zip(*(c.to_pylist() for c in batch.columns)):
                     q = space.matrix(vecs)
                     reach = space.reach(q, pivot, low, high)
-                    order = np.argsort(-reach.mean(axis=0), kind="stable")
-                    head = int(np.searchsorted(np.cumsum(count[order]), FIRST)) + 1
                     least = np.full(len(vecs), -np.inf)
-                    use = order[:head]
-                    if later:
-                        for qi, score, n in zip(columns[2][k] or [], columns[3][k] or [], columns[4][k] or []):
-                            if n > k_all:
-                                least[qi] = score
-                        use = order[head:]
-                        use = use[(reach[:, use] >= least[:, None]).any(axis=0)]
-                    n = len(use)
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(pivot[use], pa.int32()), pa.array(ring[use], pa.int32()), pa.array([qb] * n, pa.int64()), pa.array([squeezed(q)] * n, pa.binary()), pa.array([least.tolist()] * n, pa.list_(pa.float64()))], ["pivot", "ring", "qb", "queries", "least"])
-
-        k_all = k
+                    for qi, score, n in zip(own or [], scores or [], enough or []):
+                        if n > k:
+                            least[qi] = score
+                    order = np.argsort(-reach, axis=1, kind="stable")
+                    before = np.cumsum(count[order], axis=1) - count[order]
+                    now = (before >= seen_low) & (before < seen_high) & (np.take_along_axis(reach, order, axis=1) >= least[:, None])
+                    wanted = np.zeros(now.shape, dtype=bool)
+                    np.put_along_axis(wanted, order, now, axis=1)
+                    out: list[list] = [[] for _ in range(7)]
+                    for at in np.flatnonzero(wanted.any(axis=0)).tolist():
+                        some = np.flatnonzero(wanted[:, at])
+                        for part in range(int(parts[at])):
+                            for column, value in zip(out, (int(pivot[at]), int(ring[at]), part, qb, some.tolist(), squeezed(q[some]), least[some].tolist())):
+                                column.append(value)
+                    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["pivot", "ring", "part", "qb", "qi", "queries", "least"])
+
         return run
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
-            for qb, queries, least, lo, hi, at, data, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                q, x = spread_out(queries, space.size), spread_out(data, space.size)
+            for qb, of, queries, least, lo, hi, at, data, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                q, x, of = spread_out(queries, space.size), spread_out(data, space.size), np.array(of)
                 own = best.pop(qb, None)
                 if own is None:
-                    own = np.full((len(q), k + 1), -np.inf)
+                    own = np.full((QUERIES, k + 1), -np.inf)
                     if len(best) >= REMEMBERED:
                         best.popitem(last=False)
-                floor = np.maximum(np.array(least), own[:, 0])
+                floor = np.maximum(np.array(least), own[of, 0])
                 best[qb] = own
                 live = np.flatnonzero(space.reach(q, np.array([at]), np.array([lo]), np.array([hi]))[:, 0] >= floor)
                 if not len(live):
@@ -242,14 +255,14 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
                 f = s.astype(np.float64)
                 m = min(k + 1, f.shape[1])
                 top = np.partition(f, f.shape[1] - m, axis=1)[:, f.shape[1] - m :]
-                merged = np.sort(np.concatenate([own[live], top], axis=1), axis=1)[:, -(k + 1) :]
-                own[live] = merged
+                merged = np.sort(np.concatenate([own[of[live]], top], axis=1), axis=1)[:, -(k + 1) :]
+                own[of[live]] = merged
                 a, b = np.nonzero(f >= np.maximum(floor[live], merged[:, 0])[:, None])
                 sizes = [len(ids[j]) for j in b]
                 same = (q[live][a] == x[b]).all(axis=1)
                 columns = [
                     pa.array(np.full(sum(sizes), qb), pa.int64()),
-                    pa.array(np.repeat(live[a], sizes), pa.int32()),
+                    pa.array(np.repeat(of[live][a], sizes), pa.int32()),
                     pa.array([i for j in b for i in ids[j]], pa.int64()),
                     pa.array([v for v, n in zip((int(v) for v in s[a, b]), sizes) for _ in range(n)], pa.int64()),
                     pa.array(np.repeat(same, sizes), pa.bool_()),
@@ -258,34 +271,49 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
 
     best_first = Window.partitionBy("qb", "qi").orderBy(F.desc("score"), "vec_id", F.desc("same"))
 
-    def candidates(visited: DataFrame) -> DataFrame:
-        pairs = visited.join(index, ["pivot", "ring"]).select("qb", "queries", "least", "low", "high", "pivot", "data", "ids")
-        found = pairs.mapInArrow(compared, "qb long, qi int, vec_id long, score long, same boolean")
+    def best(found: DataFrame) -> DataFrame:
         return found.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k + 1).drop("n")
 
-    early = stored(candidates(qblocks.mapInArrow(visits(False), visit_type)), "pivot-first")
-    reached = early.groupBy("qb", "qi").agg(F.min("score").alias("score"), F.count("*").alias("n"))
-    reached = reached.groupBy("qb").agg(F.collect_list("qi").alias("qi"), F.collect_list("score").alias("score"), F.collect_list("n").alias("n"))
-    late = candidates(qblocks.join(reached, "qb", "left").select("qb", "vecs", "qi", "score", "n").mapInArrow(visits(True), visit_type))
-    both = early.unionByName(late).withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k + 1).drop("n")
-    names = asked.join(qblocks.select("qb", F.posexplode("vecs").alias("qi", "vec")), "vec").select("query_id", "qb", "qi")
-    answers = names.join(both, ["qb", "qi"]).where(~(F.col("same") & (F.col("vec_id") == F.col("query_id"))))
-    rank = F.row_number().over(Window.partitionBy("query_id", "qb", "qi").orderBy(F.desc("score"), "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    state, turn = None, 0
+    while True:
+        if state is None:
+            asking = qblocks.select("qb", "vecs", *(F.lit(None).cast(t).alias(n) for n, t in (("qi", "array<int>"), ("score", "array<bigint>"), ("n", "array<bigint>"))))
+        else:
+            reached = state.groupBy("qb", "qi").agg(F.min("score").alias("score"), F.count("*").alias("n"))
+            reached = reached.groupBy("qb").agg(F.collect_list(F.struct("qi", "score", "n")).alias("r"))
+            asking = qblocks.join(reached, "qb", "left").select("qb", "vecs", "r.qi", "r.score", "r.n")
+        wanted = stored(asking.mapInArrow(visits(turn), visit_type), "pivot-visits")
+        if wanted.isEmpty():  # annuli are sorted by what they can reach, so none that follows is wanted either
+            break
+        pairs = wanted.join(keyed, ["pivot", "ring", "part"]).select("qb", "qi", "queries", "least", "low", "high", "pivot", "data", "ids")
+        found = best(pairs.mapInArrow(compared, "qb long, qi int, vec_id long, score long, same boolean"))
+        state = stored(found if state is None else best(state.unionByName(found)), "pivot-best")
+        if FIRST * GROWTH**turn >= count.sum():  # all have been seen
+            break
+        turn += 1
+
+    # one row for each distinct query vector, its k + 1 best in order; the query's own row is left out
+    lists = state.groupBy("qb", "qi").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", (~F.col("same")).alias("other")))).alias("best"))
+    lists = qblocks.select("qb", F.posexplode("vecs").alias("qi", "vec")).join(lists, ["qb", "qi"]).select("vec", "best")
+    mine = F.array_position(F.transform("best", lambda x: (x["vec_id"] == F.col("query_id")) & ~x["other"]), True)
+    found = spread_join(asked, lists, "vec").withColumn("mine", mine)
+    ranked = F.slice(F.filter("best", lambda x, i: i != F.col("mine") - 1), 1, k)
+    out = found.select("query_id", F.posexplode(ranked).alias("rank", "b"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  SELECT q.place, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.place <> c.place
   WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
