@@ -1,12 +1,13 @@
 """Language-model scores: marginal likelihood of subword lattices.
 
-The pieces of an existing vocabulary get unigram probabilities from piece counts over all
-training documents. A text's probability sums over all segmentations of its words into pieces
-(single bytes included, so that no text is impossible) and ends with one end event; a forward
-recursion in log space runs over all words of one length at once.
-
-Word counts are taken over the whole corpus. Of the FREQUENT commonest words (a fixed bound) the
-counts and scores are broadcast; rarer words are joined, so nothing that grows with the corpus is
+The pieces of an existing vocabulary have unigram probabilities: the scores of the vocabulary's file
+are the prior (a Dirichlet one of weight PRIOR), the piece counts over all training documents the evidence. A text's
+probability sums over all segmentations of its words into pieces (single bytes included, so that
+no text is impossible) and ends with one end event; a forward recursion in log space runs over all
+words of one length at once, over a long word by itself along the pieces that match in it.
+
+Word counts are taken over the whole corpus. Of the FREQUENT commonest words of at most CARRIED bytes (so of
+bounded bytes) the counts and scores are broadcast; rarer words are joined, so nothing that grows with the corpus is
 held in one place.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,32 @@ from starloom.llm.common import held_out, small_batches, stored, text_bytes, tok
 FREQUENT = 100_000
 #: Words that a task counts before it sends them on.
 HELD_WORDS = 200_000
-#: Added to the count of every piece.
-SMOOTH = 0.1
+#: What the file's scores weigh against the counts, in pieces; added to the count of every piece.
+PRIOR, SMOOTH = 2000.0, 0.1
+#: Words of more bytes than LONG are scored by themselves, those of more than CARRIED bytes are never broadcast.
+LONG, CARRIED = 512, 64
+#: Bytes of a long word whose matches are held at once.
+STRETCH = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 WORD = 1 << 64
 
 
+def file_prior(scores: np.ndarray, is_byte: np.ndarray) -> np.ndarray:
+    """Probabilities of the pieces by the scores of their file.
+
+    Scores of a unigram file are log probabilities. Those of a file of merges are the negative
+    ranks of the pieces, which by Zipf's law have probabilities in inverse proportion to them. Bytes,
+    which stand for what no piece covers, get the weight of the least piece.
+    """
+    if not len(scores) or is_byte.all():
+        return np.full(len(scores), 1 / max(len(scores), 1))
+    words = scores[~is_byte]
+    known = 1 / (2 + words.max() - words) if words.min() < -100 else np.exp(words - words.max())
+    weight = np.full(len(scores), known.min())
+    weight[~is_byte] = known
+    return weight / weight.sum()
+
+
 class Lattice:
     """Log probabilities of words, given counts of the vocabulary's pieces."""
 
@@ -42,19 +64,21 @@ class Lattice:
         counts = counts or {}
         size = self.model.get_piece_size()
         own = [i for i in range(size) if not self.model.is_control(i) and not self.model.is_unknown(i)]
-        total = sum(counts.get(i, 0.0) + SMOOTH for i in own) + ends + SMOOTH
-        log = {i: np.log((counts.get(i, 0.0) + SMOOTH) / total) for i in own}
+        prior = file_prior(np.array([self.model.get_score(i) for i in own]), np.array([self.model.is_byte(i) for i in own]))
+        weight = {i: counts.get(i, 0.0) + SMOOTH + PRIOR * q for i, q in zip(own, prior.tolist())}
+        total = sum(weight.values()) + ends + SMOOTH
+        logs = {i: np.log(w / total) for i, w in weight.items()}
         self.end = float(np.log((ends + SMOOTH) / total))
         self.bytes = np.full(256, -np.inf)
         pieces: dict[bytes, float] = {}
         for i in own:
             name = self.model.id_to_piece(i)
             if self.model.is_byte(i):
-                self.bytes[int(name[3:5], 16)] = log[i]
+                self.bytes[int(name[3:5], 16)] = logs[i]
             else:
                 key = name.replace("▁", " ").encode("utf-8")
                 if b" " not in key[1:]:  # a word has its one blank at the front
-                    pieces[key] = log[i]
+                    pieces[key] = logs[i]
         self.longest = max(map(len, pieces), default=1)
         self.tables = []  # for each length: sorted hashes of the pieces, and their log probabilities
         for n in range(1, self.longest + 1):
@@ -79,6 +103,10 @@ class Lattice:
         for k, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(k)
         for n, rows in by_length.items():
+            if n > LONG:
+                for i in rows:
+                    out[i] = self.forward_long(b" " + words[i])
+                continue
             step = max(1, 400_000 // n)
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -114,6 +142,45 @@ class Lattice:
             ahead[0] = now
         return ahead[0]
 
+    def matches(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces in a word: where they end, their lengths, their log probabilities, by end."""
+        ends, lengths, logs = [], [], []
+        hashes = np.zeros(len(data), dtype=np.uint64)
+        for n in range(1, min(self.longest, len(data)) + 1):
+            own = data[n - 1 :].astype(np.uint64) + np.uint64(1)
+            hashes = hashes[: len(own)] * np.uint64(BASE) + own  # of the n bytes from each place on
+            keys, values = self.tables[n - 1]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == hashes)
+                ends.append(hit + n)
+                lengths.append(np.full(len(hit), n))
+                logs.append(values[at[hit]])
+        single = self.bytes[data]
+        some = np.flatnonzero(np.isfinite(single))
+        ends, lengths, logs = np.concatenate([*ends, some + 1]), np.concatenate([*lengths, np.ones(len(some), dtype=np.int64)]), np.concatenate([*logs, single[some]])
+        order = np.argsort(ends, kind="stable")
+        return ends[order], lengths[order], logs[order]
+
+    def forward_long(self, word: bytes) -> float:
+        """The forward recursion over one long word, along the pieces that match, STRETCH bytes at a time."""
+        ahead = [0.0]  # of the last ``longest`` places, the newest last
+        done = 0
+        while done < len(word):
+            back = min(done, self.longest)
+            ends, lengths, logs = self.matches(np.frombuffer(word[done - back : done + STRETCH], dtype=np.uint8))
+            new = ends > back
+            ends, lengths, logs = ends[new] - back, lengths[new].tolist(), logs[new].tolist()
+            size = min(STRETCH, len(word) - done)
+            cut = np.searchsorted(ends, np.arange(1, size + 2)).tolist()
+            for k in range(size):
+                paths = [ahead[-n] + v for n, v in zip(lengths[cut[k] : cut[k + 1]], logs[cut[k] : cut[k + 1]])]
+                top = max(paths, default=-inf)
+                ahead.append(top + log(sum([exp(x - top) for x in paths])) if top > -inf else -inf)
+            ahead = ahead[-self.longest - 1 :]
+            done += size
+        return ahead[-1]
+
 
 _LATTICES: dict = {}
 
@@ -203,14 +270,15 @@ def score_documents(docs: DataFrame, path: str | None = None, modulus: int = 5,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.scores(batch.column(0).to_pylist()))], ["word", "c", "s"])
 
     # the smallest count from which on there are at most ``frequent`` words, from counts by size
-    steps = words.where("c > 0").groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("low")).orderBy(F.desc("k")).collect()
+    short = F.length("word") <= CARRIED
+    steps = words.where((F.col("c") > 0) & short).groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("low")).orderBy(F.desc("k")).collect()
     least, taken = None, 0
     for r in steps:
         taken += r.n
         if taken > frequent:
             break
         least = r.low
-    is_frequent = F.col("c") >= least if least is not None else F.lit(False)
+    is_frequent = (F.col("c") >= least) & short if least is not None else F.lit(False)
     common = words.where(is_frequent).mapInArrow(score, "word binary, c long, s double").collect()
     shared = spark.sparkContext.broadcast({bytes(r.word): (np.log10((r.c + 0.5) / scale), r.s) for r in common})
     rare = words.where(~is_frequent).mapInArrow(score, "word binary, c long, s double")

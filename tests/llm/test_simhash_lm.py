@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 from collections import Counter
 from math import isclose, log10
@@ -91,22 +92,68 @@ def brute_word(lattice, pieces, word):
     return log10(rest(0))
 
 
+def pieces_of(path, counts, ends):
+    """Log probabilities of pieces, bytes and the end, from the file and the counts."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = [i for i in range(m.get_piece_size()) if not m.is_control(i) and not m.is_unknown(i)]
+    best = max(m.get_score(i) for i in own if not m.is_byte(i))
+    zipf = {i: 1 / (2 + best - m.get_score(i)) for i in own if not m.is_byte(i)}
+    zipf |= {i: min(zipf.values()) for i in own if m.is_byte(i)}
+    weight = {i: counts.get(i, 0) + 0.1 + 2000 * zipf[i] / sum(zipf.values()) for i in own}
+    total = sum(weight.values()) + ends + 0.1
+    pieces = {m.id_to_piece(i).replace("▁", " ").encode(): np.log(weight[i] / total) for i in own if not m.is_byte(i)}
+    single = {int(m.id_to_piece(i)[3:5], 16): np.log(weight[i] / total) for i in own if m.is_byte(i)}
+    return m, {p: v for p, v in pieces.items() if b" " not in p[1:]}, single, np.log((ends + 0.1) / total)
+
+
+class Brute:
+    def __init__(self, single):
+        self.bytes = single
+
+
 def test_lattice_against_enumeration():
     path = tokenizer_path("piece_bpe_32k.model")
     counts = {i: float(i % 7) for i in range(32000)}
     lattice = lattice_lm.Lattice(path, counts, 5.0)
-    m = lattice.model
-    own = [i for i in range(32000) if not m.is_control(i) and not m.is_unknown(i)]
-    total = sum(counts[i] + 0.1 for i in own) + 5.1
-    pieces = {m.id_to_piece(i).replace("▁", " ").encode(): np.log((counts[i] + 0.1) / total) for i in own if not m.is_byte(i)}
+    _, pieces, single, end = pieces_of(path, counts, 5.0)
     words = [b"a", b"the", b"token", "été".encode(), b"xq$", b"ation", "你".encode(), "▁x".encode()]
-    pieces = {p: v for p, v in pieces.items() if b" " not in p[1:]}
-    assert np.allclose(lattice.scores(words), [brute_word(lattice, pieces, w) for w in words])
-    assert np.isfinite(lattice.scores([b"z" * 5000])).all()
-    total = sum(np.exp(v) for v in pieces.values()) + np.exp(lattice.bytes[np.isfinite(lattice.bytes)]).sum() + np.exp(lattice.end)
+    assert np.allclose(lattice.scores(words), [brute_word(Brute(single), pieces, w) for w in words]) and np.isclose(lattice.end, end)
+    total = sum(np.exp(v) for v in pieces.values()) + sum(np.exp(v) for v in single.values()) + np.exp(lattice.end)
     assert total <= 1 + 1e-9
 
 
+def test_long_words(monkeypatch):
+    lattice = lattice_lm.Lattice(tokenizer_path("piece_bpe_32k.model"), {i: float(i % 5) for i in range(32000)}, 5.0)
+    draw = np.random.default_rng(4)
+    words = [draw.choice(list(b"etaoin shrdlu".replace(b" ", b"")), n).astype(np.uint8).tobytes() for n in (1, 2, 40, 300, 511)]
+    short = lattice.scores(words)
+    for stretch in (1 << 16, 37):
+        monkeypatch.setattr(lattice_lm, "LONG", 1)
+        monkeypatch.setattr(lattice_lm, "STRETCH", stretch)
+        assert np.allclose(lattice.scores(words), short)
+    began = time.perf_counter()
+    assert np.isfinite(lattice.scores([b"z" * 5000, bytes(range(33, 127)) * 4000])).all()
+    assert time.perf_counter() - began < 30
+
+
+def test_document_scores_against_enumeration(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    texts = ["the cat sat", "A cat, the", "sat on été", "", None, "the the zq$", "on a cat mat"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    assert any(held) and not all(held)
+    words = [re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split() for t in texts]
+    m = pieces_of(path, {}, 0)[0]
+    counts = Counter(i for w, h in zip(words, held) if not h for x in w for i in m.encode(x.decode()))
+    _, pieces, single, end = pieces_of(path, counts, held.count(False))
+    expected = {d: sum(brute_word(Brute(single), pieces, x) for x in w) + end / np.log(10) for d, w in enumerate(words)}
+    for frequent in (0, 100_000):
+        got = {r.doc_id: r.score for r in lattice_lm.score_documents(frame, frequent=frequent).collect()}
+        assert got.keys() == expected.keys() and all(isclose(got[d], expected[d], rel_tol=1e-9) for d in got)
+
+
 def test_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "the THE"), (1001, None), (1002, ""), (1003, "unheardofword é"), (7, "again again"), (7, "again again")]
@@ -127,4 +174,5 @@ def test_scores(spark):
         last = scores
         assert all(np.isfinite(r.score) and r.score < 0 for r in got)
     assert lattice_lm.score_documents(frame.limit(0)).count() == 0
-    assert isclose(lattice_lm.score_documents(frame.where("doc_id = 7").limit(1)).first().base_score, last[0], abs_tol=1e9)
+    alone = lattice_lm.score_documents(frame.where("text = 'again again'").limit(1)).first()
+    assert alone.n_tokens == 3 and alone.train_tokens == (0 if alone.held_out else 3)
