@@ -329,35 +329,23 @@ def repeated_ranges(work: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFram
         held: dict[bytes, list] = {}
         size, bucket = 0, None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            digests, ranges, ws, ks = [], [], [], []
+        def out() -> pa.RecordBatch:
+            digests, ranges, entries = [], [], []
             for (digest, (seg, n, shared)), found, first in zip(held.items(), *repeated_starts([seg for seg, _, _ in held.values()])):
                 starts = np.arange(len(found)) if n > 1 else np.flatnonzero(found)
-                if len(starts):
+                # other blocks of the bucket have to know the windows of this one, and those still open here theirs
+                own = [{"w": xxhash.xxh3_128_digest(seg[k : k + LENGTH]), "k": k if n == 1 and not found[k] else None} for k in np.flatnonzero(first).tolist()] if shared else None
+                if len(starts) or own:
                     digests.append(digest)
-                    ranges.append(covered(starts).tobytes())
-                    ws.append(None)
-                    ks.append(None)
-                if shared:  # other blocks of the bucket have to know the windows of this one, and it theirs
-                    for k in np.flatnonzero(first).tolist():
-                        still = n == 1 and not found[k]
-                        digests.append(digest if still else None)
-                        ranges.append(None)
-                        ws.append(xxhash.xxh3_128_digest(seg[k : k + LENGTH]))
-                        ks.append(k if still else None)
-                if len(ws) >= 50_000:
-                    yield batch_of(digests, ranges, ws, ks)
-                    digests, ranges, ws, ks = [], [], [], []
+                    ranges.append(covered(starts).tobytes() if len(starts) else None)
+                    entries.append(own)
             held.clear()
-            yield batch_of(digests, ranges, ws, ks)
-
-        def batch_of(*columns: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary(), pa.int32()))], ["digest", "ranges", "w", "k"])
+            return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ranges, pa.binary()), pa.array(entries, pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int32())])))], ["digest", "ranges", "entries"])
 
         for batch in batches:
             for h, block, digest, n, seg in zip(*(c.to_pylist() for c in batch.columns)):
                 if (h, block) != bucket and size >= ARRAY_BYTES:
-                    yield from out()
+                    yield out()
                     size = 0
                 bucket = (h, block)
                 if digest in held:
@@ -366,7 +354,7 @@ def repeated_ranges(work: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFram
                     held[digest] = [seg, n, block >= 0]
                     size += len(seg)
         if held:
-            yield from out()
+            yield out()
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,12 +367,12 @@ def repeated_ranges(work: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFram
     else:
         block = F.lit(-1)
     dealt = segs.select("h", block.alias("block"), "digest", "n", "seg").repartition("h", "block").sortWithinPartitions("h", "block", "digest")
-    ranges = work.stored(dealt.mapInArrow(arrays, "digest binary, ranges binary, w binary, k int"), "ranges")
+    ranges = work.stored(dealt.mapInArrow(arrays, "digest binary, ranges binary, entries array<struct<w:binary,k:int>>"), "ranges")
     if split:
-        entries = ranges.where("w IS NOT NULL").select("w", "digest", "k")
+        entries = ranges.select("digest", F.explode("entries").alias("e")).select("e.w", "digest", "e.k")
         several = work.stored(entries.groupBy("w").count().where("count > 1").select("w"), "several")
         again = spread_join(work.stored(entries.where("k IS NOT NULL"), "open"), several, "w").groupBy("digest").agg(F.collect_set("k").alias("ks"))
-        ranges = ranges.where("w IS NULL").select("digest", "ranges").unionByName(again.mapInArrow(to_ranges, "digest binary, ranges binary"))
+        ranges = ranges.where("ranges IS NOT NULL").select("digest", "ranges").unionByName(again.mapInArrow(to_ranges, "digest binary, ranges binary"))
     else:
         ranges = ranges.select("digest", "ranges")
     hits = occurrences.join(ranges, "digest").select("key", F.struct("mark", F.lit(False).alias("whole"), "start", "ranges").alias("m"))
