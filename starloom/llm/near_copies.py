@@ -7,11 +7,11 @@
    or more share one of the first hashes of both (about a fifth of each), whatever order all hashes
    are put in. So a text has one row for each hash of its prefix, and what shares a hash and can
    still reach the similarity from there on is compared exactly. Common hashes, estimated from a
-   sample, come last in the order, so that few texts have them in their prefixes; the order
+   sample, come last in the order, the commonest at the end, so that few texts have them in their prefixes; the order
    decides what is compared and never what is a copy.
 
 A common hash is no square of its texts: first every text is compared with a few neighbours under
-each hash, and once these links and those of SimHash have made clusters, only pairs of different
+each hash, in two turns, and once these links and those of SimHash have made clusters, only pairs of different
 clusters are left. All of these are compared, a hash of many texts block against block.
 
 Texts are compared with A-Z in lower case and white space as single blanks; texts equal in that
@@ -35,8 +35,8 @@ from starloom.llm.simhash import components, linked, majority
 
 #: Texts under one hash that a task compares; more are split into blocks.
 HOT_COMPONENT = 20_000
-#: Neighbours that a text is compared with under each hash, before all pairs that are left.
-NEIGHBOURS = 8
+#: Neighbours that a text is compared with under each hash in two turns, before all pairs that are left.
+NEIGHBOURS, MORE_NEIGHBOURS = 8, 16
 #: Texts from which the common hashes are estimated, how many of them share a common hash, and the most that are kept.
 SAMPLE, COMMON, MOST_COMMON = 5_000, 5, 100_000
 #: So many texts' names are broadcast where their texts are looked up; more are shuffled.
@@ -98,13 +98,17 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
         yield np.unique(own)
 
 
-def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first hashes of a set, ``common`` ones (in ascending order) last; of sets of ``similarity`` or more one is shared."""
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set; of sets of ``similarity`` or more one is shared.
+
+    ``common`` hashes (in ascending order) come last, those of the smallest ``rank`` first.
+    """
     if not len(own):
         return own
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-        own = np.concatenate([own[~late], own[late]])
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        late = common[at] == own
+        own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]], kind="stable")]])
     return own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]
 
 
@@ -131,15 +135,15 @@ def reachable(n, pos, m, at, similarity: float, least=np.minimum):
     return least(n - pos, m - at) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
 
 
-def neighbours(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) among neighbours under one hash, in an order by chance."""
+def neighbours(work: Scratch, rows: DataFrame, similarity: float, most: int, *order: str) -> DataFrame:
+    """Pairs (a, b) of different clusters among ``most`` neighbours under one hash, in an order by chance that depends on ``order``."""
     hot = rows.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > HOT_COMPONENT)
     salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("size") / (HOT_COMPONENT // 2))), F.lit(0))
-    window = Window.partitionBy("h", "salt").orderBy(F.xxhash64("node", F.lit(0)), "node")
-    row = F.struct("node", "n", "pos")
-    lags = F.array(*(F.lag(row, k).over(window) for k in range(1, NEIGHBOURS + 1)))
+    window = Window.partitionBy("h", "salt").orderBy(F.xxhash64(*order), "node")
+    row = F.struct("node", "cluster", "n", "pos")
+    lags = F.array(*(F.lag(row, k).over(window) for k in range(1, most + 1)))
     found = rows.join(work.stored(hot, "hot"), "h", "left").withColumn("salt", salt).withColumn("o", lags)
-    found = found.select("node", "n", "pos", F.explode("o").alias("o")).where("o IS NOT NULL")
+    found = found.select("node", "cluster", "n", "pos", F.explode("o").alias("o")).where("cluster <> o.cluster")
     found = found.where(reachable(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), similarity, F.least))
     return found.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
@@ -229,7 +233,10 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
     step = max(1, nodes.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("name", F.lit(7)), F.lit(step)) == 0).select("text").distinct()
     common = some.mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    common = np.sort(np.array([r.h for r in common.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(np.uint64))
+    found = common.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
+    common = np.array([r.h for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, rank = common[order], (len(found) - np.arange(len(found)))[order]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -246,7 +253,7 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
                 if len(own):
                     names.append(name)
                     sets.append(len(own))
-                    first.append(prefix(own, common, similarity))
+                    first.append(prefix(own, common, rank, similarity))
             sizes = np.array([len(f) for f in first], dtype=np.int64)
             h = np.concatenate([*first, np.zeros(0, dtype=np.uint64)]).view(np.int64)
             called = np.repeat(np.frombuffer(b"".join(names), dtype=">i8").reshape(-1, 2).astype(np.int64), sizes, axis=0)
@@ -286,9 +293,16 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
     equal = some.join(first.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = work.stored(linked(first.select("fp")), "near").join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = checked(equal.union(near).union(neighbours(work, shared, similarity)).distinct())
-    clusters = shared.join(components(links), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("cluster"))
-    return links.union(checked(remaining(work, work.stored(clusters, "clusters"), similarity)))
+
+    def clustered(links: DataFrame) -> DataFrame:
+        found = shared.join(components(links), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("cluster"))
+        return work.stored(found, "clusters")
+
+    # one order for all hashes makes few pairs that join most of a group; one for each hash joins what still stands beside it
+    first = neighbours(work, shared.withColumn("cluster", F.col("node")), similarity, NEIGHBOURS, "node")
+    links = checked(equal.union(near).union(first).distinct())
+    links = links.union(checked(neighbours(work, clustered(links), similarity, MORE_NEIGHBOURS, "node", "h")))
+    return links.union(checked(remaining(work, clustered(links), similarity)))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
