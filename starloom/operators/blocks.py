@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.scalar import true
 from starloom.operators.rules import c
+from starloom.sources.scratch import stored
 
 #: Shares of the categories in a balanced catalogue, the largest first (fixed values).
 SHARES = {"kg_enanas": 0.30, "af_sp": 0.20, "kg_gigantes": 0.16, "b_calientes": 0.12, "m_frias": 0.12, "halo": 0.10}
@@ -128,17 +129,24 @@ def targets(total: int) -> dict[str, int]:
 
 
 def balanced(df: DataFrame, total: int, request: float = 1.2) -> DataFrame:
-    """A catalogue by category: every star is offered to the first category that admits it, and
-    each category takes its brightest up to the target out of ``request`` times as many.
+    """A catalogue by category: one category after the other takes its brightest stars that no earlier one has
+    taken, up to its target out of ``request`` times as many.
+
+    A category looks at no more than the targets before it and its own request, so one scan ranks the stars of
+    all categories, and only these few are gone through in turn.
     """
-    goal = targets(total)
-    chosen = F.lit(None).cast("string")
-    for name, fits in reversed(category_filters().items()):
-        chosen = F.when(true(fits), name).otherwise(chosen)
-    most = F.lit(None).cast("int")
+    goal, filters, before, most = targets(total), category_filters(), 0, []
+    for name, n in goal.items():
+        most.append(F.struct(F.lit(name).alias("chosen"), F.lit(before + int(n * request)).alias("most"), true(filters[name]).alias("fits")))
+        before += n
+    offered = base_conditions(df).withColumn("__c", F.explode(F.filter(F.array(*most), lambda x: x["fits"])))
+    rank = F.row_number().over(Window.partitionBy("__c.chosen").orderBy("phot_g_mean_mag", "source_id"))
+    offered = stored(offered.withColumn("__n", rank).where(c("__n") <= c("__c.most")).withColumn("chosen", c("__c.chosen")).drop("__c", "__n"), "balanced")
+    taken = None
     for name, n in goal.items():
-        most = F.when(c("chosen") == name, n).otherwise(most)
-    df = base_conditions(df).withColumn("chosen", chosen).where("chosen is not null").withColumn("__most", most)
-    rank = F.row_number().over(Window.partitionBy("chosen").orderBy("phot_g_mean_mag", "source_id"))
-    asked = df.withColumn("__n", rank).where(c("__n") <= int(max(goal.values()) * request))
-    return asked.where(c("__n") <= c("__most")).drop("__n", "__most")
+        own = offered.where(c("chosen") == name)
+        if taken is not None:
+            own = own.join(F.broadcast(taken.select("source_id")), "source_id", "left_anti")
+        own = own.orderBy("phot_g_mean_mag", "source_id").limit(int(n * request)).orderBy("phot_g_mean_mag", "source_id").limit(n).select(*offered.columns)
+        taken = stored(own if taken is None else taken.unionByName(own), "balanced")
+    return taken

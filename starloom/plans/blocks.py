@@ -97,7 +97,17 @@ _FILTER = {
 _TARGETS = {"kg_enanas": 151, "af_sp": 100, "kg_gigantes": 80, "b_calientes": 60, "m_frias": 60, "halo": 50}
 
 
-@query("SELECT source_id, chosen FROM (SELECT source_id, chosen, row_number() OVER (PARTITION BY chosen ORDER BY phot_g_mean_mag, source_id) AS n FROM (SELECT *, CASE " + " ".join(f"WHEN {w} THEN '{k}'" for k, w in _FILTER.items()) + f" END AS chosen FROM cat WHERE {_BASE}) WHERE chosen IS NOT NULL) WHERE n <= CASE chosen " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in _TARGETS.items()) + " END")
+def _taken() -> str:
+    """Each category takes its brightest of those that none before it has taken."""
+    parts, before = [], []
+    for name, n in _TARGETS.items():
+        rest = "".join(f" AND source_id NOT IN (SELECT source_id FROM {x})" for x in before)
+        parts.append(f"{name} AS (SELECT source_id, '{name}' AS chosen FROM cat WHERE {_BASE} AND {_FILTER[name]}{rest} ORDER BY phot_g_mean_mag, source_id LIMIT {n})")
+        before.append(name)
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM {x}" for x in before)
+
+
+@query(_taken())
 def g2_balanced_catalogue(spark, d):
     return B.balanced(catalogue(spark, d), 501).select("source_id", "chosen")
 

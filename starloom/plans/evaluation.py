@@ -54,7 +54,7 @@ def f26_weighted_errors(spark, d):
 @query()
 def f27_bootstrap(spark, d):
     rows = pairs(spark, d).withColumn("hit", (F.col("truth") == F.col("predicted")).cast("double"))
-    return M.bootstrap(rows, "source_id", "hit", rounds=200)
+    return M.bootstrap(rows, "source_id", "hit")
 
 
 @query("SELECT count(*) AS n, round(corr(a, b), 9) AS rho FROM (SELECT rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2e0 AS a, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2e0 AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)")

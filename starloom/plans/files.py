@@ -97,9 +97,10 @@ def b6_manifest_counts(spark, d):
     return one.select(F.explode("m").alias("category", "n"))
 
 
-@query("SELECT count(*) AS n FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(text, '[\\t\\n\\r]', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def a16_whole_texts(spark, d):
     path = fresh(spark, "texts")
-    read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.regexp_replace("text", r"\s", " ")).alias("value")).write.text(path)
-    texts = R.whole_texts(spark, path)
-    return texts.select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line")).agg(F.count("*").alias("n"))
+    rows = read(spark, d, "documents").where("text IS NOT NULL")
+    rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.regexp_replace("text", r"[\t\n\r]", " ")).alias("value")).write.text(path)
+    line = R.whole_texts(spark, path).select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
+    return line.select(F.substring_index("line", "\t", 1).alias("doc_id"), F.split("line", "\t")[1].alias("text"))

@@ -36,11 +36,11 @@ def n2_query_text(spark, d):
     return R.query_text(corrected(spark, d)).select("source_id", "query")
 
 
-@query("SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id DESC) AS rank FROM embeddings q, embeddings b, LATERAL (SELECT list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s) WHERE b.label = 3) WHERE rank <= 3")
+@query("SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id DESC) AS rank FROM embeddings q, embeddings b, LATERAL (SELECT list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s)) WHERE rank <= 3")
 def n4_g3_cosine_top(spark, d):
     vectors = read(spark, d, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    base = vectors.where("label = 3").select("vec_id", F.col("embedding").alias("vector"))
+    base = vectors.select("vec_id", F.col("embedding").alias("vector"))
     return R.cosine_top(queries, base, 3, "query_id", "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 

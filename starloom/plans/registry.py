@@ -13,7 +13,7 @@ from starloom.sources.bindings import catalogue_cte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("stars", "blocks", "joins", "summaries", "evaluation", "knowledge", "files", "events")
+MODULES = ("stars", "blocks", "joins", "summaries", "evaluation", "knowledge", "files", "events", "reports")
 
 
 def query(sql: str | None = None):

@@ -44,13 +44,15 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def wrapped_json(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("stars", "contracts", "data", "corpus")) -> DataFrame:
-    """A JSON array, or an object that holds it under one of ``keys``."""
+    """A JSON array, or an object that holds it under one of ``keys`` or, failing these, as its first value that is a list."""
     item = SCHEMAS.get(schema, schema)
     text = spark.read.text(path, wholetext=True)
     wide = ", ".join(f"{k} array<struct<{_fields(item)}>>" for k in keys)
     bare = F.from_json("value", f"array<struct<{_fields(item)}>>", {"allowNonNumericNumbers": "true"})
     held = F.from_json("value", wide, {"allowNonNumericNumbers": "true"})
-    rows = F.when(F.ltrim("value").startswith("["), bare).otherwise(F.coalesce(*[held[k] for k in keys]))
+    lists = F.filter(F.map_values(F.from_json("value", "map<string, string>")), lambda x: F.ltrim(x).startswith("["))
+    first = F.from_json(F.get(lists, 0), f"array<struct<{_fields(item)}>>", {"allowNonNumericNumbers": "true"})
+    rows = F.when(F.ltrim("value").startswith("["), bare).otherwise(F.coalesce(*[held[k] for k in keys], first))
     return text.select(F.inline(rows))
 
 
@@ -104,8 +106,14 @@ def columns_of(df: DataFrame) -> DataFrame:
 
 
 def requested(ids: DataFrame, table: DataFrame, key: str = "source_id") -> DataFrame:
-    """The table's rows for the ids asked for, NULL where there is none."""
-    return ids.select(key).distinct().join(table, key, "left")
+    """The table's rows for the ids asked for, NULL where there is none, in the order in which the ids are first asked for."""
+    first = ids.select(key, F.monotonically_increasing_id().alias("__at")).groupBy(key).agg(F.min("__at").alias("__at"))
+    return first.join(table, key, "left").orderBy("__at").drop("__at")
+
+
+def without(df: DataFrame, *parts: str) -> DataFrame:
+    """``df`` without the columns whose names contain one of ``parts``."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not any(p in c for p in parts)])
 
 
 def spectra_present(table: DataFrame, key: str = "source_id", values: str = "flux") -> DataFrame:

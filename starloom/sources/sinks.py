@@ -6,6 +6,7 @@ import datetime
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,21 @@ def strict_json(df: DataFrame, path: str) -> None:
     json_lines(sanitized(df), path)
 
 
+def json_arrays(df: DataFrame, path: str) -> None:
+    """Files that are a JSON array of documents each, NULL fields written out; NaN and infinities become NULL."""
+    rows = sanitized(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(["[" if last is None else last + ","])], ["value"])
+                last = text
+        yield pa.RecordBatch.from_arrays([pa.array(["[]"] if last is None else [last, "]"])], ["value"])
+
+    rows.mapInArrow(run, "value string").write.text(path)
+
+
 def numbered_folder(spark: SparkSession, folder: str, day: datetime.date | None = None) -> str:
     """The next folder DB-N-date."""
     found = [int(m[1]) for name in listed(spark, folder) if (m := re.match(r"^DB-(\d+)-", name))]
