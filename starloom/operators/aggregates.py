@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.ordering import running_total
+
 
 def distribution(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
@@ -17,12 +21,22 @@ def flag_shares(df: DataFrame, flags: list[str]) -> DataFrame:
     return long.select("flag", "n_set", (F.try_divide(F.col("n_set") * 100.0, F.col("total"))).alias("percent"))
 
 
+def median(df: DataFrame, value: str) -> DataFrame:
+    """One row, ``middle``: the exact median of a column, from counts by value in range partitions; NULL without values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    upto = running_total(counts, ["v"], "n", "upto")
+    placed = upto.crossJoin(F.broadcast(upto.agg(F.max("upto").alias("total"))))
+    first = lambda reached: F.min(F.when(reached, F.col("v")))
+    twice = 2 * F.col("upto")
+    return placed.agg(((first(twice >= F.col("total")) + first(twice > F.col("total"))) / 2.0).alias("middle"))
+
+
 def quality_bands(df: DataFrame, score: str = "quality_score") -> DataFrame:
     s = F.col(score)
     return df.agg(
         F.count_if(s >= 0.95).alias("excellent"), F.count_if((s >= 0.7) & (s < 0.95)).alias("good"), F.count_if((s >= 0.4) & (s < 0.7)).alias("fair"),
-        F.count_if(s < 0.4).alias("poor"), F.avg(s).alias("mean_score"), F.median(s).alias("median_score"),
-    )
+        F.count_if(s < 0.4).alias("poor"), F.avg(s).alias("mean_score"),
+    ).crossJoin(F.broadcast(median(df, score).withColumnRenamed("middle", "median_score")))
 
 
 def null_shares(df: DataFrame, *columns: str) -> DataFrame:
@@ -43,8 +57,10 @@ def coverage(df: DataFrame, *columns: str) -> DataFrame:
 
 def summary(df: DataFrame, *columns: str) -> DataFrame:
     """Least, largest and exact median of each column, a row for each."""
-    one = df.agg(*[F.struct(F.min(n).alias("low"), F.max(n).alias("high"), F.median(n).alias("middle")).alias(n) for n in columns])
-    return one.unpivot([], list(columns), "column_name", "v").select("column_name", "v.low", "v.high", "v.middle")
+    one = df.agg(*[F.struct(F.min(n).cast("double").alias("low"), F.max(n).cast("double").alias("high")).alias(n) for n in columns])
+    ends = one.unpivot([], list(columns), "column_name", "v").select("column_name", "v.low", "v.high")
+    middles = reduce(DataFrame.unionByName, [median(df, n).select(F.lit(n).alias("column_name"), F.col("middle").cast("double").alias("middle")) for n in columns])
+    return ends.join(F.broadcast(middles), "column_name")
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
