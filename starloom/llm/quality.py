@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starloom.llm.common import held_out, labelled_sample, small_batches, text_bytes
 from starloom.llm.docstats import BANG, CONTINUED, DIGIT, END, LOWER, NEWLINE, OTHER, PUNCT, SPACE, SYMBOL, UPPER, Lines
@@ -174,14 +175,18 @@ def score_quality(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, forest: Forest) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least 0.5; one pass, no join."""
+    """The rows of ``docs``, with all their columns, whatever their names, whose score is at least 0.5; one pass, no join.
+
+    A null text counts as empty for the score and stays null; repeated rows and those with a null
+    doc_id are judged one by one. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = [b"" if t is None else t.encode("utf-8") for t in batch.column(names.index("text")).to_pylist()]
-                yield batch.filter(pa.array(forest.scores(statistics(texts)) >= 0.5))
+                yield batch.select(["row"]).filter(pa.array(forest.scores(statistics(batch.column(0).to_pylist())) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    # all columns go through in a struct, so that no name can clash
+    rows = docs.select(text_bytes().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from starloom.llm import crf
 from starloom.llm.common import small_batches, text_bytes
@@ -399,18 +400,18 @@ def scan_secrets(docs: DataFrame, chain: crf.Chain) -> DataFrame:
 def mask_secrets(docs: DataFrame, chain: crf.Chain, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span in text replaced by ``mask``; overlapping spans become one.
 
-    Other columns stay as they are, but for n_chars, which follows the text where it is there.
+    Other columns, whatever their names, stay as they are, but for n_chars, which follows a text that was
+    masked. A null text stays null.
     """
     small_batches(docs.sparkSession)
-    names, cover = docs.columns, mask.encode("utf-8")
+    cover = mask.encode("utf-8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = names.index("text")
-            own = batch.column(at).to_pylist()
+            own = batch.column(0).to_pylist()
             texts = [b"" if t is None else t.encode("utf-8") for t in own]
-            sizes = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-            for k, (_, whole) in enumerate(find_spans(texts, chain) if texts else []):
+            found = [whole for _, whole in find_spans(texts, chain)] if texts else []
+            for k, whole in enumerate(found):
                 if not whole:
                     continue
                 out, last = [], 0
@@ -419,12 +420,12 @@ def mask_secrets(docs: DataFrame, chain: crf.Chain, mask: str = "[SECRET]") -> D
                         out += [texts[k][last:a], cover]
                     last = max(last, b)
                 own[k] = b"".join([*out, texts[k][last:]]).decode("utf-8")
-                if sizes:
-                    sizes[k] = len(own[k])
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(own, batch.schema.field(at).type))
-            if sizes is not None:
-                at = names.index("n_chars")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
-            yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), batch.column(1), pa.array([len(w) for w in found], pa.int64())], ["text", "row", "n"])
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(others or [F.lit(0).alias("none")])).alias("row"))
+    masked = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("n", LongType())]))
+    whole = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in whole:
+        whole["n_chars"] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(whole["n_chars"])
+    return masked.select(*[whole[c].alias(c) for c in docs.columns])

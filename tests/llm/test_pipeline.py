@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -52,6 +53,20 @@ def test_odd_rows(spark):
         assert stage(spark, docs, SF).count() > 0 or name == "quality classifier"
 
 
+def test_any_columns_go_through_all_stages(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    names = ["key", "mark", "row", "a.b", "__key", "node", "name", "fp", "score", "predicted", "digest", "slots", "k"]
+    docs = base.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    more = spark.createDataFrame([(None, None, None, None, None), (5, "twice " * 40, "en", "s", 9), (5, "twice " * 40, "en", "s", 9)], base.schema)
+    docs = docs.unionByName(more.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]))
+    for _, stage in cp.STAGES[:-1]:
+        own = stored(stage(spark, docs, SF), "test-odd")
+        assert own.dtypes == docs.dtypes and own.count() > 0
+        assert own.select(*[f"`{n}`" for n in names]).distinct().collect() == [tuple(range(len(names)))]
+        docs = own
+    assert cp.packing_stage(spark, docs, SF).count() > 0
+
+
 def test_run(spark):
     out = cp.run(spark, SF)
     fills = {r.sequence_id: r.n for r in out.groupBy("sequence_id").sum("length").withColumnRenamed("sum(length)", "n").collect()}
