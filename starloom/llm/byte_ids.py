@@ -11,7 +11,7 @@ from starloom.llm.bpe import byte_alphabet
 
 #: Fixed value: the split pattern that the byte-level pre-tokenizer of these files stands for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: One in so many texts, the first of a process among them, is encoded by the tokenizers library too and compared.
+#: One in so many texts of a process is encoded by the tokenizers library too and compared.
 COMPARED = 512
 
 
@@ -58,7 +58,7 @@ class ByteIds:
                 raise
             return self.by_library(text)
         self.calls += 1
-        if self.calls % COMPARED == 1 and not np.array_equal(ids, self.by_library(text)):
+        if self.calls % COMPARED == 0 and not np.array_equal(ids, self.by_library(text)):
             raise ValueError(f"{self.path}: tiktoken and the tokenizers library differ")
         return ids
 
