@@ -6,7 +6,9 @@
 2. Near copies further apart than three bits: every two sets with a Jaccard similarity of ``similarity``
    or more share one of the first hashes of both (about a fifth of each), whatever order all hashes
    are put in. So a text has one row for each hash of its prefix, and what shares a hash and can
-   still reach the similarity from there on is compared exactly. Common hashes, estimated from a
+   still reach the similarity from there on is compared exactly. Each set has PARITY longs of parities: how
+   many bits two of them differ in is at most how many hashes only one of the sets has, so pairs with too many are
+   not looked at; this too is a bound and loses no pair. Common hashes, estimated from a
    sample, come last in the order, the commonest at the end, so that few texts have them in their prefixes; the order
    decides what is compared and never what is a copy.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -43,6 +46,8 @@ SAMPLE, COMMON, MOST_COMMON = 5_000, 5, 100_000
 BROADCAST = 200_000
 #: Bytes of texts that are hashed in one go, and names of texts that a task remembers; bounds on memory only.
 GROUP, REMEMBERED = 1 << 20, 100_000
+#: Longs of parities for each text; more tell larger sets apart.
+PARITY = 4
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -135,16 +140,32 @@ def reachable(n, pos, m, at, similarity: float, least=np.minimum):
     return least(n - pos, m - at) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY classes of hashes whether an odd number of the set falls in it, as PARITY longs."""
+    size = np.bincount((own >> np.uint64(32)) % np.uint64(64 * PARITY), minlength=64 * PARITY)
+    return np.packbits(size & 1 == 1, bitorder="little").view("<i8")
+
+
+def close(differ, n, m, similarity: float):
+    """Whether sets of ``n`` and ``m`` hashes whose parities ``differ`` in so many bits can be similar."""
+    return differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+ODD = [f"p{k}" for k in range(PARITY)]
+
+
 def neighbours(work: Scratch, rows: DataFrame, similarity: float, most: int, *order: str) -> DataFrame:
     """Pairs (a, b) of different clusters among ``most`` neighbours under one hash, in an order by chance that depends on ``order``."""
     hot = rows.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > HOT_COMPONENT)
     salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("size") / (HOT_COMPONENT // 2))), F.lit(0))
     window = Window.partitionBy("h", "salt").orderBy(F.xxhash64(*order), "node")
-    row = F.struct("node", "cluster", "n", "pos")
+    row = F.struct("node", "cluster", "n", "pos", *ODD)
     lags = F.array(*(F.lag(row, k).over(window) for k in range(1, most + 1)))
     found = rows.join(work.stored(hot, "hot"), "h", "left").withColumn("salt", salt).withColumn("o", lags)
-    found = found.select("node", "cluster", "n", "pos", F.explode("o").alias("o")).where("cluster <> o.cluster")
+    found = found.select("node", "cluster", "n", "pos", *ODD, F.explode("o").alias("o")).where("cluster <> o.cluster")
     found = found.where(reachable(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), similarity, F.least))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"o.{p}"))) for p in ODD))
+    found = found.where(close(differ, F.col("n"), F.col("o.n"), similarity))
     return found.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
 
 
@@ -162,7 +183,7 @@ def remaining(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
     block = F.when(F.col("cluster") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("second")))
     others = F.when(F.col("block") < F.col("first"), F.sequence("first", last)).otherwise(F.sequence(F.lit(0).cast("long"), last))
     dealt = spread_join(rows, work.stored(sizes, "sizes"), "h").withColumn("block", block).withColumn("other", F.explode(others))
-    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster", F.col("n").cast("long"), F.col("pos").cast("long"))
+    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster", F.col("n").cast("long"), F.col("pos").cast("long"), *ODD)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -173,7 +194,8 @@ def remaining(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
 
         def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Pairs within whole groups; rows are sorted by (h, i, j)."""
-            h, i, j, block, node, cluster, n, pos = columns
+            h, i, j, block, node, cluster, n, pos, *odd = columns
+            odd = np.stack(odd, axis=1).view(np.uint64)
             cut = np.flatnonzero((np.diff(h) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             found, count = [], 0
             for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(h)]):
@@ -184,6 +206,7 @@ def remaining(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
                 for k, at in enumerate(x):
                     to = y[k + 1 :] if one else y
                     to = to[(cluster[to] != cluster[at]) & reachable(n[at], pos[at], n[to], pos[to], similarity)]
+                    to = to[close(np.bitwise_count(odd[to] ^ odd[at]).sum(axis=1, dtype=np.int64), n[at], n[to], similarity)]
                     if len(to):
                         found.append(np.stack([np.full(len(to), node[at]), node[to]], axis=1))
                         count += len(to)
@@ -215,8 +238,8 @@ def remaining(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
 def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that join every two nodes of ``similarity`` or more, directly or through others.
 
-    ``texts`` have (doc, name, text); ``nodes`` (node, called, fp, best): its number, its name, its
-    fingerprint, and the place of one row of it.
+    ``texts`` have (doc, name, text); ``nodes`` (node, called, fp, odd, best): its number, its name, its
+    fingerprint, its parities, and the place of one row of it.
     """
 
     def texts_of(of: DataFrame) -> DataFrame:
@@ -265,7 +288,7 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
     own = work.stored(texts.select("text").mapInArrow(prefixes, "h long, c0 long, c1 long, n int, pos int"), "prefixes")
     several = own.groupBy("h").agg(F.min("c0").alias("x"), F.max("c0").alias("y"), F.min("c1").alias("u"), F.max("c1").alias("v")).where("x <> y OR u <> v").select("h")
     half = lambda k: F.conv(F.hex(F.substring("called", k, 8)), 16, -10).cast("long")
-    shared = own.join(several, "h").distinct().join(nodes.select(half(1).alias("c0"), half(9).alias("c1"), "node"), ["c0", "c1"]).select("h", "node", "n", "pos")
+    shared = own.join(several, "h").distinct().join(nodes.select(half(1).alias("c0"), half(9).alias("c1"), "node", *(F.col("odd")[k].alias(p) for k, p in enumerate(ODD))), ["c0", "c1"]).select("h", "node", "n", "pos", *ODD)
     shared = work.stored(shared, "shared")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +318,7 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def clustered(links: DataFrame) -> DataFrame:
-        found = shared.join(components(links), "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("cluster"))
+        found = shared.join(components(links), "node", "left").select("h", "node", "n", "pos", *ODD, F.coalesce("root", "node").alias("cluster"))
         return work.stored(found, "clusters")
 
     # one order for all hashes makes few pairs that join most of a group; one for each hash joins what still stands beside it
@@ -320,21 +343,23 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_bytes().alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Names of the text as it is and normalised, and the fingerprint of its shingles."""
+        """Names of the text as it is and normalised, the fingerprint and the parities of its shingles."""
         for batch in batches:
-            names, called, fps = [], [], []
+            names, called, fps, odd = [], [], [], []
             whole = batch.column(1).to_pylist()
             for text, hashes in zip(whole, shingle_hashes(whole, words)):
                 names.append(name_of(text))
                 called.append(name_of(normalised(text)))
                 fps.append(int(np.uint64(majority(hashes)).view(np.int64)) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(called, pa.binary()), pa.array(fps, pa.int64())], ["doc_id", "name", "called", "fp"])
+                odd.append(parities(np.unique(hashes)))
+            columns = [batch.column(0), pa.array(names, pa.binary()), pa.array(called, pa.binary()), pa.array(fps, pa.int64()), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "called", "fp", "odd"])
 
-    marks = texts.mapInArrow(described, "doc_id long, name binary, called binary, fp long")
-    counted = marks.groupBy("called", "doc_id", "name").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"))
+    marks = texts.mapInArrow(described, "doc_id long, name binary, called binary, fp long, odd array<long>")
+    counted = marks.groupBy("called", "doc_id", "name").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name", "copies")
-    nodes = counted.groupBy("called").agg(F.min(place).alias("best"), F.first("fp").alias("fp"))
-    nodes = work.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "called", "fp", "best"), "nodes")
+    nodes = counted.groupBy("called").agg(F.min(place).alias("best"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
+    nodes = work.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "called", "fp", "odd", "best"), "nodes")
     roots = components(shingle_links(work, texts.select("doc", text_name().alias("name"), "text"), nodes, words, similarity))
     of = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("b"))
     kept = stored(of.select(F.col("b.doc_id").alias("doc"), F.col("b.name").alias("name"), F.col("b.copies").alias("copies")), "near-copies-kept")

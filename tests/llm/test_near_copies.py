@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from starloom.llm import near_copies
 
 
@@ -107,3 +109,19 @@ def test_links_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "HOT_COMPONENT", 10)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == brute_kept(rows)
+
+
+def test_parities_are_a_bound():
+    rng = np.random.default_rng(17)
+    for size in (0, 1, 7, 60, 300, 5000):
+        for shared in (0.0, 0.5, 0.88, 0.9, 1.0):
+            both = rng.integers(0, 1 << 63, int(size * shared), dtype=np.uint64)
+            x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, size - len(both), dtype=np.uint64)])) for _ in range(2))
+            differ = int(np.bitwise_count((near_copies.parities(x) ^ near_copies.parities(y)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(x, y))
+            if near_copies.alike(x, y, 0.8):
+                assert near_copies.close(differ, len(x), len(y), 0.8)
+    # most pairs that share little are told apart
+    sets = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(20)]
+    differ = [int(np.bitwise_count((near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64)).sum()) for a in sets for b in sets if a is not b]
+    assert not any(near_copies.close(d, 200, 200, 0.8) for d in differ)
