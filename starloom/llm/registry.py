@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starloom.llm import bpe, lattice_lm, line_rules, packing, pivot_search, quality, secret_scan, simhash, store, suffixes
+from starloom.llm import best_fit, bpe, divergence, hard_negatives, lattice_lm, line_rules, packing, pivot_search, quality, secret_scan, simhash, store, suffixes
 from starloom.llm.common import fresh_path, table
 
 
@@ -53,8 +53,20 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_search, op2_suffix_dedup, op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan)}
-SQL: dict[str, str] = {"op1_pivot_search": pivot_search.SQL}
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit(spark, sf_dir):
+    return best_fit.best_fit_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_search, op2_suffix_dedup, op3_quality_trees, op4_line_rules, op5_bpe_round_trip, op6_lattice_lm, op7_packing, op8_simhash, op9_token_store, op10_secret_scan, op11_hard_negatives, op12_source_divergence, op13_best_fit)}
+SQL: dict[str, str] = {"op1_pivot_search": pivot_search.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_source_divergence": divergence.SQL}
 
 
 def llm_queries() -> dict:
