@@ -7,9 +7,10 @@ from starloom.operators import anchor as A
 from starloom.operators import inference as I
 from starloom.operators import retrieval as R
 from starloom.operators import spectra as P
-from starloom.plans.registry import query
+from starloom.plans.registry import SQL, query
 from starloom.plans.stars import anchored, corrected, judged
 from starloom.sources.bindings import read
+from starloom.sources.scratch import stored
 
 _WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -36,30 +37,72 @@ def n2_query_text(spark, d):
     return R.query_text(corrected(spark, d)).select("source_id", "query")
 
 
-@query("SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id DESC) AS rank FROM embeddings q, embeddings b, LATERAL (SELECT list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s)) WHERE rank <= 3")
+@query("SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, b.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, b.vec_id DESC) AS rank FROM embeddings q, embeddings b, LATERAL (SELECT list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s) WHERE q.vec_id % 50 = 0) WHERE rank <= 3")
 def n4_g3_cosine_top(spark, d):
     vectors = read(spark, d, "embeddings")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     base = vectors.select("vec_id", F.col("embedding").alias("vector"))
     return R.cosine_top(queries, base, 3, "query_id", "vec_id").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-def _base(spark):
-    """A small knowledge base of its own."""
-    rows = [(k, f"{name} — {title}", f"{title} {name} spectral_type {name[-1]} teff logg population {word}") for k, (name, title, word) in enumerate([("Class B", "subtype_calibration", "hot"), ("Class A", "A/B boundary", "logg_correction"), ("Class F", "F_subtype", "subtype_collapse"), ("Class G", "solar", "thin_disk"), ("Class K", "giant", "thick_disk"), ("Class M", "dwarf", "emission"), ("quality_flags", "binary velocity", "is_binary_candidate")])]
-    return spark.createDataFrame(rows, "chunk_id int, label string, text string")
+#: Topics that the chunks of documents are labelled with in turn, beside their source.
+TOPICS = ["Class B", "subtype_calibration", "A/B boundary", "solar", "giant", "dwarf", "quality_flags", "binary velocity", "notes"]
+ACTIVE = ["is_binary_candidate", "has_emission", "fit_diverged", "is_high_velocity"]
 
 
-def _hits(spark, d):
-    stars = R.embedded(R.query_text(corrected(spark, d)), "query").select("source_id", "mk_letter", "is_binary_candidate", "vector")
-    base = R.embedded(_base(spark), "text").select("chunk_id", "label", "text", "vector")
-    return stars, base, R.cosine_top(stars, base, 3, "source_id", "chunk_id")
+def _base(spark, d):
+    """The knowledge base: all chunks of all documents."""
+    found = R.chunks(read(spark, d, "documents").withColumn("place", F.concat_ws("/", "source", "doc_id")), "place")
+    doc_id = F.substring_index("source", "/", -1).cast("long")
+    topic = F.element_at(F.array(*[F.lit(t) for t in TOPICS]), (doc_id % len(TOPICS) + 1).cast("int"))
+    return found.select((doc_id * 100_000 + F.col("chunk_no")).alias("chunk_id"), F.concat(F.substring_index("source", "/", 1), F.lit(" — "), topic).alias("label"), "text")
 
 
-@query()
+def _hits(spark, d):
+    """Stars, chunks, and the three chunks nearest to each star's query."""
+    stars = R.query_text(corrected(spark, d)).withColumn("fit_diverged", F.col("bprp_status") != "success")
+    stars = stored(stars.select("source_id", "mk_letter", *ACTIVE, "query"), "star-queries")  # the rules once, and a short plan for what follows
+    base, encode = _base(spark, d), R.counting_encoder()
+    hits = R.cosine_top(R.embedded(stars, "query", encode=encode), R.embedded(base, "text", encode=encode), 3, "source_id", "chunk_id", unit=False)
+    return stars, base, stored(hits, "hits")
+
+
+_N2 = SQL["n2_query_text"]
+_HITS = f"""qt AS ({_N2[_N2.rindex('SELECT source_id, concat_ws'):]}),
+kp AS (SELECT doc_id, source, list_transform(string_split(text, chr(10) || '## '), lambda x, i: CASE WHEN i = 1 THEN x ELSE '## ' || x END) AS parts, text FROM documents),
+kq AS (SELECT doc_id, source, text, list_filter(list_transform(parts, lambda x: {_STRIP.format('x')}), lambda x: {_WORDS.format('x')} >= 40) AS kept FROM kp),
+kr AS (SELECT doc_id, source, CASE WHEN len(kept) > 0 THEN kept WHEN {_WORDS.format('text')} >= 40 THEN [{_STRIP.format('text')}] ELSE [] END AS kept FROM kq),
+ch AS (SELECT doc_id * 100000 + generate_subscripts(kept, 1) - 1 AS chunk_id, source || ' — ' || {TOPICS!r}[doc_id % {len(TOPICS)} + 1] AS label, unnest(kept) AS text FROM kr),
+tx AS (SELECT 'q' AS side, source_id AS id, query AS t FROM qt UNION ALL SELECT 'b', chunk_id, text FROM ch),
+tw AS (SELECT side, id, md5(unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))) AS h FROM tx),
+td AS (SELECT side, id, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 128 AS d, sum(CASE WHEN substr(h, 5, 1) < '8' THEN 1e0 ELSE -1e0 END) AS s FROM tw GROUP BY ALL),
+tm AS (SELECT side, id, map(list(d), list(s)) AS m, sum(s * s) AS n FROM td GROUP BY ALL HAVING sum(s * s) > 0),
+tv AS (SELECT side, id, n, list_transform(range(128), lambda i: coalesce(m[CAST(i AS INTEGER)], 0e0)) AS v FROM tm),
+hits AS (SELECT q.id AS source_id, b.id AS chunk_id, list_inner_product(q.v, b.v) / sqrt(q.n * b.n) AS score FROM tv q JOIN tv b ON q.side = 'q' AND b.side = 'b' QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, b.id DESC) <= 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, chunk_id DESC) AS rank FROM hits)"""
+
+
+@query(f"""WITH {_HITS}
+SELECT source_id, md5(string_agg('[Chunk ' || rank || ' | ' || label || ' | score=' || printf('%.3f', round(score, 3)) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5, max(label) FILTER (WHERE rank = 1) AS top_label
+FROM ranked JOIN ch USING (chunk_id) GROUP BY source_id""")
 def n3_n5_context(spark, d):
     _, base, hits = _hits(spark, d)
-    return R.context_block(hits, base, "source_id", "chunk_id")
+    return R.context_block(hits, base, "source_id", "chunk_id").select("source_id", F.md5("context").alias("context_md5"), "top_label")
+
+
+_FLAGGED = "(is_binary_candidate OR has_emission OR bprp_status <> 'success' OR is_high_velocity)"
+_KEYS = " OR ".join(f"(mk_letter = '{k}' AND (" + " OR ".join(f"contains(lower(label), '{x.lower()}')" for x in keys) + "))" for k, keys in R.RELEVANT.items())
+_FLAG_KEYS = " OR ".join(f"contains(lower(label), '{x}')" for x in R.RELEVANT_FLAG)
+
+
+@query(f"""WITH {_HITS},
+top AS (SELECT co.*, label, ({_KEYS})::INT AS hit, ({_FLAG_KEYS})::INT AS flag_hit FROM co JOIN ranked USING (source_id) JOIN ch USING (chunk_id) WHERE rank = 1),
+parts AS (SELECT 'all' AS part, hit FROM top UNION ALL SELECT 'class ' || mk_letter, hit FROM top UNION ALL SELECT 'flagged', flag_hit FROM top WHERE {_FLAGGED} UNION ALL SELECT 'without', 0 FROM co WHERE source_id NOT IN (SELECT source_id FROM ranked))
+SELECT part, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 4) AS rate FROM parts GROUP BY part""")
+def o8_retrieval_impact(spark, d):
+    stars, base, hits = _hits(spark, d)
+    top = hits.where("rank = 1").join(base.select("chunk_id", "label"), "chunk_id").select("source_id", "label")
+    return R.retrieval_impact(stars.join(top, "source_id", "left"), "mk_letter", "label", ACTIVE)
 
 
 @query()
@@ -69,14 +112,6 @@ def n6_vector_cache(spark, d):
     return R.cached(texts, cache, "source_id", "query").groupBy("from_cache").agg(F.count("*").alias("n"))
 
 
-@query()
-def o8_retrieval_impact(spark, d):
-    stars, base, hits = _hits(spark, d)
-    top = hits.where("rank = 1").join(F.broadcast(base.select("chunk_id", "label")), "chunk_id").join(stars.select("source_id", "mk_letter", "is_binary_candidate"), "source_id")
-    hit = R.relevance(F.col("mk_letter"), F.col("label"))
-    return top.groupBy("mk_letter").agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("hit_rate"))
-
-
 def _prompted(spark, d):
     stars = A.features(A.confidence(corrected(spark, d))).withColumn("sub_type_range", A.subtype(F.col("mk_letter"), F.col("teff_k"))).withColumn("context", F.lit(""))
     return I.reduced_prompt(I.full_prompt(stars))
