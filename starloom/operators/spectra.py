@@ -6,58 +6,173 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Light in km/s; lines in nm; windows free of lines in the red spectra.
 LIGHT = 299792.458
 HALPHA, CALCIUM = 656.281, (849.802, 854.209, 866.214)
+RED_WINDOWS = ((847.0, 849.0), (851.0, 853.5), (856.0, 860.0), (869.5, 874.0))
 ROUNDS, LEAST_POINTS, LOW, HIGH = 5, 10, 2.0, 3.0
 
-CONTINUUM = "status string, snr double, stable boolean, high_snr boolean, fit_diverged boolean, normalized array<double>"
+CONTINUUM = "status string, fit_method string, used_fallback boolean, snr double, stable boolean, high_snr boolean, fit_diverged boolean, model array<double>, normalized array<double>"
 LINE = "line_nm double, ew_aa double, fwhm_nm double, status string, high_quality_fit boolean, is_broad boolean, emission_core boolean"
+NO_DATA = ("no_data", None, False, None, False, False, False, None, None)
 
 
-def continuum(x: np.ndarray, y: np.ndarray, windows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A least-squares cubic with clipping of what lies below 2 or above 3 deviations; (continuum, mask).
+def cubic(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The least-squares cubic of the points in ``mask``, at all of ``x``.
 
-    ``windows``: where points may be used at all. If a round leaves a continuum that isn't
-    positive or finite, the mean of the used points stands for it.
+    The basis is orthogonal over those points (three-term recurrence), so each coefficient stands for itself. Fewer than
+    four different places are an error.
     """
-    allowed = np.isfinite(y) if windows is None else np.isfinite(y) & windows
-    mask = allowed.copy()
     t = (x - x.mean()) / (np.ptp(x) / 2 or 1.0)
-    found = None
+    m = mask.astype(float)
+    y = np.where(mask, y, 0.0)
+    before, basis, before_size, found = np.zeros_like(t), np.ones_like(t), 1.0, np.zeros_like(t)
+    for degree in range(4):
+        size = (m * basis * basis).sum()
+        if not size > 1e-12 * m.sum():
+            raise ValueError("fewer than four different places")
+        found += (m * y * basis).sum() / size * basis
+        back = size / before_size if degree else 0.0
+        before, basis, before_size = basis, (t - (m * t * basis * basis).sum() / size) * basis - back * before, size
+    return found
+
+
+def b_splines(x: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """(point, coefficient): cubic B-splines with the inner knots given, by the recursion of de Boor."""
+    knots = np.concatenate([[x.min()] * 4, inner, [x.max()] * 4])
+    span = np.clip(np.searchsorted(knots, x, side="right") - 1, 3, len(knots) - 5)
+    out = np.zeros((len(x), len(knots) - 4))
+    local = np.zeros((len(x), 4))
+    local[:, 0] = 1.0
+    for d in range(1, 4):
+        saved = np.zeros(len(x))
+        for j in range(d):
+            right, left = knots[span + j + 1], knots[span + j + 1 - d]
+            part = local[:, j] / (right - left)
+            local[:, j] = saved + (right - x) * part
+            saved = (x - left) * part
+        local[:, d] = saved
+    np.put_along_axis(out, span[:, None] - 3 + np.arange(4), local, axis=1)
+    return out
+
+
+def banded(matrix: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Solve a positive definite system whose entries lie within ``width`` of the diagonal, by Cholesky within the band."""
+    n = len(matrix)
+    low = np.zeros((n, n))
+    for i in range(n):
+        first = max(0, i - width)
+        for j in range(first, i + 1):
+            rest = matrix[i, j] - low[i, first:j] @ low[j, first:j]
+            if i == j and not rest > 0:
+                raise ValueError("knots without points between them")
+            low[i, j] = np.sqrt(rest) if i == j else rest / low[j, j]
+    z = np.zeros(n)
+    for i in range(n):
+        z[i] = (right[i] - low[i, max(0, i - width) : i] @ z[max(0, i - width) : i]) / low[i, i]
+    for i in range(n - 1, -1, -1):
+        z[i] = (z[i] - low[i + 1 : i + 1 + width, i] @ z[i + 1 : i + 1 + width]) / low[i, i]
+    return z
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, target: float, at: np.ndarray) -> np.ndarray:
+    """A cubic smoothing spline whose sum of squared residuals meets ``target``, at the places ``at``.
+
+    The cubic without knots is it where its residuals already do. Else knots are added, each at the middle point of
+    the span with the largest residuals, until the least-squares spline is below the target; then the
+    jumps of its third derivative are held down as far as the target allows. ``x`` may not fall.
+    """
+    if (np.diff(x) < 0).any():
+        raise ValueError("places have to rise")
+    plain = cubic(np.concatenate([x, at]), np.concatenate([y, np.zeros(len(at))]), np.arange(len(x) + len(at)) < len(x))
+    if ((y - plain[: len(x)]) ** 2).sum() <= target + 1e-12 * (y * y).sum():
+        return plain[len(x) :]
+    inner = np.zeros(0)
+    while True:
+        edges = np.concatenate([[x[0]], inner, [x[-1]]])
+        basis = b_splines(x, inner)
+        if len(inner):
+            c = banded(basis.T @ basis, basis.T @ y, 3)
+            rest = (y - basis @ c) ** 2
+            if rest.sum() <= target:
+                break
+        else:
+            rest = (y - plain[: len(x)]) ** 2
+        spans = np.clip(np.searchsorted(edges, x, side="right") - 1, 0, len(edges) - 2)
+        for span in np.argsort(-np.bincount(spans, rest, minlength=len(edges) - 1), kind="stable"):
+            own = np.unique(x[(spans == span) & ~np.isin(x, edges)])
+            if len(own) > 2:
+                inner = np.sort(np.append(inner, own[len(own) // 2]))
+                break
+        else:  # no span has points to spare
+            break
+    # jumps of the third derivative at the inner knots, as differences between the middles of neighbouring spans
+    edges = np.concatenate([[x[0]], inner, [x[-1]]])
+    middles = (edges[1:] + edges[:-1]) / 2
+    step = np.diff(edges).min() / 8
+    third = (b_splines(np.concatenate([[x[0]], middles + 1.5 * step, [x[-1]]]), inner) - 3 * b_splines(np.concatenate([[x[0]], middles + 0.5 * step, [x[-1]]]), inner) + 3 * b_splines(np.concatenate([[x[0]], middles - 0.5 * step, [x[-1]]]), inner) - b_splines(np.concatenate([[x[0]], middles - 1.5 * step, [x[-1]]]), inner))[1:-1] / step**3
+    jumps = np.diff(third, axis=0)
+    jumps *= np.sqrt((basis * basis).sum() / max((jumps * jumps).sum(), 1e-300))
+    low, high = -14.0, 14.0
+    for _ in range(50):  # the residuals grow with the weight of the jumps
+        weight = (low + high) / 2
+        c = banded(basis.T @ basis + 10.0**weight * jumps.T @ jumps, basis.T @ y, basis.shape[1])
+        low, high = (weight, high) if ((y - basis @ c) ** 2).sum() <= target else (low, weight)
+    c = banded(basis.T @ basis + 10.0**low * jumps.T @ jumps, basis.T @ y, basis.shape[1])
+    return b_splines(np.clip(at, x[0], x[-1]), inner) @ c
+
+
+def continuum(x: np.ndarray, y: np.ndarray, windows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, str]:
+    """(continuum, mask, method). Points that lie below 2 or above 3 deviations are clipped in up to ROUNDS rounds.
+
+    ``spline``: smoothing spline whose squared residuals meet the number of points times their variance; that of the last round that gave a
+    positive, finite one. ``chebyshev``: where the first round gave none (also where wavelengths fall), a
+    cubic. ``flat_mean``: where that can't be fitted either. ``windows``: where points may be used at all.
+    """
+    allowed = np.isfinite(y) & np.isfinite(x)
+    if windows is not None:
+        allowed &= windows
+    mask, found = allowed.copy(), None
     for _ in range(ROUNDS):
         if mask.sum() < LEAST_POINTS:
             break
-        fit = np.polynomial.polynomial.polyval(t, np.polynomial.polynomial.polyfit(t[mask], y[mask], 3))
+        try:
+            fit = smoothing_spline(x[mask], y[mask], mask.sum() * y[mask].var(), x)
+        except ValueError:
+            break
         if not np.isfinite(fit).all() or (fit <= 0).any():
             break
         found = fit
         rest = y - fit
         spread = rest[mask].std()
+        if spread == 0:
+            break
         new = allowed & (rest > -LOW * spread) & (rest < HIGH * spread)
         if (new == mask).all():
             break
         mask = new
-    if found is None:
-        level = y[mask].mean() if mask.any() else (np.nanmean(y) if np.isfinite(y).any() else np.nan)
-        found = np.full(len(y), level)
-    return found, mask
+    if found is not None:
+        return found, mask, "spline"
+    try:
+        return cubic(x, y, mask), mask, "chebyshev"
+    except ValueError:
+        return np.full(len(y), y[mask].mean() if mask.any() else np.nan), mask, "flat_mean"
 
 
 def measured(x: np.ndarray, y: np.ndarray, windows: np.ndarray | None = None) -> tuple:
+    """A tuple of CONTINUUM: a fit that isn't positive everywhere or rests on few points has diverged and has no numbers."""
     if len(y) < LEAST_POINTS or len(x) != len(y) or not np.isfinite(y).any():
-        return ("no_data", None, False, False, False, None)
-    level, mask = continuum(x, y, windows)
-    diverged = bool(mask.sum() < LEAST_POINTS or not np.isfinite(level).all() or (level <= 0).any())
-    if diverged:
-        return ("failed", None, False, False, True, None)
+        return NO_DATA
+    level, mask, method = continuum(x, y, windows)
+    if mask.sum() < LEAST_POINTS or not np.isfinite(level).all() or (level <= 0).any():
+        return ("failed", None, False, None, False, False, True, None, None)
     noise = (y - level)[mask].std()
     snr = float(y[mask].mean() / noise) if noise > 0 else 0.0
     norm = y / level
-    return ("success", snr, bool(norm[mask].std() < 0.05), snr > 20, False, norm)
+    return ("success", method, method != "spline", round(snr, 2), bool(norm[mask].std() < 0.05), snr > 20, False, level, norm)
 
 
 def continuum_column(wavelength: Column, flux: Column, windows: tuple[tuple[float, float], ...] = ()) -> Column:
@@ -69,14 +184,14 @@ def continuum_column(wavelength: Column, flux: Column, windows: tuple[tuple[floa
             rows = []
             for x, y in zip(xs, ys):
                 if x is None or y is None:
-                    rows.append(("no_data", None, False, False, False, None))
+                    rows.append(NO_DATA)
                     continue
                 x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
                 inside = np.any([(x >= a) & (x <= b) for a, b in windows], axis=0) if windows else None
                 try:
                     rows.append(measured(x, y, inside))
                 except (ValueError, np.linalg.LinAlgError) as error:
-                    rows.append((f"error: {error}"[:200], None, False, False, False, None))
+                    rows.append((f"error: {error}"[:200], *NO_DATA[1:]))
             yield pd.DataFrame(rows, columns=names)
 
     return F.pandas_udf(run, CONTINUUM)(wavelength, flux)
@@ -157,3 +272,18 @@ def lines_column(wavelength: Column, normalized: Column, centres: Column) -> Col
             yield pd.Series(out)
 
     return F.pandas_udf(run, f"array<struct<{', '.join(f.replace(' ', ': ') for f in LINE.split(', '))}>>")(wavelength, normalized, centres)
+
+
+def routed(blue: DataFrame, red: DataFrame, velocities: DataFrame, key: str = "source_id", wavelength: str = "wavelength", flux: str = "flux") -> DataFrame:
+    """Both bands of each star: bprp and rvs (structs of CONTINUUM, status no_data where the star has no such spectrum), halpha, calcium.
+
+    Halpha is measured in the blue band, the calcium triplet in the red one, whose continuum rests on windows free of lines; each only
+    where its continuum succeeded, NULL elsewhere, and at the star's velocity (``radial_velocity`` of ``velocities``, at rest
+    without one). A star with several spectra of a band has a row for each pair.
+    """
+    both = blue.select(key, F.col(wavelength).alias("bx"), F.col(flux).alias("by")).join(red.select(key, F.col(wavelength).alias("rx"), F.col(flux).alias("ry")), key, "full")
+    both = both.join(velocities.select(key, F.col("radial_velocity").cast("double").alias("velocity")), key, "left")
+    both = both.withColumn("bprp", continuum_column(F.col("bx"), F.col("by"))).withColumn("rvs", continuum_column(F.col("rx"), F.col("ry"), RED_WINDOWS))
+    at = lambda lines: F.array(*[shifted(F.lit(x), F.col("velocity")) for x in lines])
+    both = both.withColumn("halpha", F.get(lines_column(F.col("bx"), F.col("bprp.normalized"), at([HALPHA])), F.lit(0)))
+    return both.withColumn("calcium", lines_column(F.col("rx"), F.col("rvs.normalized"), at(CALCIUM))).drop("bx", "by", "rx", "ry")

@@ -155,6 +155,103 @@ def l6_doppler(spark, d):
     return judged(spark, d).select("source_id", P.shifted(F.lit(P.HALPHA), velocity).alias("centre"))
 
 
+def _continuum_sql(source: str, name: str) -> str:
+    """CTEs that fit, clip and judge the spectra of ``source`` (key, x, y, allowed as lists): {name} has the measures.
+
+    The spline's target is the variance about the mean, which the cubic always meets, so every round is a cubic,
+    here over a basis that is orthogonal on the points still in use.
+    """
+    times = lambda a, b: f"list_transform({a}, lambda v, i: v * {b}[i])"
+    dot = lambda a, b: f"list_inner_product({a}, {b})"
+    spread = lambda a, mean: f"sqrt({dot('m', f'list_transform({a}, lambda v: (v - {mean}) * (v - {mean}))')} / n)"
+    fit = [
+        f"list_sum(m) AS n, {dot('m', 't')} / list_sum(m) AS a0",
+        "list_transform(t, lambda v: v - a0) AS p1",
+        times("m", "p1") + " AS m1",
+        f"{dot('m1', 'p1')} AS s1, {times('m1', 'p1')} AS w1",
+        f"{dot('w1', 't')} / s1 AS a1",
+        "list_transform(p1, lambda v, i: (t[i] - a1) * v - s1 / n) AS p2",
+        times("m", "p2") + " AS m2",
+        f"{dot('m2', 'p2')} AS s2, {times('m2', 'p2')} AS w2",
+        f"{dot('w2', 't')} / s2 AS a2",
+        "list_transform(p2, lambda v, i: (t[i] - a2) * v - s2 / s1 * p1[i]) AS p3",
+        times("m", "p3") + " AS m3",
+        f"{dot('m3', 'p3')} AS s3",
+        f"{dot('m', 'y')} / n AS c0, {dot('m1', 'y')} / s1 AS c1, {dot('m2', 'y')} / s2 AS c2, {dot('m3', 'y')} / s3 AS c3",
+        "list_transform(p1, lambda v, i: c0 + c1 * v + c2 * p2[i] + c3 * p3[i]) AS cand",
+    ]
+    parts, last = [], source
+
+    def then(columns: str) -> None:
+        nonlocal last
+        parts.append(f"{name}_{len(parts)} AS MATERIALIZED (SELECT {columns} FROM {last})")
+        last = parts[-1].split()[0]
+
+    then("*, allowed AS m, CAST(NULL AS DOUBLE[]) AS fit, true AS live, list_max(x) > list_min(x) AS wide, list_avg(x) AS middle, (list_max(x) - list_min(x)) / 2 AS half")
+    then("key, x, y, allowed, m, fit, live, wide, list_transform(x, lambda v: (v - middle) / CASE WHEN wide THEN half ELSE 1 END) AS t")
+    for _ in range(P.ROUNDS):
+        for step in fit:
+            then(f"*, {step}")
+        then("*, live AND n >= 10 AND wide AND x = list_sort(x) AND coalesce(list_min(cand) > 0, false) AS ok, list_transform(y, lambda v, i: v - cand[i]) AS rest")
+        then(f"*, {dot('m', 'rest')} / n AS mean")
+        then(f"*, {spread('rest', 'mean')} AS deviation")
+        then("*, list_transform(rest, lambda v, i: CASE WHEN allowed[i] = 1 AND v > -2 * deviation AND v < 3 * deviation THEN 1e0 ELSE 0e0 END) AS fresh")
+        then("key, x, y, allowed, t, wide, CASE WHEN ok THEN cand ELSE fit END AS fit, ok AND deviation > 0 AND fresh <> m AS live, CASE WHEN ok AND deviation > 0 THEN fresh ELSE m END AS m")
+    for step in fit:
+        then(f"*, {step}")
+    then("*, CASE WHEN fit IS NOT NULL THEN fit WHEN wide THEN cand ELSE list_transform(y, lambda v: c0) END AS model, CASE WHEN fit IS NOT NULL THEN 'spline' WHEN wide THEN 'chebyshev' ELSE 'flat_mean' END AS method")
+    then("*, list_transform(y, lambda v, i: v - model[i]) AS rest, list_transform(y, lambda v, i: v / model[i]) AS norm, n >= 10 AND coalesce(list_min(model) > 0, false) AS good")
+    then(f"*, {dot('m', 'rest')} / n AS mean, {dot('m', 'norm')} / n AS level")
+    then(f"*, {spread('rest', 'mean')} AS noise, {spread('norm', 'level')} AS waves")
+    then("*, CASE WHEN noise > 0 THEN c0 / noise ELSE 0 END AS ratio")
+    parts.append(f"""{name} AS (SELECT key, good, CASE WHEN good THEN 'success' ELSE 'failed' END AS status, CASE WHEN good THEN method END AS fit_method, good AND method <> 'spline' AS used_fallback,
+      CASE WHEN good THEN round(ratio, 2) END AS snr, good AND waves < 0.05e0 AS stable, good AND ratio > 20 AS high_snr, NOT good AS fit_diverged, CASE WHEN good THEN round(list_sum(model), 6) END AS total FROM {last})""")
+    return ",\n".join(parts)
+
+
+_BLUE = "CASE WHEN vec_id % 5 = 0 THEN list_transform(range(64), lambda i: 662.6e0 - 0.2e0 * i) WHEN vec_id % 7 = 0 THEN list_transform(range(64), lambda i: 650e0) ELSE list_transform(range(64), lambda i: 650e0 + 0.2e0 * i) END"
+_LEVEL = "CASE WHEN vec_id % 11 = 0 THEN 0e0 ELSE 1e0 END"
+_RED = "list_transform(range(64), lambda i: 846e0 + 0.45e0 * i)"
+_INSIDE = " OR ".join(f"(v >= {a!r}::DOUBLE AND v <= {b!r}::DOUBLE)" for a, b in P.RED_WINDOWS)
+
+
+def _bands(spark, d):
+    """Spectra of both bands: fluxes from the components of the vectors; some wavelengths fall or stand still, some fluxes lie about zero, some stars lack the red band."""
+    k, i = F.col("vec_id"), F.sequence(F.lit(0), F.lit(63))
+    rows = read(spark, d, "embeddings")
+    grid = F.when(k % 5 == 0, F.transform(i, lambda v: 662.6 - 0.2 * v)).when(k % 7 == 0, F.transform(i, lambda v: F.lit(650.0))).otherwise(F.transform(i, lambda v: 650.0 + 0.2 * v))
+    flux = lambda by: F.transform("embedding", lambda x: F.when(k % 11 == 0, 0.0).otherwise(1.0) + x.cast("double") * by)
+    blue = rows.select(k.alias("source_id"), grid.alias("wavelength"), flux(0.1).alias("flux"))
+    red = rows.where("vec_id % 3 > 0").select(k.alias("source_id"), F.transform(i, lambda v: 846.0 + 0.45 * v).alias("wavelength"), flux(0.4).alias("flux"))
+    return blue, red, rows.where("vec_id % 4 > 0").select(k.alias("source_id"), (k % 600 - 300).alias("radial_velocity"))
+
+
+_ONES = "list_transform(range(64), lambda i: 1e0)"
+_SPECTRA = f"""blue AS (SELECT vec_id AS key, {_BLUE} AS x, list_transform(embedding, lambda v: {_LEVEL} + CAST(v AS DOUBLE) * 0.1e0) AS y, {_ONES} AS allowed FROM embeddings),
+red AS (SELECT vec_id AS key, {_RED} AS x, list_transform(embedding, lambda v: {_LEVEL} + CAST(v AS DOUBLE) * 0.4e0) AS y, list_transform({_RED}, lambda v: CASE WHEN {_INSIDE} THEN 1e0 ELSE 0e0 END) AS allowed FROM embeddings WHERE vec_id % 3 > 0),
+{_continuum_sql('blue', 'cb')},
+{_continuum_sql('red', 'cr')}"""
+
+
+@query(f"WITH {_SPECTRA} SELECT key AS source_id, status, fit_method, used_fallback, snr, stable, high_snr, fit_diverged, total FROM cb")
+def l4_l5_continuum(spark, d):
+    blue, _, _ = _bands(spark, d)
+    found = blue.withColumn("c", P.continuum_column(F.col("wavelength"), F.col("flux")))
+    total = F.round(F.aggregate("c.model", F.lit(0.0), lambda a, x: a + x), 6)
+    return found.select("source_id", *[f"c.{c}" for c in ("status", "fit_method", "used_fallback", "snr", "stable", "high_snr", "fit_diverged")], total.alias("total"))
+
+
+_SHIFT = "(1 + CASE WHEN key % 4 > 0 THEN (key % 600 - 300) * 1e0 ELSE 0e0 END / 299792.458e0)"
+
+
+@query(f"""WITH {_SPECTRA}
+SELECT cb.key AS source_id, cb.status AS bprp_status, coalesce(cr.status, 'no_data') AS rvs_status, CASE WHEN cb.good THEN round(656.281e0 * {_SHIFT.replace('key', 'cb.key')}, 9) END AS halpha_nm,
+CASE WHEN cr.good THEN list_transform([849.802e0, 854.209e0, 866.214e0], lambda c: round(c * {_SHIFT.replace('key', 'cb.key')}, 9)) END AS calcium_nm FROM cb LEFT JOIN cr USING (key)""")
+def l7_routing(spark, d):
+    found = P.routed(*_bands(spark, d))
+    return found.select("source_id", F.col("bprp.status").alias("bprp_status"), F.col("rvs.status").alias("rvs_status"), F.round("halpha.line_nm", 9).alias("halpha_nm"), F.transform("calcium", lambda x: F.round(x["line_nm"], 9)).alias("calcium_nm"))
+
+
 @query()
 def l4_l7_spectra(spark, d):
     grid = F.array(*[F.lit(float(x)) for x in np.linspace(650.0, 662.6, 64)])
