@@ -10,6 +10,7 @@ from starloom.plans.evaluation import _GRID, _MENTION, _PAIRS, ORDER, pairs
 from starloom.plans.registry import query
 from starloom.plans.stars import _LUM, anchored
 from starloom.sources import arrays as N
+from starloom.sources import paged as G
 from starloom.sources import readers as R
 from starloom.sources import resilient as S
 from starloom.sources import sinks as W
@@ -104,6 +105,32 @@ def a1_a2_resilient_scan(spark, d):
     return S.first_that_works(lambda: spark.read.parquet(f"{d}/no-such-table.parquet"), lambda: read(spark, d, "region").select("r_regionkey", "r_name"), sleep=lambda _: None)
 
 
+_PAGE = 64  #: rows of a page here, so that small tables have several
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 100 AND c_custkey <> 7")
+def a2_n15_paged_scan(spark, d):
+    """Every third page fails twice while it is read, and gives its rows at the third try."""
+    archive = G.ParquetArchive(f"{d}/customer.parquet", "c_custkey", failing=lambda at: 2 if at // _PAGE % 3 == 0 else 0)
+    return G.scan(spark, archive, "c_custkey long, c_name string, c_acctbal double", _PAGE, wait=0.001, strict=True).where("c_acctbal > 100 and c_custkey <> 7")
+
+
+@query(f"SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer) WHERE (k // {_PAGE}) % 4 <> 1 OR k % {_PAGE} // {_PAGE // 10} <> 3")
+def a1_dead_pages(spark, d):
+    """Of every fourth page a tenth is dead: the page falls back to smaller ones, and only those rows are left out."""
+    dead = lambda at, n: at // _PAGE % 4 == 1 and at % _PAGE < _PAGE // 10 * 4 and at % _PAGE + n > _PAGE // 10 * 3
+    archive = G.ParquetArchive(f"{d}/customer.parquet", "c_custkey", dead=dead)
+    return G.scan(spark, archive, "c_custkey long, c_name string", _PAGE, tries=2, wait=0.001)
+
+
+@query("SELECT s_name AS main_id, s_acctbal AS teff FROM supplier WHERE s_suppkey % 3 > 0")
+def a5_e4_batched_names(spark, d):
+    """Names in batches of 500 through an archive that calls its columns otherwise."""
+    archive = G.ParquetArchive(f"{d}/supplier.parquet", "s_name", {"s_name": "_Source", "s_acctbal": "teff"})
+    names = read(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.concat(F.lit(" "), "s_name").alias("name"))
+    return G.looked_up(names.unionByName(names).unionByName(names.limit(1).select(F.lit(" ").alias("name"))), archive, "name", {"teff": "double"}, "main_id", wait=0.001)
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_custkey LIMIT 50000")
 def a4_capped_fetch(spark, d):
     return S.capped(read(spark, d, "customer"), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
