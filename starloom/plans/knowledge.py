@@ -10,7 +10,8 @@ from starloom.operators import spectra as P
 from starloom.plans.registry import SQL, query
 from starloom.plans.stars import anchored, corrected, judged
 from starloom.sources.bindings import read
-from starloom.sources.scratch import stored
+from starloom.sources.scratch import fresh, stored
+from starloom.streaming import ladder as L
 
 _WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -123,10 +124,13 @@ def n7_n8_prompts(spark, d):
     return rows.select("source_id", F.length(F.regexp_extract("prompt", "Letter: ([A-Z])", 1)).alias("letters"), F.regexp_extract("prompt", "Population: ([A-Za-z ]+)", 1).alias("population_group"))
 
 
+#: What the generator reads of a star.
+ANSWERED = ["mk_letter", "sub_type_range", "luminosity_class", "population_group", "spectral_confidence", "luminosity_confidence", "confidence", "teff_k", "notable_features", "decision_rule"]
+
+
 def _results(spark, d):
     rows = _prompted(spark, d).fillna({"luminosity_class": "V", "sub_type_range": "unknown"})
-    keep = ["source_id", "mk_letter", "sub_type_range", "luminosity_class", "population_group", "spectral_confidence", "luminosity_confidence", "confidence", "teff_k", "notable_features", "decision_rule"]
-    return I.validated(I.parsed(I.generated(rows.select(*keep))))
+    return I.validated(I.parsed(I.generated(rows.select("source_id", *ANSWERED))))
 
 
 @query("SELECT source_id, mk_letter AS spectral_type, population_group, true AS is_valid FROM co")
@@ -134,6 +138,30 @@ def n9_n12_results(spark, d):
     return _results(spark, d).select("source_id", F.col("result.classification.spectral_type").alias("spectral_type"), F.col("result.classification.population_group").alias("population_group"), "is_valid")
 
 
+def _stubborn(rows):
+    """The rules as a generator that never answers for one star in five, and for one in three not to the full prompt."""
+    answers = I.rule_generator(rows)
+    silent = (rows["source_id"] % 5 == 0) | ((rows["source_id"] % 3 == 0) & (rows["attempts"] == 1))
+    return ["no answer" if s else a for s, a in zip(silent, answers)]
+
+
+@query("""SELECT source_id, CASE WHEN source_id % 5 = 0 THEN 3 WHEN source_id % 3 = 0 THEN 2 ELSE 1 END AS attempts, source_id % 5 = 0 AS failed,
+CASE WHEN source_id % 5 <> 0 THEN mk_letter END AS spectral_type, CASE WHEN source_id % 5 <> 0 THEN population_group END AS population_group, CASE WHEN source_id % 5 = 0 THEN 'Failed after 3 attempts.' END AS reason FROM co""")
+def n12_n13_ladder(spark, d):
+    """All stars through the attempts, some delivered twice in one file and some again in a later run."""
+    keep = ["source_id", "prompt", "reduced", *ANSWERED]
+    rows = stored(_prompted(spark, d).fillna({"luminosity_class": "V", "sub_type_range": "unknown"}).select(*keep), "prompts")
+    folder = fresh(spark, "ladder")
+    run = lambda: L.run_ladder(spark, f"{folder}/inbox", f"{folder}/out", f"{folder}/state", rows.schema, generate=_stubborn)
+    rows.unionByName(rows.where("source_id % 7 = 0")).write.parquet(f"{folder}/inbox/first")
+    run()
+    rows.where("source_id % 4 = 0").write.parquet(f"{folder}/inbox/second")
+    run()
+    found = spark.read.parquet(f"{folder}/out/results").select("source_id", "attempts", F.lit(False).alias("failed"), "result.classification.spectral_type", "result.classification.population_group", F.lit(None).cast("string").alias("reason"))
+    failed = spark.read.parquet(f"{folder}/out/failed").select("source_id", "attempts", F.lit(True).alias("failed"), F.lit(None).cast("string").alias("spectral_type"), F.lit(None).cast("string").alias("population_group"), "reason")
+    return found.unionByName(failed)
+
+
 @query("SELECT source_id FROM hc WHERE source_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
 def n13_resume(spark, d):
     done = read(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"))
