@@ -57,10 +57,22 @@ def f27_bootstrap(spark, d):
     return M.bootstrap(rows, "source_id", "hit")
 
 
-@query("SELECT count(*) AS n, round(corr(a, b), 9) AS rho FROM (SELECT rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2e0 AS a, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2e0 AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)")
+def p_sql(source: str) -> str:
+    """CTE ``pv`` (n, rho, p) from CTE ``source`` (n, rho): the continued fraction of the incomplete beta function, step by step."""
+    return f"""ps AS (SELECT n, rho, 1 - rho * rho > ((n - 2) / 2e0 + 1) / ((n - 2) / 2e0 + 2.5e0) AS turned, (n - 2) / 2e0 AS h, 1 - rho * rho AS z FROM {source}),
+pa AS (SELECT *, CASE WHEN turned THEN 0.5e0 ELSE h END AS a, CASE WHEN turned THEN h ELSE 0.5e0 END AS b, CASE WHEN turned THEN 1 - z ELSE z END AS x FROM ps),
+cf AS (SELECT -1 AS k, *, 1e0 AS f, 1e0 AS c, 0e0 AS d FROM pa UNION ALL
+  SELECT k + 1, n, rho, turned, h, z, a, b, x, f * (1 + t / c) / (1 + t * d), 1 + t / c, 1 / (1 + t * d) FROM (SELECT *, CASE WHEN k = -1 THEN 1e0
+    WHEN k % 2 = 1 THEN ((k + 1) // 2) * (b - (k + 1) // 2) * x / ((a + 2 * ((k + 1) // 2) - 1) * (a + 2 * ((k + 1) // 2)))
+    ELSE -(a + k // 2) * (a + b + k // 2) * x / ((a + 2 * (k // 2)) * (a + 2 * (k // 2) + 1)) END AS t FROM cf WHERE k < 300)),
+pv AS (SELECT n, rho, CASE WHEN n < 3 THEN NULL WHEN abs(rho) >= 1 THEN 0e0 WHEN rho = 0 THEN 1e0 WHEN turned THEN 1 - q ELSE q END AS p FROM (SELECT *, exp(a * ln(x) + b * ln(1 - x) - ln(a) - lgamma(a) - lgamma(b) + lgamma(a + b)) * (f - 1) AS q FROM cf WHERE k = 300))"""
+
+
+@query(f"""WITH RECURSIVE sp AS (SELECT count(*) AS n, corr(a, b) AS rho FROM (SELECT rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2e0 AS a, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2e0 AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)),
+{p_sql('sp')} SELECT n, round(rho, 9) AS rho, round(p, 9) AS p FROM pv""")
 def f28_spearman(spark, d):
     rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return M.spearman(rows, "quality", "n_chars").withColumn("rho", F.round("rho", 9))
+    return M.spearman(rows, "quality", "n_chars").select("n", F.round("rho", 9).alias("rho"), F.round("p", 9).alias("p"))
 
 
 @query(f"WITH {_PAIRS} SELECT avg(source_id % 100 / 100e0) FILTER (WHERE truth = predicted) AS mean_correct, avg(source_id % 100 / 100e0) FILTER (WHERE truth <> predicted) AS mean_wrong, avg(source_id % 100 / 100e0) FILTER (WHERE truth = predicted) - avg(source_id % 100 / 100e0) FILTER (WHERE truth <> predicted) AS delta FROM p")

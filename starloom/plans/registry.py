@@ -13,7 +13,7 @@ from starloom.sources.bindings import catalogue_cte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("stars", "blocks", "joins", "summaries", "evaluation", "knowledge", "files", "events", "reports")
+MODULES = ("stars", "blocks", "joins", "summaries", "evaluation", "knowledge", "files", "events", "reports", "validation")
 
 
 def query(sql: str | None = None):
@@ -74,8 +74,9 @@ def _with(sql: str) -> str:
     if not parts:
         return sql.strip()
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join(parts) + ",\n" + body[len(start) :]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
