@@ -2,8 +2,8 @@
 
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, anchors a zero, so that
 d^2 = |q|^2 + M^2 - 2 * score: high scores are near, and a window of scores is an annulus around the
-anchor. A top tree over a bounded sample deals all vectors to leaves; a task cuts each leaf into trees of
-at most TREE rows, built over all their rows. Vantage points and the least and largest
+anchor. A top tree over a bounded sample deals all vectors to leaves; the rows of a leaf, dealt to several tasks where
+there are many, are cut into trees of at most TREE rows, built over all of them. Vantage points and the least and largest
 distance of what lies under them bound, by the triangle inequality, the scores that a leaf can have with an anchor.
 
 An anchor visits the leaves of the top tree nearest first, in turns that hold GROWTH times the vectors of the
@@ -30,6 +30,8 @@ from starloom.llm.pivot_search import products, spread_out, squeezed
 
 #: Rows of a tree and of its leaves; leaves of the top tree at most, and vectors of the sample for each.
 TREE, LEAF, MOST_LEAVES, SAMPLE = 4096, 64, 1024, 64
+#: Trees that one task builds on average: the rows of a large leaf are dealt to several tasks.
+DEALT = 8
 #: Anchors of a block; vectors that an anchor sees in its first turn at least, and by how much a turn grows.
 ANCHORS, FIRST, GROWTH = 128, 16_384, 16
 #: Anchor blocks that meet one copy of a tree; a tree that more of them visit is copied.
@@ -224,21 +226,27 @@ class Index:
         depth = min(MOST_LEAVES.bit_length() - 1, max(0, (total - 1) // TREE).bit_length())
         sample = [bytes(r.vec) for r in entries.orderBy(F.xxhash64("vec", "label"), "vec", "label").select("vec").limit(SAMPLE << depth).collect()]
         self.top = Vantage(self.space.lifted(self.space.matrix(sample)), depth, 17)
-        cells = entries.mapInArrow(self._placed(), "leaf int, vec binary, label long, ids array<long>").repartition("leaf").sortWithinPartitions("leaf", F.xxhash64("vec"))
-        shape = f"leaf int, tree int, n long, top_low array<double>, top_high array<double>, {CELL}"
+        placed = scratch.stored(entries.mapInArrow(self._placed(), "leaf int, vec binary, label long, ids array<long>"), "placed")
+        dealt = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count("*") / (TREE * DEALT)).cast("int").alias("parts")))  # a row for each of at most MOST_LEAVES leaves
+        part = F.pmod(F.xxhash64("vec", "label"), F.col("parts")).cast("int")
+        cells = placed.join(dealt, "leaf").select("leaf", part.alias("part"), "vec", "label", "ids").repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.xxhash64("vec"))
+        shape = f"leaf int, tree long, n long, top_low array<double>, top_high array<double>, {CELL}"
         self.trees = scratch.stored(cells.mapInArrow(self._built(), shape), "trees")
         # a few numbers for each of at most MOST_LEAVES leaves
         width = self.trees.select("leaf", "tree", "n", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(max(depth, 1) - 1)).alias("level"), "top_low", "top_high")).alias("z"))
         ranges = width.groupBy("leaf", "z.level").agg(F.min("z.top_low").alias("low"), F.max("z.top_high").alias("high")).collect()
-        sizes = self.trees.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("tree").alias("last")).collect()
+        # one row for each task that built trees, some 100 bytes for TREE * DEALT vectors
+        sizes = self.trees.groupBy("leaf", F.shiftright("tree", 32).alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("trees")).collect()
         leaves = 2**depth
         self.low, self.high = np.full((leaves, depth), np.inf), np.full((leaves, depth), -np.inf)
         for r in ranges:
             if r.level < depth:
                 self.low[r.leaf, r.level], self.high[r.leaf, r.level] = r.low, r.high
-        self.count, self.several = np.zeros(leaves, dtype=np.int64), np.zeros(leaves, dtype=np.int64)
+        self.count = np.zeros(leaves, dtype=np.int64)
+        self.several: list[list[tuple[int, int]]] = [[] for _ in range(leaves)]  # (part, trees) of each leaf
         for r in sizes:
-            self.count[r.leaf], self.several[r.leaf] = r.n, r.last + 1
+            self.count[r.leaf] += r.n
+            self.several[r.leaf].append((r.part, r.trees))
 
     def _placed(self):
         space, top = self.space, self.top
@@ -261,19 +269,19 @@ class Index:
             def out() -> pa.RecordBatch:
                 vecs, labels, ids = (list(c) for c in zip(*held))
                 _, d = top.leaves(space.lifted(space.matrix(vecs)))
-                over = d[:, top.paths[at]] if top.depth else np.zeros((len(vecs), 1))
+                over = d[:, top.paths[at[0]]] if top.depth else np.zeros((len(vecs), 1))
                 order, (data, own, starts, points, low, high) = Tree.build(space, vecs, labels, number)
-                row = {"leaf": [at], "tree": [number], "n": [len(held)], "top_low": [over.min(axis=0).tolist()], "top_high": [over.max(axis=0).tolist()], "data": [data], "rows": [own], "starts": [starts], "points": [points], "low": [low], "high": [high], "ids": [[ids[k] for k in order]]}
-                types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
+                row = {"leaf": [at[0]], "tree": [(at[1] << 32) + number], "n": [len(held)], "top_low": [over.min(axis=0).tolist()], "top_high": [over.max(axis=0).tolist()], "data": [data], "rows": [own], "starts": [starts], "points": [points], "low": [low], "high": [high], "ids": [[ids[k] for k in order]]}
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
                 return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], list(row))
 
             for batch in batches:
-                for leaf, vec, label, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                    if held and (at != leaf or len(held) >= TREE):
+                for leaf, part, vec, label, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                    if held and (at != (leaf, part) or len(held) >= TREE):
                         yield out()
-                        number = number + 1 if at == leaf else 0
+                        number = number + 1 if at == (leaf, part) else 0
                         held.clear()
-                    at = leaf
+                    at = (leaf, part)
                     held.append((vec, label, ids))
             if held:
                 yield out()
@@ -306,11 +314,11 @@ class Index:
                     out: list[list] = [[] for _ in range(8)]
                     for leaf in np.flatnonzero(wanted.any(axis=0)).tolist():
                         some = np.flatnonzero(wanted[:, leaf]).tolist()
-                        for tree in range(int(several[leaf])):
+                        for tree in ((part << 32) + number for part, trees in several[leaf] for number in range(trees)):
                             for column, value in zip(out, (leaf, tree, qb, some, squeezed(q[some]), [labels[i] for i in some], [floors[i] for i in some], [tops[i] for i in some])):
                                 column.append(value)
                     nested = pa.list_(pa.list_(pa.int64()))
-                    types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), nested, nested)
+                    types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), nested, nested)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["leaf", "tree", "qb", "qi", "queries", "labels", "floors", "tops"])
 
         return run
@@ -358,7 +366,7 @@ class Index:
                 reached = reached.groupBy("qb").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("qi", "w"), "score"))).alias("reached"))
                 raised = "transform(floors, (f, i) -> transform(f, (x, w) -> greatest(x, coalesce(try_element_at(reached, named_struct('qi', int(i), 'w', int(w))), x))))"
                 asking = blocks.join(reached, "qb", "left").select("qb", "vecs", "labels", F.expr(raised).alias("floors"), "tops")
-            visits = self.scratch.stored(asking.mapInArrow(self._visits(turn, k), f"leaf int, tree int, qb long, {VISIT}"), "visits")
+            visits = self.scratch.stored(asking.mapInArrow(self._visits(turn, k), f"leaf int, tree long, qb long, {VISIT}"), "visits")
             # a tree is copied for every VISITS blocks that visit it, so no task meets more
             copies = visits.groupBy("leaf", "tree").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("copies"))
             trees = self.trees.join(copies, ["leaf", "tree"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

@@ -41,7 +41,7 @@ def cloud(n, size, labels, seed, spread=1.0):
 
 def small(monkeypatch):
     """Many trees, leaves, turns and copies on little data."""
-    for name, value in (("TREE", 64), ("LEAF", 8), ("FIRST", 100), ("GROWTH", 3), ("ANCHORS", 4), ("VISITS", 2)):
+    for name, value in (("TREE", 64), ("LEAF", 8), ("FIRST", 100), ("GROWTH", 3), ("ANCHORS", 4), ("VISITS", 2), ("DEALT", 1)):
         monkeypatch.setattr(H, name, value)
 
 
