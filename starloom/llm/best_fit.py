@@ -368,7 +368,7 @@ def _packed(docs: DataFrame, path: str | None, room: int, end_id: int, groups: i
     # the number of a piece among all of its length: those of the parts before, and its own in its part
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    numbered = pieces.join(before, ["length", "part"])
+    numbered = pieces.join(before.hint("merge"), ["length", "part"])  # this table grows with the input: never broadcast
     placed = numbered.withColumn("at", F.pandas_udf(places, "sequence_id long, offset long")(F.col("length"), F.col("before") + F.col("number")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids", "at.sequence_id", "at.offset")
 
