@@ -51,10 +51,28 @@ def f26_weighted_errors(spark, d):
     return pairs(spark, d).agg(F.round(teff, 6).alias("teff_error"), F.round(logg, 6).alias("logg_error"))
 
 
-@query()
+_LEVELS = " ".join(f"WHEN u < {level!r}::DOUBLE THEN {k}" for k, level in enumerate(M.poisson_levels()))
+_DRAWN = f"""x0 AS (SELECT p.*, r, (source_id % {M.PRIME} * 48271 + r * 69621 + 42) % {M.PRIME} AS x FROM p, range(1000) AS rounds(r)),
+x1 AS (SELECT * REPLACE ((x * x + 12345) % {M.PRIME} AS x) FROM x0), x2 AS (SELECT * REPLACE ((x * x + r) % {M.PRIME} AS x) FROM x1),
+xu AS (SELECT *, (x * 16807 % {M.PRIME}) / {M.PRIME}::DOUBLE AS u FROM x2), xw AS (SELECT *, CASE {_LEVELS} ELSE 12 END AS w FROM xu)"""
+
+
+@query(f"""WITH {_PAIRS}, {_DRAWN}, m AS (SELECT r, sum(w * (truth = predicted)::INT)::DOUBLE / sum(w) AS m FROM xw GROUP BY r)
+SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""")
 def f27_bootstrap(spark, d):
     rows = pairs(spark, d).withColumn("hit", (F.col("truth") == F.col("predicted")).cast("double"))
-    return M.bootstrap(rows, "source_id", "hit")
+    return M.bootstrap(rows, "source_id", "hit").select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query(f"""WITH {_PAIRS}, {_DRAWN}, v AS (SELECT *, (truth = predicted)::INT AS a, (abs(teff - guess) <= 200)::INT AS b FROM xw),
+m AS (SELECT r, sum(w * a)::DOUBLE / sum(w) AS a, sum(w * b)::DOUBLE / sum(w) AS b FROM v GROUP BY r),
+e AS (SELECT quantile_cont(a, [0.025, 0.975]) AS a, quantile_cont(b, [0.025, 0.975]) AS b, quantile_cont(a - b, [0.025, 0.975]) AS d, avg((a - b <= 0)::INT) AS o FROM m),
+t AS (SELECT count(*) AS n, avg((truth = predicted)::INT) AS a, avg((abs(teff - guess) <= 200)::INT) AS b FROM p)
+SELECT t.n, round(t.a, 9) AS a_mean, round(t.b, 9) AS b_mean, round(t.a - t.b, 9) AS delta_mean, round(e.a[1], 9) AS a_low, round(e.a[2], 9) AS a_high, round(e.b[1], 9) AS b_low, round(e.b[2], 9) AS b_high, round(e.d[1], 9) AS delta_low, round(e.d[2], 9) AS delta_high, round(o, 9) AS not_ahead FROM e, t""")
+def f27_paired_bootstrap(spark, d):
+    rows = pairs(spark, d).select("source_id", (F.col("truth") == F.col("predicted")).cast("int").alias("letter_right"), (F.abs(F.col("teff") - F.col("guess")) <= 200).cast("int").alias("teff_near"))
+    found = M.paired_bootstrap(rows, "source_id", "letter_right", "teff_near")
+    return found.select("n", *[F.round(c, 9).alias(c) for c in found.columns if c != "n"])
 
 
 def p_sql(source: str) -> str:

@@ -1,14 +1,25 @@
 """Round trips through every file format: written to the shared folder, read back."""
 
+import datetime
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starloom.plans.registry import query
+from starloom.sources import claims as C
 from starloom.sources import readers as R
 from starloom.sources import sinks as W
 from starloom.sources.bindings import catalogue, read
 from starloom.sources.scratch import fresh
 
 
+@query("""SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(column_type) END AS data_type
+FROM (FROM (DESCRIBE orders) UNION ALL FROM (DESCRIBE documents) UNION ALL FROM (DESCRIBE embeddings))""")
+def a3_columns_and_types(spark, d):
+    found = [R.columns_of(read(spark, d, t)) for t in ("orders", "documents", "embeddings")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("SELECT column_name FROM (DESCRIBE orders)")
 def a3_columns(spark, d):
     return R.columns_of(read(spark, d, "orders")).select("column_name")
@@ -104,3 +115,17 @@ def a16_whole_texts(spark, d):
     rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.regexp_replace("text", r"[\t\n\r]", " ")).alias("value")).write.text(path)
     line = R.whole_texts(spark, path).select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
     return line.select(F.substring_index("line", "\t", 1).alias("doc_id"), F.split("line", "\t")[1].alias("text"))
+
+
+@query("SELECT unnest([1, 2, 3, 10, 11]) AS batch_no, unnest([1, 2, 3, 4, 5]) AS place, (SELECT count(*) FROM nation) AS n, unnest(['DB-2', 'DB-2', 'DB-2', 'DB-2', 'DB-2']) AS folder")
+def b7_a17_a18_claimed_folders(spark, d):
+    """Two folders claimed, numbered batch files in the second, read back from the latest in the order of their numbers."""
+    root, day = fresh(spark, "runs"), datetime.date(2024, 1, 31)
+    first, second = C.claimed_folder(spark, root, day), C.claimed_folder(spark, root, day)
+    rows = read(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"))
+    for folder, numbers in ((first, [7]), (second, [10, 2, 11, 1, 3])):
+        for k in numbers:
+            W.json_arrays(rows.coalesce(1), f"{folder}/batch_results_{k}.json")
+    found = R.batch_files(spark, R.latest(spark, root), "source_id bigint", r"batch_[^/]*?_?(\d+)\.json").groupBy("batch_no").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy("batch_no")).cast("int")  # five files
+    return found.select("batch_no", place.alias("place"), "n", F.lit("/".join(second.rsplit("/")[-1:])[:4]).alias("folder"))

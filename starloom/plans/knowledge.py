@@ -1,5 +1,7 @@
 """Knowledge base, retrieval, prompts and results."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from starloom.operators import retrieval as R
 from starloom.operators import spectra as P
 from starloom.plans.registry import SQL, query
 from starloom.plans.stars import anchored, corrected, judged
+from starloom.sources import claims as C
+from starloom.sources import vectors as V
 from starloom.sources.bindings import read
 from starloom.sources.scratch import fresh, stored
 from starloom.streaming import ladder as L
@@ -124,6 +128,24 @@ def n7_n8_prompts(spark, d):
     return rows.select("source_id", F.length(F.regexp_extract("prompt", "Letter: ([A-Z])", 1)).alias("letters"), F.regexp_extract("prompt", "Population: ([A-Za-z ]+)", 1).alias("population_group"))
 
 
+_FEATURES = SQL["m15_features"]
+_FEATURES = _FEATURES[_FEATURES.rindex("SELECT source_id, ") + len("SELECT source_id, ") : _FEATURES.rindex(" AS notable_features")]
+
+
+def _places(x: str, n: int) -> str:
+    """A number of at most four decimals with ``n``, halves away from zero, N/A without one."""
+    r = f"round(CAST({x} AS DECIMAL(18, 4)), {n})"
+    return f"coalesce(CASE WHEN {x} < 0 AND {r} = 0 THEN '-' ELSE '' END || printf('%.{n}f', CAST({r} AS DOUBLE)), 'N/A')"
+
+
+@query(f"""SELECT source_id, concat_ws(chr(10), 'Source: ' || source_id, 'Letter: ' || mk_letter || CASE WHEN changed THEN ' (corrected from B by surface gravity)' WHEN near_teff_boundary THEN ' (near a boundary)' ELSE '' END, 'Population: ' || population_group, 'Teff: ' || teff_k || ' K',
+'log g: ' || {_places('logg', 2)}, 'Chemistry: ' || {_places('chemistry_value', 2)}, 'v_tan: ' || {_places('v_tan', 1)}, 'Features: ' || {_FEATURES},
+nullif(concat_ws(' ', CASE WHEN near_teff_boundary THEN 'Temperature is near a class boundary.' END, CASE WHEN near_logg_boundary THEN 'Surface gravity is near a class boundary.' END, CASE WHEN near_chemistry_boundary THEN 'Chemistry is near a population boundary.' END), '')) AS prompt,
+'{{"source_id":' || source_id || ',"mk_letter":"' || mk_letter || '","population_group":"' || population_group || '","teff_k":' || teff_k || coalesce(',"logg":' || logg, '') || ',"quality_score":' || quality_score || '}}' AS reduced FROM co""")
+def n7_n8_whole_prompts(spark, d):
+    return _prompted(spark, d).select("source_id", "prompt", "reduced")
+
+
 #: What the generator reads of a star.
 ANSWERED = ["mk_letter", "sub_type_range", "luminosity_class", "population_group", "spectral_confidence", "luminosity_confidence", "confidence", "teff_k", "notable_features", "decision_rule"]
 
@@ -138,6 +160,32 @@ def n9_n12_results(spark, d):
     return _results(spark, d).select("source_id", F.col("result.classification.spectral_type").alias("spectral_type"), F.col("result.classification.population_group").alias("population_group"), "is_valid")
 
 
+@query(f"""WITH qt AS ({_N2[_N2.rindex('SELECT source_id, concat_ws'):]}),
+s AS (SELECT source_id, source_id % 11 = 0 AS none, source_id % 3 = 0 AS other FROM qt)
+SELECT step, why, n, n_cached, n_zero FROM (
+SELECT 1 AS step, 'missing' AS why, count(*) AS n, 0 AS n_cached, count(*) FILTER (WHERE none) AS n_zero FROM s
+UNION ALL SELECT 2, 'cached', count(*), count(*), count(*) FILTER (WHERE none) FROM s
+UNION ALL SELECT 3, 'stale', count(*), count(*) FILTER (WHERE NOT other OR none), count(*) FILTER (WHERE none) FROM s
+UNION ALL SELECT 4, 'dimension', count(*), 0, count(*) FILTER (WHERE none) FROM s
+UNION ALL SELECT 5, 'encoder', count(*), 0, count(*) FILTER (WHERE none) FROM s
+UNION ALL SELECT 6, 'missing', count(*), 0, count(*) FILTER (WHERE none) FROM s)""")
+def n6_versioned_vectors(spark, d):
+    """The texts of all stars: made, read again, a third changed, other dimensions, another encoder, the version lost."""
+    texts = stored(R.query_text(corrected(spark, d)).select("source_id", F.when(F.col("source_id") % 11 == 0, "").otherwise(F.col("query")).alias("query")), "texts")
+    changed = texts.withColumn("query", F.when((F.col("source_id") % 3 == 0) & (F.col("query") != ""), F.concat("query", F.lit(" again"))).otherwise(F.col("query")))
+    folder, out = fresh(spark, "vectors"), None
+    for step, (rows, name, size) in enumerate([(texts, "md5", 128), (texts, "md5", 128), (changed, "md5", 128), (changed, "md5", 64), (changed, "blake", 64), (changed, "blake", 64)], 1):
+        if step == 6:
+            C.removed(spark, f"{folder}/{json.loads(C.pointed(spark, f'{folder}/{V.MANIFEST}'))['version']}")
+        encode = R.counting_encoder(size) if name == "md5" else R.hashing_encoder(size)
+        vectors, why = V.versioned_vectors(rows, folder, name, size, encode)
+        zero = F.forall("vector", lambda x: x == 0) & (F.size("vector") == size)
+        one = vectors.agg(F.count("*").alias("n"), F.count_if("from_cache").alias("n_cached"), F.count_if(zero).alias("n_zero"))
+        one = stored(one.select(F.lit(step).alias("step"), F.lit(why).alias("why"), "n", "n_cached", "n_zero"), "step")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _stubborn(rows):
     """The rules as a generator that never answers for one star in five, and for one in three not to the full prompt."""
     answers = I.rule_generator(rows)

@@ -10,7 +10,7 @@ from starloom.plans import catalogue_queries, catalogue_sql
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = catalogue_queries(), catalogue_sql()
-WITHOUT_SQL = {"f27_bootstrap", "o4_rouge_stemmed", "n6_vector_cache", "l4_l7_spectra"}
+WITHOUT_SQL = {"o4_rouge_stemmed", "n6_vector_cache", "l4_l7_spectra"}
 
 
 @pytest.fixture(scope="module")
