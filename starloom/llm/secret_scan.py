@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -37,7 +37,7 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Words that announce a secret, in lower case.
 KEYS = (*NAMES, b"passphrase", b"pwd", b"bearer", b"credential", b"private_key", b"access_key", b"auth")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-#: Stretches that the fit takes at most, of either kind; words on either side of a hit, words from a document without one; bytes of a stretch.
+#: Stretches that the fit takes at most, of either kind; words on either side of a hit, words from a document without one (a window by design, at a drawn place); bytes of a stretch.
 SAMPLE, AROUND, PLAIN, LONGEST = 3000, 12, 48, 4096
 #: Copies of a stretch with a hit in which the secret or what announces it is changed, and copies of all together at least.
 COPIES, VARIED = 4, 1500
@@ -161,68 +161,78 @@ def label_spans(words: Words, k: int, spans: list[tuple[int, int]], labels: np.n
         labels[a + 1 : b] = INSIDE
 
 
-def gold_labels(words: Words, texts: list[bytes]) -> np.ndarray:
-    """Labels of words by the patterns."""
-    labels = np.zeros(len(words.starts), dtype=np.int64)
-    for k, text in enumerate(texts):
-        label_spans(words, k, secret_parts(text, base_spans(text)), labels)
-    return labels
+def hit_stretches(starts: np.ndarray, ends: np.ndarray, secrets: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges around secrets, each with AROUND words on either side, in a text whose words lie at ``starts`` to ``ends``.
+
+    Ranges that overlap are one while they stay within LONGEST bytes; else they meet between two secrets. Where words
+    are long a range is cut within them, a quarter of LONGEST from the secret; a secret beyond half of
+    LONGEST is cut too. So every secret has its stretch, and its beginning lies in it.
+    """
+    found: list[list[int]] = []
+    until = 0
+    for start, end in sorted(secrets):
+        if found and start < until:  # two patterns at one place
+            found[-1][1], until = max(found[-1][1], min(end, found[-1][0] + LONGEST)), max(until, end)
+            continue
+        a = max(0, int(np.searchsorted(ends, start, side="right")) - AROUND)
+        b = min(len(ends) - 1, int(np.searchsorted(starts, end)) - 1 + AROUND)
+        stop = min(end, start + LONGEST // 2)
+        low, high = max(int(starts[a]), start - LONGEST // 4), min(int(ends[b]), stop + LONGEST // 4)
+        if found and low < found[-1][1]:
+            if high - found[-1][0] <= LONGEST:
+                found[-1][1], until = max(high, found[-1][1]), end
+                continue
+            low = max(low, min(until, start))
+            found[-1][1] = min(found[-1][1], low)
+        found.append([low, max(high, low + 1)])
+        until = end
+    return [(low, high) for low, high in found]
 
 
 def fit_secrets(docs: DataFrame, sample: int = SAMPLE) -> crf.Chain:
     """Fit the CRF on at most ``sample`` stretches around hits of the patterns and as many without any.
 
-    The patterns run over all documents; of the stretches those with the smallest hash are
-    taken, equal ones once, so that rows that repeat weigh no more than others. Without any hit all weights are
-    0 and nothing is tagged.
+    The patterns run over all documents, in one pass that gives both kinds; of the stretches those with the
+    smallest hash are taken, equal ones once, so that rows that repeat weigh no more than others. Without any hit all
+    weights are 0 and nothing is tagged.
     """
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.count()
+    part = min(1_000_000, int(2_000_000 * sample / max(total, 1)) + 1)
     rows = docs.select(text_bytes().alias("text"), F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)).alias("draw"))
-    # the tables' engine leaves out the rows that no pattern can match
+    # the tables' engine leaves out the rows that no pattern can match, but for those that may give a plain stretch
     may_hit = F.col("text").cast("string").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}")
 
-    def stretches(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                if not texts:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if not texts:
+                continue
+            words = Words(texts)
+            out: list[list] = [[], [], []]
+            for k, (text, draw) in enumerate(zip(texts, batch.column(1).to_pylist())):
+                a, n = words.first[k], words.lengths[k]
+                if not n:
                     continue
-                words = Words(texts)
-                gold = gold_labels(words, texts)
-                out: list[list] = [[], []]
-                for k, draw in enumerate(batch.column(1).to_pylist()):
-                    a, n = words.first[k], words.lengths[k]
-                    hits = np.flatnonzero(gold[a : a + n])
-                    spans, until = [], 0
-                    if hit:
-                        for h in hits:
-                            low, high = max(until, h - AROUND), min(n, h + AROUND + 1)
-                            if high > until:
-                                spans.append((low, high))
-                            until = high
-                    elif not len(hits) and n:
-                        at = int(draw) % max(1, n - PLAIN + 1)
-                        spans = [(at, min(n, at + PLAIN))]
-                    for low, high in spans:
-                        begin, end = words.starts[a + low] - words.at[k], words.ends[a + high - 1] - words.at[k]
-                        if low < high and end - begin <= LONGEST:
-                            out[0].append(texts[k][begin:end])
-                            out[1].append(int(words.slots[a, FILE] - OFFSETS[FILE]))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())], ["stretch", "file"])
-
-        return run
-
-    def drawn(found: DataFrame) -> list[tuple[bytes, int]]:
-        found = found.groupBy("stretch").agg(F.min("file").alias("file")).orderBy(F.xxhash64("stretch"), "stretch").limit(sample)
-        return [(bytes(r.stretch), r.file) for r in found.collect()]
-
-    hits = drawn(rows.where(may_hit).mapInArrow(stretches(True), "stretch binary, file int"))
+                starts, ends = words.starts[a : a + n] - words.at[k], words.ends[a : a + n] - words.at[k]
+                secrets = secret_parts(text, base_spans(text))
+                ranges = hit_stretches(starts, ends, secrets)
+                if not secrets and draw < part:
+                    at = int(draw) % max(1, n - PLAIN + 1)
+                    low, high = int(starts[at]), int(ends[min(n, at + PLAIN) - 1])
+                    ranges = [(low, min(high, low + LONGEST))]
+                for low, high in ranges:
+                    for column, value in zip(out, (text[low:high], int(words.slots[a, FILE] - OFFSETS[FILE]), bool(secrets))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_())], ["stretch", "file", "hit"])
+
+    found = rows.where(may_hit | (F.col("draw") < part)).mapInArrow(stretches, "stretch binary, file int, hit boolean")
+    first = F.row_number().over(Window.partitionBy("hit").orderBy(F.xxhash64("stretch"), "stretch"))
+    drawn = found.groupBy("hit", "stretch").agg(F.min("file").alias("file")).withColumn("place", first).where(F.col("place") <= sample).orderBy("hit", "place").collect()
+    hits, plain = ([(bytes(r.stretch), r.file) for r in drawn if r.hit == kind] for kind in (True, False))
     if not hits:
         return crf.Chain(np.zeros((ROWS, 3)), np.zeros((3, 3)))
-    part = min(1_000_000, int(2_000_000 * sample / max(total, 1)) + 1)
-    plain = drawn(rows.where(F.col("draw") < part).mapInArrow(stretches(False), "stretch binary, file int"))
     texts, spans, files = varied(hits, plain)
     words = Words(texts)
     gold = np.zeros(len(words.starts), dtype=np.int64)

@@ -206,3 +206,33 @@ def test_tags_equal_whole_viterbi(spark, docs):
         whole = crf.viterbi(own.emissions(words.slots), words.lengths, own.moves)
         assert (secret_scan.tag(words, own) == whole).all()
     assert [len(t.split()) for t in texts] == words.lengths.tolist()
+
+
+def test_stretches_hold_their_secrets():
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.choice([3, 5, 9, 9, 40, 3000, 9000]) if draw.random() < 0.1 else draw.randint(2, 9)))
+    for trial in range(200):
+        parts = []
+        for _ in range(draw.randint(1, 60)):
+            what = draw.random()
+            value = "".join(draw.choices("ABCxyz0123456789", k=draw.choice([12, 20, 40, 6000 if trial % 9 == 0 else 30])))
+            parts.append(f"password={value}" if what < 0.15 else word() + f";token='{value}';" + word() if what < 0.2 else "AKIA" + value.upper() if what < 0.25 else word())
+        text = " ".join(parts).encode()
+        words = secret_scan.Words([text])
+        secrets = secret_scan.secret_parts(text, secret_scan.base_spans(text))
+        found = secret_scan.hit_stretches(words.starts, words.ends, secrets)
+        assert all(0 <= a < b <= len(text) and b - a <= secret_scan.LONGEST for a, b in found)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        for start, end in secrets:
+            own = [(a, b) for a, b in found if a <= start < b]
+            assert own and (own[0][1] >= min(end, start + 64))
+        for a, b in found:
+            assert any(a <= start < b for start, _ in secrets)
+            assert secret_scan.base_spans(text[a:b])  # the patterns find it in the stretch too
+    assert secret_scan.hit_stretches(words.starts, words.ends, []) == []
+
+
+def test_two_secrets_near_one_another_share_a_stretch():
+    text = b"a b c password=abcdefgh12 r s t u v token=zyxwvuts98 w x"
+    words = secret_scan.Words([text])
+    assert secret_scan.hit_stretches(words.starts, words.ends, secret_scan.secret_parts(text, secret_scan.base_spans(text))) == [(0, len(text))]
