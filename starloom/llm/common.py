@@ -43,14 +43,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+#: Spark's setting that shuffle files go when the query that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back. Later queries start from it, so the shuffle files of this one go at its end."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    return written(df, fresh_path(df.sparkSession, name))
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables in the shared folder."""
     jvm = spark.sparkContext._jvm
@@ -61,16 +74,20 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 
 class Scratch:
-    """Intermediate tables of one run in the shared folder; ``drop`` deletes them together."""
+    """Intermediate tables of one run in the shared folder; ``release`` deletes some, ``drop`` all of them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.taken = spark, fresh_path(spark, name), 0
+        self.spark, self.path, self.paths = spark, fresh_path(spark, name), []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        self.taken += 1
-        path = f"{self.path}/{name}-{self.taken}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path = f"{self.path}/{name}-{len(self.paths) + 1}"
+        found = written(df, path)
+        self.paths.append((found, path))
+        return found
+
+    def release(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        forget(self.spark, *[path for held, path in self.paths if any(held is t for t in tables)])
 
     def drop(self) -> None:
         forget(self.spark, self.path)

@@ -8,7 +8,8 @@
    are put in. So a text has one row for each hash of its prefix, and what shares a hash and can
    still reach the similarity from there on is compared exactly. Each set has PARITY longs of parities: how
    many bits two of them differ in is at most how many hashes only one of the sets has, so pairs with too many are
-   not looked at; this too is a bound and loses no pair. Common hashes, estimated from a
+   not looked at; this too is a bound and loses no pair. Large sets fill so few bits, so what passes is held against as many
+   parities as a set has hashes before whole sets are compared. Common hashes, estimated from a
    sample, come last in the order, the commonest at the end, so that few texts have them in their prefixes; the order
    decides what is compared and never what is a copy.
 
@@ -146,6 +147,22 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(size & 1 == 1, bitorder="little").view("<i8")
 
 
+def wide_parities(own: np.ndarray) -> bytes:
+    """As ``parities``, with at least one bit for each hash of the set (a power of two of them, 256 at least)."""
+    bits = max(64 * PARITY, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own >> np.uint64(32)) % np.uint64(bits), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two wide parities differ, the longer one folded to the shorter."""
+    a, b = (np.frombuffer(v, dtype=np.uint8) for v in (x, y))
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def close(differ, n, m, similarity: float):
     """Whether sets of ``n`` and ``m`` hashes whose parities ``differ`` in so many bits can be similar."""
     return differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
@@ -238,14 +255,13 @@ def remaining(work: Scratch, rows: DataFrame, similarity: float) -> DataFrame:
 def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that join every two nodes of ``similarity`` or more, directly or through others.
 
-    ``texts`` have (doc, name, text); ``nodes`` (node, called, fp, odd, best): its number, its name, its
-    fingerprint, its parities, and the place of one row of it.
+    ``texts`` have (doc, name, text); ``nodes`` (node, called, fp, odd, wide, size, best): its number, its name, its
+    fingerprint, its parities, few and wide, its number of hashes, and the place of one row of it.
     """
 
-    def texts_of(of: DataFrame) -> DataFrame:
+    def texts_of(wanted: DataFrame) -> DataFrame:
         """node and text of some nodes, once for each of equal rows."""
-        of = work.stored(of.join(nodes, "node").select("node", F.col("best.doc_id").alias("d"), F.col("best.name").alias("n")), "wanted")
-        of = F.broadcast(of) if of.count() <= BROADCAST else of
+        of = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
         return texts.join(of, texts.doc.eqNullSafe(F.col("d")) & (texts.name == F.col("n"))).select("node", "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,25 +306,41 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
     half = lambda k: F.conv(F.hex(F.substring("called", k, 8)), 16, -10).cast("long")
     shared = own.join(several, "h").distinct().join(nodes.select(half(1).alias("c0"), half(9).alias("c1"), "node", *(F.col("odd")[k].alias(p) for k, p in enumerate(ODD))), ["c0", "c1"]).select("h", "node", "n", "pos", *ODD)
     shared = work.stored(shared, "shared")
+    work.release(own)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [own.tobytes() for own in shingle_sets(batch.column(1).to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [close(differing(x, y), n, m, similarity) for x, y, n, m in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(c)] for c in (2, 3))
             good = pa.array([alike(p, q, similarity) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
+    def both_sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Stored ``pairs`` with what ``left`` says of a and ``right`` of b; nodes of many pairs are dealt on either side."""
+        return spread_join(spread_join(pairs, left, "a"), right, "b", by="a")
+
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = work.stored(pairs, "pairs")
+        first = work.stored(pairs, "candidates")
+        left = nodes.select(F.col("node").alias("a"), F.col("wide").alias("x"), F.col("size").alias("n"))
+        right = nodes.select(F.col("node").alias("b"), F.col("wide").alias("y"), F.col("size").alias("m"))
+        # the wide parities, some hundredths of a set's bytes, decide most pairs before any set travels
+        pairs = work.stored(both_sides(first, left, right).select("a", "b", "x", "y", "n", "m").mapInArrow(possible, "a long, b long"), "pairs")
         of = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = work.stored(texts_of(of).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, hashes binary"), "sets")
-        both = spread_join(pairs, held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-        both = both.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return work.stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "links")
+        wanted = work.stored(of.join(nodes, "node").select("node", F.col("best.doc_id").alias("d"), F.col("best.name").alias("n")), "wanted")
+        held = work.stored(texts_of(wanted).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, hashes binary"), "sets")
+        both = both_sides(pairs, held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y")))
+        found = work.stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "links")
+        work.release(first, pairs, wanted, held)
+        return found
 
     # SimHash: nodes of one fingerprint, and the first nodes of fingerprints within three bits
     some = nodes.where("fp IS NOT NULL")
@@ -324,8 +356,12 @@ def shingle_links(work: Scratch, texts: DataFrame, nodes: DataFrame, words: int,
     # one order for all hashes makes few pairs that join most of a group; one for each hash joins what still stands beside it
     first = neighbours(work, shared.withColumn("cluster", F.col("node")), similarity, NEIGHBOURS, "node")
     links = checked(equal.union(near).union(first).distinct())
-    links = links.union(checked(neighbours(work, clustered(links), similarity, MORE_NEIGHBOURS, "node", "h")))
-    return links.union(checked(remaining(work, clustered(links), similarity)))
+    for turn in (lambda rows: neighbours(work, rows, similarity, MORE_NEIGHBOURS, "node", "h"), lambda rows: remaining(work, rows, similarity)):
+        rows = clustered(links)
+        links = links.union(checked(turn(rows)))
+        work.release(rows)
+    work.release(shared)
+    return links
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -345,21 +381,25 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Names of the text as it is and normalised, the fingerprint and the parities of its shingles."""
         for batch in batches:
-            names, called, fps, odd = [], [], [], []
+            names, called, fps, odd, wide, size = [], [], [], [], [], []
             whole = batch.column(1).to_pylist()
             for text, hashes in zip(whole, shingle_hashes(whole, words)):
                 names.append(name_of(text))
                 called.append(name_of(normalised(text)))
                 fps.append(int(np.uint64(majority(hashes)).view(np.int64)) if len(hashes) else None)
-                odd.append(parities(np.unique(hashes)))
-            columns = [batch.column(0), pa.array(names, pa.binary()), pa.array(called, pa.binary()), pa.array(fps, pa.int64()), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "called", "fp", "odd"])
-
-    marks = texts.mapInArrow(described, "doc_id long, name binary, called binary, fp long, odd array<long>")
-    counted = marks.groupBy("called", "doc_id", "name").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
+                own = np.unique(hashes)
+                odd.append(parities(own))
+                wide.append(wide_parities(own))
+                size.append(len(own))
+            columns = [batch.column(0), pa.array(names, pa.binary()), pa.array(called, pa.binary()), pa.array(fps, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "called", "fp", "odd", "wide", "size"])
+
+    marks = texts.mapInArrow(described, "doc_id long, name binary, called binary, fp long, odd array<long>, wide binary, size int")
+    same = [F.first(c).alias(c) for c in ("fp", "odd", "wide", "size")]
+    counted = marks.groupBy("called", "doc_id", "name").agg(F.count("*").alias("copies"), *same)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name", "copies")
-    nodes = counted.groupBy("called").agg(F.min(place).alias("best"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
-    nodes = work.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "called", "fp", "odd", "best"), "nodes")
+    nodes = counted.groupBy("called").agg(F.min(place).alias("best"), *same)
+    nodes = work.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "called", "fp", "odd", "wide", "size", "best"), "nodes")
     roots = components(shingle_links(work, texts.select("doc", text_name().alias("name"), "text"), nodes, words, similarity))
     of = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("b"))
     kept = stored(of.select(F.col("b.doc_id").alias("doc"), F.col("b.name").alias("name"), F.col("b.copies").alias("copies")), "near-copies-kept")

@@ -1,6 +1,5 @@
 import random
 import re
-
 import numpy as np
 
 from starloom.llm import near_copies
@@ -125,3 +124,15 @@ def test_parities_are_a_bound():
     sets = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(20)]
     differ = [int(np.bitwise_count((near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64)).sum()) for a in sets for b in sets if a is not b]
     assert not any(near_copies.close(d, 200, 200, 0.8) for d in differ)
+
+
+def test_wide_parities_never_differ_by_more_than_the_sets():
+    draw = np.random.default_rng(6)
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (300, 310, 290), (2000, 1500, 1400), (900, 1100, 0), (5000, 5000, 5000)):
+        pool = np.unique(draw.integers(0, 1 << 63, n + m, dtype=np.uint64) << np.uint64(1))[: n + m - both]
+        x, y = pool[:n], pool[n - both : n - both + m]
+        apart = n + m - 2 * len(np.intersect1d(x, y))
+        found = near_copies.differing(near_copies.wide_parities(x), near_copies.wide_parities(y))
+        assert found <= apart and found % 2 == apart % 2
+        if not both and n + m > 100:
+            assert not near_copies.close(found, len(x), len(y), 0.8)
