@@ -112,7 +112,7 @@ def requested(ids: DataFrame, table: DataFrame, key: str = "source_id") -> DataF
 
 
 def without(df: DataFrame, *parts: str) -> DataFrame:
-    """``df`` without the columns whose names contain one of ``parts``."""
+    """``df`` without the columns whose names contain one of ``parts``, anywhere: ``_x`` takes ``name_x`` and ``a_xyz`` alike."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not any(p in c for p in parts)])
 
 
