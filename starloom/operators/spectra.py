@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.sources.scratch import spread
+
 #: Light in km/s; lines in nm; windows free of lines in the red spectra.
 LIGHT = 299792.458
 HALPHA, CALCIUM = 656.281, (849.802, 854.209, 866.214)
 RED_WINDOWS = ((847.0, 849.0), (851.0, 853.5), (856.0, 860.0), (869.5, 874.0))
 ROUNDS, LEAST_POINTS, LOW, HIGH = 5, 10, 2.0, 3.0
+#: Spectra that are measured together; a bound on memory only.
+TOGETHER = 1024
 
 CONTINUUM = "status string, fit_method string, used_fallback boolean, snr double, stable boolean, high_snr boolean, fit_diverged boolean, model array<double>, normalized array<double>"
 LINE = "line_nm double, ew_aa double, fwhm_nm double, status string, high_quality_fit boolean, is_broad boolean, emission_core boolean"
@@ -175,23 +179,119 @@ def measured(x: np.ndarray, y: np.ndarray, windows: np.ndarray | None = None) ->
     return ("success", method, method != "spline", round(snr, 2), bool(norm[mask].std() < 0.05), snr > 20, False, level, norm)
 
 
+def cubics(x: np.ndarray, y: np.ndarray, mask: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``cubic`` for every row of (spectrum, point) arrays, about ``middle``, and which rows have four different places."""
+    t = (x - middle[:, None]) / np.where(np.ptp(x, axis=1) > 0, np.ptp(x, axis=1) / 2, 1.0)[:, None]
+    m, n = mask.astype(float), mask.sum(axis=1)
+    before, basis, before_size, found, good = np.zeros_like(t), np.ones_like(t), np.ones(len(t)), np.zeros_like(t), np.ones(len(t), dtype=bool)
+    for degree in range(4):
+        weighted = m * basis
+        size = (weighted * basis).sum(axis=1)
+        good &= size > 1e-12 * n
+        size = np.where(good, size, 1.0)
+        found += ((weighted * y).sum(axis=1) / size)[:, None] * basis
+        back = size / before_size if degree else np.zeros(len(t))
+        before, basis, before_size = basis, (t - ((weighted * t * basis).sum(axis=1) / size)[:, None]) * basis - back[:, None] * before, size
+    return found, good
+
+
+def _spread(values: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the values in the mask of each row."""
+    n = np.maximum(mask.sum(axis=1), 1)
+    mean = np.where(mask, values, 0.0).sum(axis=1) / n
+    return mean, np.sqrt((np.where(mask, values - mean[:, None], 0.0) ** 2).sum(axis=1) / n)
+
+
+@np.errstate(all="ignore")
+def measured_rows(x: np.ndarray, y: np.ndarray, windows: np.ndarray) -> list[tuple]:
+    """``measured`` for every row of finite (spectrum, point) arrays, all rows together.
+
+    The target of the smoothing spline is one that a cubic meets; a row where rounding says that it doesn't goes to ``measured`` by itself.
+    """
+    mask, level, has = windows.copy(), np.zeros_like(y), np.zeros(len(y), dtype=bool)
+    odd, live = np.zeros(len(y), dtype=bool), np.arange(len(y))
+    for _ in range(ROUNDS):
+        own, xs, ys = mask[live], x[live], y[live]
+        n = own.sum(axis=1)
+        top = np.maximum.accumulate(np.where(own, xs, -np.inf), axis=1)
+        rises = ~(own[:, 1:] & (xs[:, 1:] < top[:, :-1])).any(axis=1)
+        fit, good = cubics(xs, ys, own, (np.where(own, xs, 0.0).sum(axis=1) + xs.sum(axis=1)) / (n + x.shape[1]))
+        rest = ys - fit
+        _, deviation = _spread(ys, own)
+        good &= (n >= LEAST_POINTS) & rises
+        beyond = good & ~((np.where(own, rest, 0.0) ** 2).sum(axis=1) <= n * deviation**2 + 1e-12 * (np.where(own, ys, 0.0) ** 2).sum(axis=1))
+        odd[live[beyond]] = True
+        good &= ~beyond & np.isfinite(fit).all(axis=1) & (fit > 0).all(axis=1)
+        level[live[good]], has[live[good]] = fit[good], True
+        _, spread = _spread(rest, own)
+        fresh = windows[live] & (rest > -LOW * spread[:, None]) & (rest < HIGH * spread[:, None])
+        on = good & (spread > 0) & (fresh != own).any(axis=1)
+        mask[live[on]], live = fresh[on], live[on]
+        if not len(live):
+            break
+    method = np.where(has, "spline", "chebyshev").astype(object)
+    rest = np.flatnonzero(~has & ~odd)
+    if len(rest):
+        fit, good = cubics(x[rest], y[rest], mask[rest], x[rest].mean(axis=1))
+        n = mask[rest].sum(axis=1)
+        flat = np.where(n > 0, np.where(mask[rest], y[rest], 0.0).sum(axis=1) / n, np.nan)
+        level[rest] = np.where(good[:, None], fit, flat[:, None])
+        method[rest[~good]] = "flat_mean"
+    success = (mask.sum(axis=1) >= LEAST_POINTS) & np.isfinite(level).all(axis=1) & (level > 0).all(axis=1)
+    _, noise = _spread(y - level, mask)
+    mean, _ = _spread(y, mask)
+    norm = y / level
+    _, waves = _spread(norm, mask)
+    snr = np.where(noise > 0, mean / noise, 0.0).tolist()
+    out = []
+    for k in range(len(y)):
+        if odd[k]:
+            out.append(measured(x[k], y[k], windows[k]))
+        elif success[k]:
+            out.append(("success", method[k], method[k] != "spline", round(snr[k], 2), bool(waves[k] < 0.05), snr[k] > 20, False, level[k], norm[k]))
+        else:
+            out.append(("failed", None, False, None, False, False, True, None, None))
+    return out
+
+
+def _alike(lengths: list[int | None], most: int) -> Iterator[list[int]]:
+    """Places of equal length, ``most`` at once; those without a length are left out."""
+    by: dict[int, list[int]] = {}
+    for k, n in enumerate(lengths):
+        if n is not None:
+            by.setdefault(n, []).append(k)
+    for own in by.values():
+        for k in range(0, len(own), most):
+            yield own[k : k + most]
+
+
 def continuum_column(wavelength: Column, flux: Column, windows: tuple[tuple[float, float], ...] = ()) -> Column:
     """A struct of CONTINUUM for each spectrum; a spectrum that can't be measured has a status that says so."""
 
+    def inside(x: np.ndarray) -> np.ndarray:
+        return np.any([(x >= a) & (x <= b) for a, b in windows], axis=0) if windows else np.ones(x.shape, dtype=bool)
+
+    def alone(x: np.ndarray, y: np.ndarray) -> tuple:
+        try:
+            return measured(x, y, inside(x))
+        except (ValueError, np.linalg.LinAlgError) as error:
+            return (f"error: {error}"[:200], *NO_DATA[1:])
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in CONTINUUM.split(", ")]
         for xs, ys in batches:
-            rows = []
-            for x, y in zip(xs, ys):
-                if x is None or y is None:
-                    rows.append(NO_DATA)
-                    continue
-                x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-                inside = np.any([(x >= a) & (x <= b) for a, b in windows], axis=0) if windows else None
-                try:
-                    rows.append(measured(x, y, inside))
-                except (ValueError, np.linalg.LinAlgError) as error:
-                    rows.append((f"error: {error}"[:200], *NO_DATA[1:]))
+            xs, ys = ([None if v is None else np.asarray(v, dtype=float) for v in own] for own in (xs, ys))
+            rows: list[tuple] = [NO_DATA] * len(xs)
+            sizes: list[int | None] = []
+            for k, (x, y) in enumerate(zip(xs, ys)):
+                whole = x is not None and y is not None and len(x) == len(y) >= LEAST_POINTS and np.isfinite(x).all() and np.isfinite(y).all()
+                sizes.append(len(x) if whole else None)
+                if x is not None and y is not None and not whole:
+                    rows[k] = alone(x, y)
+            for own in _alike(sizes, TOGETHER):
+                x, y = np.stack([xs[k] for k in own]), np.stack([ys[k] for k in own])
+                for k, row in zip(own, measured_rows(x, y, inside(x))):
+                    rows[k] = row
             yield pd.DataFrame(rows, columns=names)
 
     return F.pandas_udf(run, CONTINUUM)(wavelength, flux)
@@ -203,58 +303,97 @@ def shifted(line: Column, velocity: Column) -> Column:
     return line * (1 + moved / LIGHT)
 
 
-@np.errstate(over="ignore", invalid="ignore")
-def voigt(x: np.ndarray, centre: float, amplitude: float, lorentz: float, gauss: float) -> np.ndarray:
-    """Voigt profile of a given height, by Humlicek's rational approximation of w(z)."""
-    scale = 2 * np.sqrt(np.log(2)) / gauss
-
-    def w(z: np.ndarray) -> np.ndarray:
-        t = z.imag - 1j * z.real
-        s = np.abs(z.real) + z.imag
-        far = t * 0.5641896 / (0.5 + t * t)
-        u = t * t
-        middle = t * (1.410474 + u * 0.5641896) / (0.75 + u * (3 + u))
-        close = (16.4955 + t * (20.20933 + t * (11.96482 + t * (3.778987 + t * 0.5642236)))) / (16.4955 + t * (38.82363 + t * (39.27121 + t * (21.69274 + t * (6.699398 + t)))))
-        core = np.exp(u) - t * (36183.31 - u * (3321.9905 - u * (1540.787 - u * (219.0313 - u * (35.76683 - u * (1.320522 - u * 0.56419)))))) / (32066.6 - u * (24322.84 - u * (9022.228 - u * (2186.181 - u * (364.2191 - u * (61.57037 - u * (1.841439 - u)))))))
-        return np.where(s >= 15, far, np.where(s >= 5.5, middle, np.where(z.imag >= 0.195 * np.abs(z.real) - 0.176, close, core)))
-
-    z = scale * (x - centre) + 1j * scale * lorentz / 2
-    top = w(np.array([1j * scale * lorentz / 2])).real[0]
-    return amplitude * w(z).real / top
+def _w(z: np.ndarray) -> np.ndarray:
+    """The real part of w(z) by Humlicek's rational approximation, each region where it holds."""
+    t = z.imag - 1j * z.real
+    s = np.abs(z.real) + z.imag
+    out = (t * 0.5641896 / (0.5 + t * t)).real
+    at = s < 15
+    t, s, x, y = t[at], s[at], z.real[at], z.imag[at]
+    u = t * t
+    near = (t * (1.410474 + u * 0.5641896) / (0.75 + u * (3 + u))).real
+    inner = s < 5.5
+    close = inner & (y >= 0.195 * np.abs(x) - 0.176)
+    v = t[close]
+    near[close] = ((16.4955 + v * (20.20933 + v * (11.96482 + v * (3.778987 + v * 0.5642236)))) / (16.4955 + v * (38.82363 + v * (39.27121 + v * (21.69274 + v * (6.699398 + v)))))).real
+    core = inner & ~close
+    v, u = t[core], u[core]
+    near[core] = (np.exp(u) - v * (36183.31 - u * (3321.9905 - u * (1540.787 - u * (219.0313 - u * (35.76683 - u * (1.320522 - u * 0.56419)))))) / (32066.6 - u * (24322.84 - u * (9022.228 - u * (2186.181 - u * (364.2191 - u * (61.57037 - u * (1.841439 - u)))))))).real
+    out[at] = near
+    return out
 
 
-def fit_line(x: np.ndarray, norm: np.ndarray, centre: float, half: float = 1.5) -> tuple:
-    """Levenberg-Marquardt fit of a Voigt profile to the depth 1 - flux around a line."""
-    use = np.isfinite(norm) & (np.abs(x - centre) <= half)
-    if use.sum() < 7:
-        return (centre, None, None, "too_few_points", False, False, False)
-    xs, y = x[use], 1 - norm[use]
-    low, high = np.array([centre - half, -0.5, 0.0, 0.075]), np.array([centre + half, 1.2, 5.0, 5.0])
-    p = np.clip(np.array([centre, max(y.max(), 0.05), 0.05, 0.0751]), low, high)
-    damp = 1e-2
+@np.errstate(over="ignore", invalid="ignore", divide="ignore")
+def voigt(x: np.ndarray, centre: float | np.ndarray, amplitude: float | np.ndarray, lorentz: float | np.ndarray, gauss: float | np.ndarray) -> np.ndarray:
+    """Voigt profile of a given height; parameters may be columns of one value for each row of ``x``."""
+    centre, amplitude, lorentz, gauss = (np.asarray(v, dtype=float) for v in (centre, amplitude, lorentz, gauss))
+    scale = 2 * np.sqrt(np.log(2)) / gauss
+    top = _w(np.atleast_1d(1j * scale * lorentz / 2))
+    return amplitude * _w(scale * (x - centre) + 1j * scale * lorentz / 2) / top
+
+
+@np.errstate(all="ignore")
+def fit_lines(x: np.ndarray, norm: np.ndarray, centre: np.ndarray, half: float = 1.5) -> list[tuple]:
+    """Levenberg-Marquardt fits of a Voigt profile to the depth 1 - flux around a line: one for each row, all rows together."""
+    use = np.isfinite(norm) & (np.abs(x - centre[:, None]) <= half)
+    out: list[tuple] = [(c, None, None, "too_few_points", False, False, False) for c in centre.tolist()]
+    rows = np.flatnonzero(use.sum(axis=1) >= 7)
+    if not len(rows):
+        return out
+    places = np.argsort(~use[rows], axis=1, kind="stable")[:, : int(use[rows].sum(axis=1).max())]
+    w = np.take_along_axis(use[rows], places, axis=1)
+    xs, y = np.take_along_axis(x[rows], places, axis=1), np.where(w, 1 - np.take_along_axis(norm[rows], places, axis=1), 0.0)
+    n, zero, c = w.sum(axis=1), np.zeros(len(rows)), centre[rows]
+    low, high = np.stack([c - half, zero - 0.5, zero, zero + 0.075], axis=1), np.stack([c + half, zero + 1.2, zero + 5.0, zero + 5.0], axis=1)
+    p = np.clip(np.stack([c, np.maximum(np.where(w, y, -np.inf).max(axis=1), 0.05), zero + 0.05, zero + 0.0751], axis=1), low, high)
+    damp, live = np.full(len(rows), 1e-2), np.arange(len(rows))
+    profile = lambda at, q: voigt(xs[at], *(q[:, k, None] for k in range(4)))
+    rest_of = lambda at, model: np.where(w[at], y[at] - model, 0.0)
     for _ in range(25):
-        model = voigt(xs, *p)
-        rest = y - model
-        now = rest @ rest
-        jac = np.stack([(voigt(xs, *(p + np.eye(4)[k] * 1e-6)) - model) / 1e-6 for k in range(4)], axis=1)
-        moved = False
+        model = profile(live, p[live])
+        rest = rest_of(live, model)
+        now = (rest * rest).sum(axis=1)
+        jac = np.stack([np.where(w[live], (profile(live, p[live] + np.eye(4)[k] * 1e-6) - model) / 1e-6, 0.0) for k in range(4)], axis=2)
+        square, right = jac.transpose(0, 2, 1) @ jac, (jac * rest[:, :, None]).sum(axis=1)
+        heavy = np.einsum("rkk->rk", square) + 1e-12
+        last, open_ = np.full(len(live), np.inf), np.flatnonzero(np.isfinite(square).all(axis=(1, 2)) & np.isfinite(right).all(axis=1))
         for _ in range(8):
-            step = np.linalg.lstsq(jac.T @ jac + damp * np.diag(np.diag(jac.T @ jac) + 1e-12), jac.T @ rest, rcond=None)[0]
-            new = np.clip(p + step, low, high)
-            other = y - voigt(xs, *new)
-            if other @ other < now:
-                p, damp, moved = new, damp / 3, True
+            at = live[open_]
+            system = square[open_] + damp[at, None, None] * heavy[open_, :, None] * np.eye(4)
+            step = (np.linalg.pinv(system, rcond=4 * np.finfo(float).eps, hermitian=True) @ right[open_, :, None])[:, :, 0]
+            new = np.clip(p[at] + step, low[at], high[at])
+            other = rest_of(at, profile(at, new))
+            other = (other * other).sum(axis=1)
+            better = other < now[open_]
+            p[at[better]], last[open_[better]] = new[better], other[better]
+            damp[at] = np.where(better, damp[at] / 3, damp[at] * 3)
+            open_ = open_[~better]
+            if not len(open_):
                 break
-            damp *= 3
-        if not moved or now - other @ other < 1e-6 * max(now, 1e-30):
+        live = live[np.isfinite(last) & ~(now - last < 1e-6 * np.maximum(now, 1e-30))]
+        if not len(live):
             break
-    grid = np.linspace(p[0] - 3, p[0] + 3, 1000)
-    depth = np.clip(voigt(grid, *p), 0, None)
-    width = float(((depth[1:] + depth[:-1]) / 2 * np.diff(grid)).sum() * 10)
-    fwhm = float(0.5346 * p[2] + np.sqrt(0.2166 * p[2] ** 2 + p[3] ** 2))
-    rest = y - voigt(xs, *p)
-    good = bool(rest.std() < 0.05 and p[1] > 3 * rest.std())
-    return (centre, width, fwhm, "success", good, fwhm > 0.5, bool(voigt(np.array([p[0]]), *p)[0] < 0)) if np.isfinite([width, fwhm]).all() else (centre, None, None, "failed", False, False, False)
+    for k in range(0, len(rows), 64):  # the wide grid in small parts
+        own = p[k : k + 64]
+        grid = own[:, :1] + np.linspace(-3, 3, 1000)
+        depth = np.clip(voigt(grid, *(own[:, j, None] for j in range(4))), 0, None)
+        width = ((depth[:, 1:] + depth[:, :-1]) / 2 * np.diff(grid, axis=1)).sum(axis=1) * 10
+        fwhm = 0.5346 * own[:, 2] + np.sqrt(0.2166 * own[:, 2] ** 2 + own[:, 3] ** 2)
+        at = np.arange(k, k + len(own))
+        _, deviation = _spread(rest_of(at, profile(at, own)), w[at])
+        middle = voigt(own[:, :1], *(own[:, j, None] for j in range(4)))[:, 0]
+        for j, r in enumerate(rows[at]):
+            if np.isfinite(width[j]) and np.isfinite(fwhm[j]):
+                good = bool(deviation[j] < 0.05 and own[j, 1] > 3 * deviation[j])
+                out[r] = (out[r][0], float(width[j]), float(fwhm[j]), "success", good, bool(fwhm[j] > 0.5), bool(middle[j] < 0))
+            else:
+                out[r] = (out[r][0], None, None, "failed", False, False, False)
+    return out
+
+
+def fit_line(x: np.ndarray, norm: np.ndarray, centre: float, half: float = 1.5) -> tuple:
+    """``fit_lines`` of one spectrum."""
+    return fit_lines(x[None], norm[None], np.array([centre], dtype=float), half)[0]
 
 
 def lines_column(wavelength: Column, normalized: Column, centres: Column) -> Column:
@@ -263,12 +402,13 @@ def lines_column(wavelength: Column, normalized: Column, centres: Column) -> Col
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         names = [f.split()[0] for f in LINE.split(", ")]
         for xs, ns, cs in batches:
-            out = []
-            for x, n, own in zip(xs, ns, cs):
-                if x is None or n is None or own is None:
-                    out.append(None)
-                else:
-                    out.append([dict(zip(names, fit_line(np.asarray(x, dtype=float), np.asarray(n, dtype=float), c))) for c in own])
+            out = [None if x is None or n is None or own is None else [None] * len(own) for x, n, own in zip(xs, ns, cs)]
+            asked = [(k, j) for k, own in enumerate(out) for j in range(len(own or []))]
+            for some in _alike([len(xs[k]) for k, _ in asked], TOGETHER):
+                x, n = (np.stack([np.asarray(v[asked[i][0]], dtype=float) for i in some]) for v in (xs, ns))
+                found = fit_lines(x, n, np.array([cs[asked[i][0]][asked[i][1]] for i in some], dtype=float))
+                for i, line in zip(some, found):
+                    out[asked[i][0]][asked[i][1]] = dict(zip(names, line))
             yield pd.Series(out)
 
     return F.pandas_udf(run, f"array<struct<{', '.join(f.replace(' ', ': ') for f in LINE.split(', '))}>>")(wavelength, normalized, centres)
@@ -283,6 +423,7 @@ def routed(blue: DataFrame, red: DataFrame, velocities: DataFrame, key: str = "s
     """
     both = blue.select(key, F.col(wavelength).alias("bx"), F.col(flux).alias("by")).join(red.select(key, F.col(wavelength).alias("rx"), F.col(flux).alias("ry")), key, "full")
     both = both.join(velocities.select(key, F.col("radial_velocity").cast("double").alias("velocity")), key, "left")
+    both = spread(both)  # few bytes, but much work
     both = both.withColumn("bprp", continuum_column(F.col("bx"), F.col("by"))).withColumn("rvs", continuum_column(F.col("rx"), F.col("ry"), RED_WINDOWS))
     at = lambda lines: F.array(*[shifted(F.lit(x), F.col("velocity")) for x in lines])
     both = both.withColumn("halpha", F.get(lines_column(F.col("bx"), F.col("bprp.normalized"), at([HALPHA])), F.lit(0)))

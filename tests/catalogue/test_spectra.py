@@ -81,3 +81,20 @@ def test_routing_of_both_bands(spark):
     assert rows[3].calcium[0].line_nm == pytest.approx(P.CALCIUM[0] * (1 + 100 / P.LIGHT))
     width = 0.4 * np.sqrt(0.18 * np.pi) * 10  # the area of a Gaussian in angstroms
     assert all(x.ew_aa == pytest.approx(width, rel=0.15) for x in rows[1].calcium)
+
+
+def test_rows_together_equal_rows_alone():
+    draw = np.random.default_rng(3)
+    x = np.stack([650 + 0.2 * np.arange(64.0), 662.6 - 0.2 * np.arange(64.0), np.full(64, 650.0)] * 20)
+    y = 1 + draw.normal(0, 0.02, x.shape)
+    y[::7] -= 1
+    windows = draw.random(x.shape) < 0.9
+    found = P.measured_rows(x, y, windows)
+    for own, *alone in zip(found, x, y, windows):
+        expected = P.measured(*alone)
+        assert own[:3] == expected[:3] and own[4:7] == expected[4:7] and own[3] == pytest.approx(expected[3], abs=0.011)
+        if own[7] is not None:
+            np.testing.assert_allclose(own[7], expected[7], rtol=1e-10)
+    line = P.voigt(x[:1], 656.281, 0.5, 0.1, 0.2)[0]
+    one, two, three = P.fit_lines(np.stack([x[0]] * 3), np.stack([1 - line, np.ones(64), np.full(64, np.nan)]), np.array([656.281] * 3))
+    assert one == pytest.approx(P.fit_line(x[0], 1 - line, 656.281)) and one[3] == "success" and two[3] == "success" and three[3] == "too_few_points"
