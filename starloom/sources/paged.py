@@ -5,9 +5,10 @@ An archive is any object that can be pickled and has
     size(filters) -> int                                   rows that satisfy the filters
     page(columns, filters, offset, limit) -> pyarrow.Table  rows offset .. offset + limit in a fixed order
     named(columns, keys) -> pyarrow.Table                   the rows of these keys (for lookups only)
+    places(filters, offset, limit) -> object                optional: what its ``page`` needs to find these rows; a task is given it as ``archive.found``
 
-``filters`` are (column, operator, value) with =, >, >=, <, <=, in. Every page is a partition of the scan, so pages are
-read in parallel and a page that fails is tried again where it runs, with waits that double; one that goes on failing
+``filters`` are (column, operator, value) with =, >, >=, <, <=, in. A partition of the scan is one page, or a run of pages where there
+are more than MOST, so pages are read in parallel and a page that fails is tried again where it runs, with waits that double; one that goes on failing
 is read as smaller pages, and what is still dead is left out with a warning, or ends the scan if ``strict``.
 """
 
@@ -19,6 +20,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from pyspark.sql.types import StructType
 log = logging.getLogger(__name__)
 
 PAGE, BATCH, TRIES, WAIT, SMALLER = 50_000, 500, 4, 15.0, 10
+#: Partitions of a scan at most; rows of an archive over files that a task holds in order.
+MOST, WINDOW = 256, 1 << 17
 #: Names that the column with the identifier may have, in any case.
 ID_NAMES = ("source", "_source", "id", "main_id")
 
@@ -56,8 +60,10 @@ def tried(call: Callable[[], pa.Table], tries: int, wait: float, sleep: Callable
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        self.offset, self.limit = offset, limit
+    """A run of pages."""
+
+    def __init__(self, offset: int, limit: int, found: object = None):
+        self.offset, self.limit, self.found = offset, limit, found
 
 
 class PagedReader(DataSourceReader):
@@ -82,19 +88,26 @@ class PagedReader(DataSourceReader):
                 raise RuntimeError("the archive does not answer")
             log.warning("the archive does not answer and is left out")
             return [Page(0, 0)]
-        return [Page(at, min(self.page, total - at)) for at in range(0, total, self.page)] or [Page(0, 0)]
+        run = self.page * max(1, -(-total // (self.page * MOST)))
+        places = getattr(self.archive, "places", lambda *_: None)
+        return [Page(at, min(run, total - at), places(self.filters, at, min(run, total - at))) for at in range(0, total, run)] or [Page(0, 0)]
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if not partition.limit:
-            return
+        if partition.found is not None:
+            self.archive.found = partition.found
+        end = partition.offset + partition.limit
+        for at in range(partition.offset, end, self.page):
+            yield from self.read_page(at, min(self.page, end - at))
+
+    def read_page(self, offset: int, limit: int) -> Iterator[pa.RecordBatch]:
         fetch = lambda at, n: lambda: self.archive.page(self.names, self.filters, at, n)
-        whole = tried(fetch(partition.offset, partition.limit), self.tries, self.wait)
+        whole = tried(fetch(offset, limit), self.tries, self.wait)
         if whole is not None:
             yield from self.batches(whole)
             return
-        step = max(1, partition.limit // SMALLER)
-        for at in range(partition.offset, partition.offset + partition.limit, step):
-            n = min(step, partition.offset + partition.limit - at)
+        step = max(1, limit // SMALLER)
+        for at in range(offset, offset + limit, step):
+            n = min(step, offset + limit - at)
             part = tried(fetch(at, n), self.tries, self.wait)
             if part is not None:
                 yield from self.batches(part)
@@ -190,11 +203,17 @@ class ParquetArchive:
     """An archive over Parquet files, in the order of a column, with failures on request.
 
     ``failing``: how often a page that starts at an offset fails before it answers; ``dead``: offsets of rows that always fail.
+
+    The order is cut into windows of about WINDOW rows, by values of the column: (first offset, rows, from, below). They are found once, where
+    the scan is planned, in two passes over the column in batches. A page is a slice of its window, which is read (Parquet leaves out
+    row groups outside its values) and sorted when a page first needs it; one window is held at a time.
     """
 
     def __init__(self, path: str, order: str, rename: dict[str, str] | None = None, failing: Callable[[int], int] | None = None, dead: Callable[[int, int], bool] | None = None):
         self.path, self.order, self.rename, self.failing, self.dead = path, order, rename or {}, failing, dead
         self.calls: dict[int, int] = {}
+        self.found: list[tuple] | None = None
+        self.held: tuple | None = None
 
     def rows(self, filters: Filters):
         import pyarrow.dataset as ds
@@ -210,15 +229,73 @@ class ParquetArchive:
         data, held = self.rows(filters)
         return data.count_rows(filter=held, use_threads=False)
 
+    def windows(self, filters: Filters) -> list[tuple]:
+        import pyarrow.compute as pc
+
+        data, held = self.rows(filters)
+        batches = lambda: (b.column(0) for b in data.to_batches(columns=[self.order], filter=held, use_threads=False))
+        total = self.size(filters)
+        if total <= WINDOW:
+            return [(0, total, None, None)]
+        step, drawn, passed = max(1, WINDOW // 16), [], 0
+        for own in batches():  # every step-th value
+            drawn.append(own.take(pa.array(range(-passed % step, len(own), step), pa.int64())).drop_null())
+            passed += len(own)
+        drawn = pa.chunked_array(drawn, type=data.schema.field(self.order).type)
+        drawn = drawn.filter(pc.equal(drawn, drawn)) if pa.types.is_floating(drawn.type) else drawn
+        drawn = drawn.take(pc.sort_indices(drawn)).to_pylist()
+        cuts = sorted(set(drawn[16::16]))
+        counts = [0] * (len(cuts) + 1)
+        nulls = 0
+        bounds = pa.array(cuts, data.schema.field(self.order).type).to_numpy(zero_copy_only=False)
+        for own in batches():
+            nulls += own.null_count
+            own = own.drop_null().to_numpy(zero_copy_only=False)
+            for k, n in zip(*np.unique(np.searchsorted(bounds, own, side="right"), return_counts=True)):
+                counts[k] += int(n)
+        counts[-1] += nulls  # the last window has what no value bounds: NaN, and nulls at the end
+        out, first = [], 0
+        for k, n in enumerate(counts):
+            if n:
+                out.append((first, n, cuts[k - 1] if k else None, cuts[k] if k < len(cuts) else None))
+            first += n
+        return out
+
+    def places(self, filters: Filters, offset: int, limit: int) -> list[tuple]:
+        """The windows that hold these rows."""
+        if self.found is None:
+            self.found = self.windows(filters)
+        return [w for w in self.found if w[0] < offset + limit and offset < w[0] + w[1]]
+
+    def window(self, columns: list[str], filters: Filters, window: tuple) -> pa.Table:
+        import pyarrow.dataset as ds
+
+        asked = (tuple(columns), repr(filters), window)
+        if self.held is None or self.held[0] != asked:
+            data, held = self.rows(filters)
+            _, _, low, high = window
+            column = ds.field(self.order)
+            if low is not None and high is None:
+                last = column.is_null() | (column >= low)
+                if pa.types.is_floating(data.schema.field(self.order).type):
+                    last |= column.is_nan()
+                held = last if held is None else held & last
+            elif low is not None or high is not None:
+                inside = column < high if low is None else (column >= low) & (column < high)
+                held = inside if held is None else held & inside
+            self.held = None
+            found = data.to_table(columns=list({*columns, self.order}), filter=held, use_threads=False).sort_by(self.order).combine_chunks()
+            self.held = asked, found
+        return self.held[1]
+
     def page(self, columns: list[str], filters: Filters, offset: int, limit: int) -> pa.Table:
         self.calls[offset] = self.calls.get(offset, 0) + 1
         if self.failing and self.calls[offset] <= self.failing(offset):
             raise ConnectionError(f"page at {offset} timed out")
         if self.dead and self.dead(offset, limit):
             raise ConnectionError(f"page at {offset} is dead")
-        data, held = self.rows(filters)
-        found = data.to_table(columns=list({*columns, self.order}), filter=held, use_threads=False).sort_by(self.order)
-        return found.slice(offset, limit)
+        parts = [self.window(columns, filters, w).slice(max(0, offset - w[0]), min(offset + limit, w[0] + w[1]) - max(offset, w[0])) for w in self.places(filters, offset, limit)]
+        return pa.concat_tables(parts) if parts else self.rows([])[0].schema.empty_table()
 
     def named(self, columns: list[str], keys: list) -> pa.Table:
         import pyarrow.dataset as ds

@@ -72,3 +72,27 @@ def test_lookups_in_batches(spark, path):
     none = G.looked_up(keys, G.ParquetArchive(path, "name"), "star", {"v": "double"}, "main_id", tries=1, wait=0.001)
     assert none.collect() == []  # no column that could be the identifier
     assert G.id_column(["x", "Main_ID"]) == "Main_ID" and G.id_column(["x"]) is None
+
+
+@pytest.mark.parametrize("by", ["id", "name", "v", "w"])
+def test_pages_of_windows_of_an_unsorted_file_are_those_of_its_order(tmp_path, monkeypatch, by):
+    monkeypatch.setattr(G, "WINDOW", 64)
+    draw = [(k * 389) % 1000 for k in range(1000)]
+    table = pa.table({"id": draw, "name": [f"n{k}" for k in draw], "v": [float("nan") if k < 5 else k / 2 for k in draw], "w": [None if k < 70 else k for k in draw]})
+    pq.write_table(table, tmp_path / "u.parquet", row_group_size=100)
+    archive = G.ParquetArchive(str(tmp_path / "u.parquet"), by)
+    reads, whole = [], table.sort_by(by)[by].to_pylist()
+    window = archive.window
+    archive.window = lambda *a: reads.append(a[2]) or window(*a)
+    found = [x for at in range(0, 1000, 7) for x in archive.page([by], [], at, 7)[by].to_pylist()]
+    assert str(found) == str(whole) and len(set(reads)) > 8
+    some = [("id", ">", 500)]
+    archive = G.ParquetArchive(str(tmp_path / "u.parquet"), "id")
+    assert [x for at in range(0, 499, 7) for x in archive.page(["id"], some, at, 7)["id"].to_pylist()] == list(range(501, 1000))
+
+
+def test_many_pages_share_partitions(spark, path, monkeypatch):
+    reader = G.PagedReader(G.ParquetArchive(path, "id"), G._parsed("struct<id: bigint>"), 2, 1, 0.0, True)
+    pages = reader.partitions()
+    assert len(pages) <= G.MOST and sum(p.limit for p in pages) == 1000 and all(p.offset % 2 == 0 for p in pages)
+    assert sorted(x for p in pages for b in reader.read(p) for x in b.column(0).to_pylist()) == list(range(1000))
