@@ -44,3 +44,10 @@ def test_attempts_over_files_and_runs(spark, tmp_path):
     before = (results(), failed())
     run()  # nothing new
     assert (results(), failed()) == before
+
+
+def test_state_needs_no_python_call_for_each_key(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("value AS source_id", "'p' AS prompt", "0 AS attempts")
+    found = L.counted(stream, "source_id")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "TransformWithState" not in plan and found.columns == stream.columns
