@@ -132,16 +132,21 @@ def balanced(df: DataFrame, total: int, request: float = 1.2) -> DataFrame:
     """A catalogue by category: one category after the other takes its brightest stars that no earlier one has
     taken, up to its target out of ``request`` times as many.
 
-    A category looks at no more than the targets before it and its own request, so one scan ranks the stars of
-    all categories, and only these few are gone through in turn.
+    A category looks at no more than the targets before it and its own request, so one scan ranks the names of the stars of
+    all categories, another takes the rows of these few, and only they are gone through in turn.
     """
     goal, filters, before, most = targets(total), category_filters(), 0, []
     for name, n in goal.items():
         most.append(F.struct(F.lit(name).alias("chosen"), F.lit(before + int(n * request)).alias("most"), true(filters[name]).alias("fits")))
         before += n
-    offered = base_conditions(df).withColumn("__c", F.explode(F.filter(F.array(*most), lambda x: x["fits"])))
-    rank = F.row_number().over(Window.partitionBy("__c.chosen").orderBy("phot_g_mean_mag", "source_id"))
-    offered = stored(offered.withColumn("__n", rank).where(c("__n") <= c("__c.most")).withColumn("chosen", c("__c.chosen")).drop("__c", "__n"), "balanced")
+    able = base_conditions(df)
+    ranked = lambda rows: rows.withColumn("__n", F.row_number().over(Window.partitionBy("__c.chosen").orderBy("phot_g_mean_mag", "source_id")))
+    each = F.explode(F.filter(F.array(*most), lambda x: x["fits"]))
+    # first only names and brightness, with a limit that ranks are cut at before they are shuffled; whole rows of the few stars that remain
+    names = ranked(able.select("source_id", "phot_g_mean_mag", each.alias("__c"))).where(c("__n") <= before + int(max(goal.values()) * request)).where(c("__n") <= c("__c.most"))
+    names = stored(names.select("source_id").distinct(), "balanced-names")
+    offered = ranked(able.join(names, "source_id", "left_semi").withColumn("__c", each)).where(c("__n") <= c("__c.most"))
+    offered = stored(offered.withColumn("chosen", c("__c.chosen")).drop("__c", "__n"), "balanced")
     taken = None
     for name, n in goal.items():
         own = offered.where(c("chosen") == name)
