@@ -38,8 +38,10 @@ LENGTH = 200
 GRAM = 32
 #: Starts of windows in one segment at most, and in one piece of a long text.
 LONGEST, PIECE = 4096, 1 << 18
-#: Bytes of segments that share one suffix array, and of a bucket that isn't split; sorting takes some hundred bytes for each.
+#: Bytes of segments that share one suffix array, and of a bucket that isn't split; sorting takes some ten bytes for each.
 ARRAY_BYTES, HOT_BYTES = 1 << 19, 1 << 20
+#: Suffixes whose bytes are held at once while they are sorted; a bound on memory only.
+SORTED = 1 << 14
 #: Names of texts and segments that a task remembers; bounds on memory only.
 REMEMBERED, HELD = 100_000, 10_000
 #: So many names of large buckets are broadcast; more are shuffled.
@@ -121,9 +123,20 @@ def two_stage_order(data: bytes, depth: int) -> np.ndarray:
     rises = np.append(t[ends[:-1]] < t[ends[:-1] + 1], False)
     small = np.repeat(rises, runs)  # suffixes smaller than their successors
     direct = np.flatnonzero(small)
-    keys = [data[i : i + depth] for i in direct.tolist()]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)]
-    del keys
+    # by their first eight bytes all at once; then runs of about SORTED of them, none of which cuts equal eights, by all bytes
+    ahead = np.concatenate([t, np.zeros(8, dtype=np.uint8)])
+    eight = np.zeros(len(direct), dtype=np.uint64)
+    for k in range(8):
+        eight = (eight << np.uint64(8)) | ahead[direct + k].astype(np.uint64)
+    by = np.argsort(eight, kind="stable")
+    direct, eight = direct[by], eight[by]
+    fresh = np.flatnonzero(eight[1:] != eight[:-1]) + 1
+    cuts = [0, *fresh[np.unique(np.searchsorted(fresh, np.arange(SORTED, len(direct), SORTED)).clip(max=max(len(fresh) - 1, 0)))].tolist(), len(direct)] if len(fresh) else [0, len(direct)]
+    del ahead, eight, by, fresh
+    for a, b in zip(cuts, cuts[1:]):
+        keys = [data[i : i + depth] for i in direct[a:b].tolist()]
+        direct[a:b] = direct[a:b][np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)]
+    keys = None
     of_byte = np.concatenate([[0], np.cumsum(np.bincount(t[direct], minlength=256))])
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[-1]].append(np.array([n - 1]))  # the last suffix follows the empty one

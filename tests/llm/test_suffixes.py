@@ -108,3 +108,17 @@ def test_documents(spark):
         n_bytes, n_removed, n_spans, _ = got[r.doc_id]
         assert cut[r.doc_id].n_chars == len(cut[r.doc_id].text)
         assert (cut[r.doc_id].text == r.text) == (n_spans == 0)
+
+
+def test_sorting_holds_few_suffixes_at_once():
+    import tracemalloc
+
+    draw = np.random.default_rng(5)
+    data = draw.integers(97, 105, 200_000, dtype=np.uint8).tobytes() + b"\0" * 300 + b"ab" * 500
+    tracemalloc.start()
+    order = suffixes.two_stage_order(data, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = [data[i : i + 200] for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(data))) and all(a <= b for a, b in zip(keys, keys[1:]))
+    assert peak < 80 * len(data)
