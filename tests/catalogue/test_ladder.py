@@ -51,3 +51,17 @@ def test_state_needs_no_python_call_for_each_key(spark):
     found = L.counted(stream, "source_id")
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "Python" not in plan and "TransformWithState" not in plan and found.columns == stream.columns
+
+
+def test_answers_of_a_batch_and_open_state_do_not_stay_on_disk(spark, tmp_path, monkeypatch):
+    inbox, out, state = (str(tmp_path / n) for n in ("inbox", "out", "state"))
+    name, seen, judged = "spark.sql.streaming.stateStore.unloadOnCommit", [], L.judged
+    monkeypatch.setattr(L, "judged", lambda *a: seen.append(spark.conf.get(name)) or judged(*a))
+    rows = spark.createDataFrame([(k, f"full {k}", f"short {k}") for k in range(1, 13)], SCHEMA)
+    rows.coalesce(1).write.parquet(f"{inbox}/a")
+    L.run_ladder(spark, inbox, out, state, rows.schema, generate=generator())
+    assert set(seen) == {"true"} and spark.conf.get(name) == "false"
+    assert not list((tmp_path / "out" / "judged").glob("batch=*"))
+    assert spark.read.parquet(f"{out}/results").count() == 10 and spark.read.parquet(f"{out}/failed").count() == 2
+    again = spark.read.parquet(f"{out}/again")  # what comes again still has what the generator reads
+    assert again.count() > 0 and again.where("prompt is null or reduced is null").count() == 0
